@@ -86,13 +86,15 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     winners of their group are taken.
     """
     cols = docs.columns
-    sha, maybe, rank, order, best = (fresh(docs, x) for x in ("_sha", "_maybe", "_rank", "_order", "_best"))
+    sha, maybe, rank, size, win, win_n, win_id = (fresh(docs, x) for x in ("_sha", "_maybe", "_rank", "_size", "_win", "_win_n", "_win_id"))
     keyed = docs.withColumn(sha, digest(text_col))
     hashes = written(keyed.select(F.xxhash64(sha).alias("h")), "hashes")
     tested = flagged(keyed, hashes, F.xxhash64(sha), maybe)
-    rest = tested.filter(F.col(maybe)).withColumn(order, F.struct((-F.char_length(text_of(text_col))).alias("n"), F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id")))
-    winners = written(rest.groupBy(sha).agg(F.min(order).alias(best)), "winners")
-    won = rest.join(winners, sha).filter(F.col(order).eqNullSafe(F.col(best)))
+    rest = tested.filter(F.col(maybe)).withColumn(size, F.char_length(text_of(text_col)))
+    order = F.struct((-F.col(size)).alias("n"), F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"))
+    best = written(rest.groupBy(sha).agg(F.min(order).alias("best")).select(F.col(sha).alias(win), (-F.col("best.n")).alias(win_n), F.col("best.id").alias(win_id)), "winners")
+    # By hash, size and id, so that a large group of copies spreads out and only its winner meets its match.
+    won = rest.join(best, (F.col(sha) == F.col(win)) & (F.col(size) == F.col(win_n)) & F.col(id_col).eqNullSafe(F.col(win_id)), "left_semi")
     # Rows that tie in id and length repeat one document; the limit on ranks works before the shuffle too.
     first = won.withColumn(rank, F.row_number().over(Window.partitionBy(sha).orderBy(text_col))).filter(F.col(rank) == 1)
     return tested.filter(~F.col(maybe)).select(*cols).unionByName(first.select(*cols))

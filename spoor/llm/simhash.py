@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoor.llm.common import prepare, raw, text_of, written
+from spoor.llm.common import fresh, prepare, raw, text_of, written
 
 SEED = 42
 BLOCK = 1 << 15
@@ -117,13 +117,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
     Documents without an id stay. Rows that repeat an id are copies of one document; one of them stays.
     """
-    found = near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, words, radius)
-    gone = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
-    left = docs.join(gone, id_col, "left_anti")
-    again = written(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(id_col)), "again")
+    found = written(near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, words, radius), "near")
+    ids = F.col("doc_id").alias(id_col)
+    gone = written(found.filter("doc_id <> component_id").select(ids).distinct(), "gone")
+    left = docs.join(_side(gone), id_col, "left_anti").select(docs.columns)
+    again = written(found.groupBy("doc_id").count().filter("count > 1").select(ids), "again")
     if again.isEmpty():
         return left
-    cols = docs.columns
-    one = Window.partitionBy(id_col).orderBy(text_col)
-    first = left.join(again, id_col, "left_semi").withColumn("_rank", F.row_number().over(one)).filter("_rank = 1")
-    return left.join(again, id_col, "left_anti").select(cols).unionByName(first.select(cols))
+    rank = fresh(docs, "_rank")
+    first = left.join(_side(again), id_col, "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).filter(F.col(rank) == 1)
+    return left.join(_side(again), id_col, "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
+
+
+#: Ids that are broadcast at most, at some 24 bytes each; beyond it, the join shuffles.
+BROADCAST_IDS = 500_000
+
+
+def _side(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
