@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spoor.plans import context, passes
 from spoor.sources import logs, sinks
@@ -12,6 +14,12 @@ from spoor.sources import logs, sinks
 VERSION = "0.1"
 
 
+def stdin_lines(spark: SparkSession) -> DataFrame:
+    """One log from standard input, which only the driver has."""
+    rows = ((i, x.rstrip("\n")) for i, x in enumerate(sys.stdin))
+    return spark.createDataFrame(rows, "line_no long, line string").select(F.lit("-").alias("log_id"), "line_no", "line")
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser("spoor")
     p.add_argument("logs", nargs="*")
@@ -29,13 +37,14 @@ def main(args: list[str] | None = None) -> int:
     if not a.logs:
         p.error("no logs")
     spark = SparkSession.builder.appName("spoor").getOrCreate()
+    lines = stdin_lines(spark) if a.logs == ["-"] else logs.read_lines(spark, a.logs)
     if a.annotate:
-        found = {"annotate": context.annotate(context.with_context(context.records(logs.read_lines(spark, a.logs)), a.block))}
+        found = {"annotate": context.annotate(context.with_context(context.records(lines), a.block))}
     else:
         inputs = passes.Inputs(
             logs.read_idl(spark, a.idl) if a.idl else None, logs.read_entities(spark, a.entities) if a.entities else None, logs.read_rules(spark, a.rules) if a.rules else None, a.root_domain
         )
-        tables = context.from_files(spark, a.logs, a.block)
+        tables = context.trace_tables(lines, a.block)
         if len(a.aggs.split("+")) > 1:
             tables = context.Trace(tables.logs, tables.scripts.persist(), tables.trace.persist(), tables.broken)
         found = passes.run(a.aggs, tables, inputs)

@@ -50,13 +50,18 @@ def looked_up(rows: DataFrame, table: DataFrame, tag: str = "tag", member: str =
     return rows.join(known, [tag, member], "left")
 
 
-def unknown_apis(rows: DataFrame, idl: DataFrame, table: DataFrame) -> DataFrame:
-    """rows (op, tag, member) of APIs that the definitions don't hold; aliases count as their interface."""
+def unknown_apis(rows: DataFrame, idl: DataFrame, table: DataFrame, compat: bool = False) -> DataFrame:
+    """rows (op, tag, member) of APIs that the definitions don't hold; aliases count as their interface.
+
+    compat: every construction counts as unknown, as its member is empty.
+    """
     alias = idl.select(F.explode("aliases").alias("alias"), "interface").filter("alias is not null")
     known = table.select(F.col("class").alias("tag"), "member").unionByName(alias.join(table, alias["interface"] == table["class"]).select(F.col("alias").alias("tag"), "member")).distinct()
     names = idl.select(F.col("interface").alias("member")).distinct()
     calls = rows.filter(~(F.col("op").isin("c", "g") & F.col("member").isin(*GLOBALS)))
     calls = calls.join(names, "member", "left_anti")
+    if compat:
+        known = known.filter("member <> ''")
     return calls.join(known, ["tag", "member"], "left_anti")
 
 

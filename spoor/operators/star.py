@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spoor.functions import fields as f
 from spoor.functions import hashes, urls
+from spoor.session import written
 
 
 @dataclass(frozen=True)
@@ -74,11 +75,21 @@ def surrogate(rows: DataFrame, key: list[str], name: str) -> DataFrame:
     Numbers are given inside ranges of the key and shifted by the ranges' counts, so no task sorts all rows.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    from spoor.session import written
-
     dealt = rows.repartitionByRange(n, *key).withColumn("_p", F.spark_partition_id())
     dealt = written(dealt, "surrogate")
     inside = F.row_number().over(Window.partitionBy("_p").orderBy(*key))
     counts = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
     shift = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return dealt.join(counts.select("_p", shift.alias("_shift")), "_p").withColumn(name, (inside + F.col("_shift")).cast("long")).drop("_p", "_shift")
+
+
+def json_records(tables: Star) -> DataFrame:
+    """value: the four tables as tagged JSON lines; usages leave out their origin."""
+    from spoor.sources.sinks import json_lines
+
+    parts = {"mega_script": tables.scripts, "mega_instance": tables.instances, "mega_feature": tables.features, "mega_usage": tables.usages.drop("origin")}
+    out = None
+    for tag, df in parts.items():
+        rows = json_lines(df, tag)
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -185,3 +185,12 @@ def from_files(spark: SparkSession, paths: str | list[str], block: int | None =
     from spoor.sources.logs import read_lines
 
     return trace_tables(read_lines(spark, paths), block, mode)
+
+
+def root_domains(logs: DataFrame, submissions: DataFrame, submission: str = "submission_id") -> DataFrame:
+    """logs with root_url and root_domain of their submission (id, url); empty where there is none."""
+    from spoor.functions.urls import hostname
+
+    urls = submissions.select(F.col("id").alias(submission), F.col("url").alias("root_url")).dropDuplicates([submission])
+    out = logs.join(urls, submission, "left").withColumn("root_url", F.coalesce("root_url", F.lit("")))
+    return out.withColumn("root_domain", hostname(F.col("root_url")))
