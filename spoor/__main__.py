@@ -32,7 +32,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--idl")
     p.add_argument("--entities")
     p.add_argument("--rules", nargs="*")
-    p.add_argument("--block", type=int, help="lines of a block, for logs too long for one task")
+    p.add_argument("--block", type=int, default=context.BLOCK, help="lines of a log that one task holds at most")
     a = p.parse_args(args)
     if not a.logs:
         p.error("no logs")

@@ -14,6 +14,10 @@ from spoor.session import written
 #: A script whose code ends so was put in by the automation tool, not by the page.
 INJECTED = "//# sourceURL=__puppeteer_evaluation_script__\n)"
 PAYLOAD = ("c", "n", "g", "s", "j")
+#: Lines of a log that one task holds at most, when logs are read from files.
+BLOCK = 1_000_000
+#: Rounds of pointer doubling, two doublings each: chains of evals of up to 4 ** 15 links.
+ROUNDS = 15
 
 
 @dataclass(frozen=True)
@@ -31,6 +35,13 @@ def records(lines: DataFrame) -> DataFrame:
     return lines.select("log_id", "line_no", F.substring("line", 1, 1).alias("op"), f.split_fields(F.substring("line", 2, 1 << 30)).alias("fields"), "line")
 
 
+def _blocks(df: DataFrame, keys: list[str], order: str, block: int) -> tuple[DataFrame, list[str]]:
+    """df with its keys without nulls and the block of each row: windows and joins on these columns share one exchange."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    cols = {n: F.coalesce(F.col(k), F.lit("\x00")) for n, k in zip(names, keys, strict=True)}
+    return df.withColumns({**cols, "_b": F.floor(F.col(order) / block)}), names
+
+
 def carry_last(df: DataFrame, keys: list[str], order: str, value: Column, name: str, block: int | None = None) -> DataFrame:
     """df with name: the last value that isn't null, up to and with each row, in the order of its keys.
 
@@ -40,18 +51,14 @@ def carry_last(df: DataFrame, keys: list[str], order: str, value: Column, name:
     if block is None:
         w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
-    b = df.withColumns({"_v": value, "_b": F.floor(F.col(order) / block)})
-    inside = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    b, own = _blocks(df.withColumn("_v", value), keys, order, block)
+    inside = Window.partitionBy(*own, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     filled = b.withColumn("_in", F.last("_v", ignorenulls=True).over(inside))
-    left = b.groupBy(*keys, "_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_left"))
-    over = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = left.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_b").alias("_kb"), F.last("_left", ignorenulls=True).over(over).alias("_carry"))
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    on = F.col("_b") == F.col("_kb")
-    for s in same:
-        on = on & s
-    out = filled.join(carried, on, "left").withColumn(name, F.coalesce("_in", "_carry"))
-    return out.drop("_v", "_b", "_in", "_kb", "_carry", *(f"_k{i}" for i in range(len(keys))))
+    left = b.groupBy(*own, "_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_left"))
+    over = Window.partitionBy(*own).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = left.select(*own, "_b", F.last("_left", ignorenulls=True).over(over).alias("_carry"))
+    out = filled.join(carried, [*own, "_b"], "left").withColumn(name, F.coalesce("_in", "_carry"))
+    return out.drop("_v", "_b", "_in", "_carry", *own)
 
 
 def running_count(df: DataFrame, keys: list[str], order: str, when: Column, name: str, block: int | None = None) -> DataFrame:
@@ -60,16 +67,13 @@ def running_count(df: DataFrame, keys: list[str], order: str, when: Column, name
     if block is None:
         w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.sum(n).over(w).cast("long"))
-    b = df.withColumns({"_v": n, "_b": F.floor(F.col(order) / block)})
-    inside = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    left = b.groupBy(*keys, "_b").agg(F.sum("_v").alias("_left"))
-    over = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = left.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_b").alias("_kb"), F.coalesce(F.sum("_left").over(over), F.lit(0)).alias("_carry"))
-    on = F.col("_b") == F.col("_kb")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    out = b.withColumn("_in", F.sum("_v").over(inside)).join(carried, on, "left").withColumn(name, (F.col("_in") + F.col("_carry")).cast("long"))
-    return out.drop("_v", "_b", "_in", "_kb", "_carry", *(f"_k{i}" for i in range(len(keys))))
+    b, own = _blocks(df.withColumn("_v", n), keys, order, block)
+    inside = Window.partitionBy(*own, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    left = b.groupBy(*own, "_b").agg(F.sum("_v").alias("_left"))
+    over = Window.partitionBy(*own).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = left.select(*own, "_b", F.coalesce(F.sum("_left").over(over), F.lit(0)).alias("_carry"))
+    out = b.withColumn("_in", F.sum("_v").over(inside)).join(carried, [*own, "_b"], "left").withColumn(name, (F.col("_in") + F.col("_carry")).cast("long"))
+    return out.drop("_v", "_b", "_in", "_carry", *own)
 
 
 def with_context(rows: DataFrame, block: int | None = None) -> DataFrame:
@@ -97,13 +101,20 @@ def eval_roots(scripts: DataFrame, keys: list[str], parent: str = "eval_parent_i
     base = scripts.select(*ids, F.col(parent).alias("up"))
     known = base.select(*keys, F.col(script).alias("up"))
     ok = base.join(known.withColumn("_has", F.lit(True)), [*keys, "up"], "left")
-    state = written(ok.select(*ids, F.when(F.col("_has"), F.col("up")).otherwise(F.col(script)).alias("root"), F.when(F.col("_has"), 1).otherwise(0).cast("long").alias("depth")), "eval-roots")
-    while True:
+    start = ok.select(*ids, F.when(F.col("_has"), F.col("up")).otherwise(F.col(script)).alias("root"), F.when(F.col("_has"), 1).otherwise(0).cast("long").alias("depth"))
+
+    def doubled(state: DataFrame) -> DataFrame:
         up = state.select(*keys, F.col(script).alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        jumped = state.join(up, [*keys, "root"]).select(*ids, "root", "next", "depth", "more")
-        if jumped.filter("root <> next").isEmpty():
+        return state.join(up, [*keys, "root"]).select(*ids, F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("root") != F.col("next")).alias("moved"))
+
+    state = written(start, "eval-roots")
+    for _ in range(ROUNDS):  # two doublings a round; the second moves nothing once all are at their roots
+        after = written(doubled(doubled(state).drop("moved")), "eval-roots")
+        state = after.drop("moved")
+        if after.filter("moved").isEmpty():
             return state
-        state = written(jumped.select(*ids, F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth")), "eval-roots")
+    own = F.col("moved")  # parents that go round in circles have no root: each such script is its own
+    return after.select(*ids, F.when(own, F.col(script)).otherwise(F.col("root")).alias("root"), F.when(own, 0).otherwise(F.col("depth")).alias("depth"))
 
 
 def script_table(context: DataFrame) -> DataFrame:
@@ -132,7 +143,7 @@ def payload(context: DataFrame) -> DataFrame:
     return rows.withColumn("tag", f.native_name(f.receiver_tag(F.col("receiver")))).drop("line")
 
 
-def trace_tables(lines: DataFrame, block: int | None = None, mode: str = "quarantine") -> Trace:
+def trace_tables(lines: DataFrame, block: int | None = BLOCK, mode: str = "quarantine") -> Trace:
     """All tables of a set of logs. mode: quarantine puts what contradicts itself in broken; failfast stops."""
     from spoor.sources.logs import stats
 
@@ -181,7 +192,7 @@ def relabel(rows: DataFrame, keys: list[str], order: str, column: str, prefix: s
     return rows.join(labels, [*keys, column], "left")
 
 
-def from_files(spark: SparkSession, paths: str | list[str], block: int | None = None, mode: str = "quarantine") -> Trace:
+def from_files(spark: SparkSession, paths: str | list[str], block: int | None = BLOCK, mode: str = "quarantine") -> Trace:
     from spoor.sources.logs import read_lines
 
     return trace_tables(read_lines(spark, paths), block, mode)
