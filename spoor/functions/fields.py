@@ -37,8 +37,11 @@ def pack_fields(fields: Column) -> Column:
     """The inverse of split_fields for text without supplementary characters' halves: one escaped body."""
     def one(f: Column) -> Column:
         f = F.regexp_replace(f, r"([\\:])", r"\\$1")
-        chars = F.transform(F.split(f, ""), _escape)
-        return F.array_join(chars, "")
+        plain = f
+        for c in "\t\n\r":
+            plain = F.replace(plain, F.lit(c), F.lit(f"\\x{ord(c):02x}"))
+        each = F.array_join(F.transform(F.split(f, ""), _escape), "")  # character by character, where it must be
+        return F.when(f.rlike(r"[^\t\n\r -~]"), each).otherwise(plain)
 
     return F.array_join(F.transform(fields, one), ":")
 
