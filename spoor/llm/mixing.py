@@ -79,35 +79,38 @@ def tilts(hist: DataFrame, goal: DataFrame, cap: float = CAP) -> DataFrame:
     mean = hist.groupBy("source").agg(F.try_divide(F.sum(F.col("size") * F.col("n")), F.sum(F.when(F.col("size") > 0, F.col("n")))).alias("mean"))
     start = goal.join(mean.withColumnRenamed("source", "s"), _same("source", "s"), "left").drop("s")
     loose = (F.col("target") > 0) & (F.col("target") < F.col("source_size") * F.lit(cap))
-    start = start.withColumns({"lam": F.when(loose, F.lit(0.0)), "low": F.lit(-64.0), "high": F.lit(64.0), "off": F.lit(1.0)})
+    guess = F.ln(F.try_divide("target", "source_size"))  # right if all documents were of the mean size
+    start = start.withColumns({"lam": F.when(loose, guess), "low": F.lit(-64.0), "high": F.lit(64.0), "off": F.lit(1.0)})
     state = written(start, "tilts")
     few = state.count() <= BROADCAST_SOURCES
-    size = F.col("size").cast("double")
-    for _ in range(STEPS):
-        x = size / F.col("mean")
-        rate = F.exp(F.least(F.col("lam") * x, F.lit(50.0)))
-        capped = F.least(rate, F.lit(cap))
-        loose_ones = state.filter("lam is not null").select(F.col("source").alias("s"), "lam", "mean")
-        side = F.broadcast(loose_ones) if few else loose_ones
-        sums = (
-            hist.join(side, _same("source", "s"))
-            .groupBy("s")
-            .agg(F.sum(F.col("n") * size * capped).alias("now"), F.sum(F.when(rate < cap, F.col("n") * size * x * rate).otherwise(0.0)).alias("slope"))
-        )
-        joined = state.join(sums, _same("source", "s"), "left").drop("s")
-        gap = F.col("target") - F.col("now")
-        low, high = F.when(gap > 0, F.col("lam")).otherwise(F.col("low")), F.when(gap < 0, F.col("lam")).otherwise(F.col("high"))
-        step = F.col("lam") + F.try_divide(gap, F.col("slope"))
-        inside = (F.col("slope") > 0) & (step > low) & (step < high)
-        after = joined.withColumns({"lo2": low, "hi2": high, "off": F.try_divide(F.abs(gap), F.col("target")), "lam2": F.when(F.col("lam").isNotNull(), F.when(inside, step).otherwise((low + high) / 2))})
-        state = written(
-            after.select("source", "source_size", "target", "mean", F.when(F.col("off") < 1e-9, F.col("lam")).otherwise(F.col("lam2")).alias("lam"), F.col("lo2").alias("low"), F.col("hi2").alias("high"), "off"), "tilts"
-        )
+    for _ in range(STEPS // 2):
+        state = written(_newton(hist, _newton(hist, state, few, cap), few, cap), "tilts")
         if not (state.agg(F.max("off")).first()[0] or 0.0) > 1e-6:
             break
     return state.select("source", "source_size", "target", "mean", "lam")
 
 
+def _newton(hist: DataFrame, state: DataFrame, few: bool, cap: float) -> DataFrame:
+    """state after one step: one aggregation of the histogram; off is how far the tilt it began with was."""
+    size = F.col("size").cast("double")
+    x = size / F.col("mean")
+    rate = F.exp(F.least(F.col("lam") * x, F.lit(50.0)))
+    loose = state.filter("lam is not null").select(F.col("source").alias("s"), "lam", "mean")
+    sums = (
+        hist.join(F.broadcast(loose) if few else loose, _same("source", "s"))
+        .groupBy("s")
+        .agg(F.sum(F.col("n") * size * F.least(rate, F.lit(cap))).alias("now"), F.sum(F.when(rate < cap, F.col("n") * size * x * rate).otherwise(0.0)).alias("slope"))
+    )
+    joined = state.join(sums, _same("source", "s"), "left").drop("s")
+    lam, gap = F.col("lam"), F.col("target") - F.col("now")
+    low, high = F.when(gap > 0, lam).otherwise(F.col("low")), F.when(gap < 0, lam).otherwise(F.col("high"))
+    step = lam + F.try_divide(gap, F.col("slope"))
+    inside = (F.col("slope") > 0) & (step > low) & (step < high)
+    off = F.try_divide(F.abs(gap), F.col("target"))
+    after = F.when(off < 1e-9, lam).when(lam.isNotNull(), F.when(inside, step).otherwise((low + high) / 2))
+    return joined.select("source", "source_size", "target", "mean", after.alias("lam"), low.alias("low"), high.alias("high"), off.alias("off"))
+
+
 def rate_of(size: Column, cap: float = CAP) -> Column:
     """Copies a document is due, from columns target, mean, lam of its source."""
     tilted = F.least(F.exp(F.least(F.col("lam") * size / F.col("mean"), F.lit(50.0))), F.lit(cap))
@@ -126,27 +129,27 @@ def settled(parts: DataFrame, tilt: DataFrame, cap: float = CAP) -> DataFrame:
     parts: source, doc_id, size, m, copies. Each pass takes one document a source, that of the size nearest
     to what is missing or over, if that brings it nearer.
     """
-    changes = None
     now = parts.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("copies") * F.col("size") * F.col("m")).alias("taken"))
     state = written(tilt.join(now, _same("source", "s")).select("source", "target", (F.col("target") - F.col("taken")).alias("gap")), "gaps")
     few = state.count() <= BROADCAST_SOURCES
-    for _ in range(PASSES):
+    small = lambda df: F.broadcast(df) if few else df
+    changes = parts.filter("false").select("source", "doc_id", "size", F.lit(1).cast("long").alias("step"))
+    mass = F.col("size") * F.col("m")
+    for k in range(PASSES):
         wanting = state.filter(F.abs("gap") > F.greatest(F.col("target") * NEAR, F.lit(1.0))).select(F.col("source").alias("s"), "gap")
-        if wanting.isEmpty():
-            break
-        rows = parts if changes is None else parts.join(F.broadcast(changes.toDF("cs", "cid", "csize", "step")) if few else changes.toDF("cs", "cid", "csize", "step"), _same("source", "cs") & _same("doc_id", "cid") & (F.col("size") == F.col("csize")), "left_anti")
-        near = rows.join(F.broadcast(wanting) if few else wanting, _same("source", "s"))
-        mass = F.col("size") * F.col("m")
+        rows = parts
+        if k:
+            rows = rows.join(small(changes.toDF("cs", "cid", "csize", "step")), _same("source", "cs") & _same("doc_id", "cid") & (F.col("size") == F.col("csize")), "left_anti")
+        near = rows.join(small(wanting), _same("source", "s"))
         can = ((F.col("gap") > 0) & (F.col("copies") < cap) | (F.col("gap") < 0) & (F.col("copies") > 0)) & (mass > 0) & (mass < 2 * F.abs("gap"))
         pick = near.filter(can).groupBy("s").agg(F.min(F.struct(F.abs(F.abs("gap") - mass).alias("far"), "doc_id", "size", "m")).alias("p"), F.first("gap").alias("g"))
         picked = written(pick.select(F.col("s").alias("source"), F.col("p.doc_id").alias("doc_id"), F.col("p.size").alias("size"), F.signum("g").cast("long").alias("step"), (F.signum("g") * F.col("p.size") * F.col("p.m")).alias("by")), "picked")
         if picked.isEmpty():
             break
-        more = picked.drop("by")
-        changes = more if changes is None else written(changes.unionByName(more), "changes")
+        changes = changes.unionByName(picked.drop("by")) if k else picked.drop("by")
         moved = state.join(picked.select(F.col("source").alias("s"), "by"), _same("source", "s"), "left")
         state = written(moved.select("source", "target", (F.col("gap") - F.coalesce("by", F.lit(0.0))).alias("gap")), "gaps")
-    return changes if changes is not None else parts.filter("false").select("source", "doc_id", "size", F.lit(1).cast("long").alias("step"))
+    return changes
 
 
 def plan(docs: DataFrame, weights: list[float], share: float = 1.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = CAP) -> tuple[DataFrame, DataFrame, DataFrame]:
