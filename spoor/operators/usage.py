@@ -28,12 +28,14 @@ def morphism(trace: DataFrame, site: list[str] = SITE) -> DataFrame:
 def features(trace: DataFrame, poly: bool = False, site: list[str] = SITE) -> DataFrame:
     """origin, site, name, op, n_uses, of call sites with one member name (poly: with several).
 
-    Uses are counted first; the names of a site are then counted over those few rows.
+    Uses are counted first, before any shuffle too; only those counts are then dealt by site, where the
+    first and the last member name say whether there are several.
     """
     counts = named(trace).groupBy("origin", *site, "name", "op", "member").agg(F.count("*").alias("n_uses"))
-    members = counts.groupBy(*site).agg(F.count_distinct("member").alias("n_members"))
-    chosen = members.filter(F.col("n_members") >= 2 if poly else F.col("n_members") < 2)
-    return counts.join(chosen.select(*site), site, "left_semi").groupBy("origin", *site, "name", "op").agg(F.sum("n_uses").alias("n_uses"))
+    here = Window.partitionBy(*site)
+    one = F.col("_first").eqNullSafe(F.col("_last"))
+    chosen = counts.withColumns({"_first": F.min("member").over(here), "_last": F.max("member").over(here)}).filter(~one if poly else one)
+    return chosen.groupBy("origin", *site, "name", "op").agg(F.sum("n_uses").alias("n_uses"))
 
 
 def features_by_origin(trace: DataFrame, idl: DataFrame | None = None) -> DataFrame:

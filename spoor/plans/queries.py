@@ -59,8 +59,8 @@ def joined(c: Column, by: str = "|") -> Column:
 
 @query("features_mono", f"""with {SEEN},
 counts as (select log_id, isolate, script_id, offset_ as "offset", origin, name, op, member, count(*) as n from named group by all),
-m as (select log_id, isolate, script_id, "offset" from counts group by all having count(distinct member) < 2)
-select origin, log_id, isolate, script_id, "offset", name, op, cast(sum(n) as bigint) as n_uses from counts join m using (log_id, isolate, script_id, "offset") group by all""", recursive=True)
+m as (select *, min(member) over p as low, max(member) over p as high from counts window p as (partition by log_id, isolate, script_id, "offset"))
+select origin, log_id, isolate, script_id, "offset", name, op, cast(sum(n) as bigint) as n_uses from m where low = high group by all""", recursive=True)
 def features_mono(spark: SparkSession, d: str) -> DataFrame:
     return usage.features(lens.seen(spark, d))
 
