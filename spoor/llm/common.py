@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.session import shared_dir, ship, small_batches, table, written
+from spoor.session import discard, shared_dir, ship, table, written
+
+__all__ = ["prepare", "shared_dir", "table", "written", "discard", "text_of", "texts", "raw", "small", "kind", "fresh"]
 
-__all__ = ["prepare", "shared_dir", "table", "written", "text_of", "texts", "as_id", "fresh"]
+#: Bytes of text that a Python worker handles at once; a longer text is handled alone.
+PART_BYTES = 2 << 20
 
 #: The ASCII white space of every contract, [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
@@ -17,7 +24,6 @@ SPACES = " \t\n\x0b\x0c\r"
 def prepare(spark: SparkSession) -> None:
     """Before an operator that runs Python on the executors."""
     ship(spark)
-    small_batches(spark)
 
 
 def text_of(column: str = "text") -> Column:
@@ -25,8 +31,24 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def as_id(df: DataFrame, column: str = "doc_id") -> Column:
-    return df[column].cast("long")
+def kind(df: DataFrame, **more: str) -> str:
+    """The schema of df with more columns behind, as mapInArrow takes it."""
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"{k} {v}" for k, v in more.items()])
+
+
+def small(batches: Iterator[pa.RecordBatch], column: str = "t", most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds at most so many bytes of the text column, or one row. Spark bounds theirs at 64 MB."""
+    for b in batches:
+        col = b.column(column)
+        if col.nbytes <= most or not len(col):
+            yield b
+            continue
+        ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), np.int64))
+        a = 0
+        while a < len(ends):
+            e = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+            yield b.slice(a, e - a)
+            a = e
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

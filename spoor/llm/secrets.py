@@ -1,13 +1,16 @@
 """Secret scans: two character Markov models, compared by log-likelihood ratio.
 
 Plain patterns find assignments, access keys and long hexadecimal runs. The method adds what they can't
-name: every other run of key characters is scored under a model of random strings and one of ordinary
-identifiers and words, both of second order, backing off to lower ones, and trained from labelled samples; a
-run whose log-likelihood ratio a character and in all is high enough is a secret. Both models see every
-run whole.
-
-A null text is empty; it and texts without matches have no spans. Repeated rows are repeated, extra columns
-ignored. An empty table gives an empty result. Time is in proportion to a text's length.
+name: every run of key characters of a text, of any length and of any kinds of characters, is scored under a
+model of random strings and one of ordinary words and identifiers, both of second order, backing off to
+lower ones, and trained from a labelled table (see samples_table()), a parameter. A run whose log-likelihood
+ratio is high enough, in all and a character, is a secret; nothing else decides. A run is scored whole, with
+the letters beyond ASCII before it as context.
+
+A null text is empty; it and texts without matches have no spans. Very long texts and runs are read whole,
+in time in proportion to their length. Runs that tie with the thresholds count as secrets; repeated rows are
+repeated; ids keep their type, null included; extra columns are ignored. An empty table gives an empty
+result. With an empty labelled table the models are equal and only plain spans are found.
 """
 
 from __future__ import annotations
@@ -15,14 +18,14 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoor.llm.common import prepare, text_of, texts
+from spoor.llm.common import kind, prepare, small, text_of, texts
 
 KINDS = "assign", "access", "hex", "random"
 #: The base patterns and the least lengths of their matches.
@@ -32,108 +35,139 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 #: What an assignment needs somewhere, so that most texts are passed over quickly.
 CUE = re.compile(r"(?ai:passw|secret|token|api_?key)")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-_CODE = np.full(256, len(ALPHABET), np.uint8)
+#: Characters of runs; a run may end in up to two = besides.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+#: Codes of bytes of letters beyond ASCII, and of all else, which ends a run.
+BEYOND, EDGE = len(ALPHABET), len(ALPHABET) + 1
+N = EDGE + 1
+_CODE = np.full(256, EDGE, np.uint8)
+_CODE[128:] = BEYOND
 _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
-N = len(ALPHABET) + 1
+#: Thresholds of the log-likelihood ratio, in all and a character.
+WHOLE, EACH = 24.0, 0.7
 
-#: Words that identifiers and prose of the ordinary class are made of.
+#: Words that ordinary identifiers are made of, besides those of the texts themselves.
 WORDS = (
-    "about account action active address after agent alpha amount answer array article async average backup batch before "
-    "begin binary block board bridge browser buffer build button cache callback campaign cancel category center channel character chart check child class "
-    "click client close cluster code collection color column command comment commit common company compile complete component config "
-    "connect console contact container content context control convert cookie count create current customer data database date debug "
-    "default delete deploy design desktop detail device digital direct directory display document domain download driver dynamic editor "
-    "element email empty enable engine entry error event example execute export express external feature field file filter final find "
-    "first folder font footer format forum frame free from function future gallery game general generate global graph group handle header "
-    "height hello history home host html image import index info init input install instance integer interface internal island item "
-    "java job journal key keyboard label language large last layout length letter level library license light line link list load local "
-    "locale location login lower machine main manager map market master match matrix member memory menu message method middle minute "
-    "mobile mode model module month monitor mouse music name native network news next node normal note number object office online open "
-    "option order output over package page panel parent parse party password path pattern payment people period person phone photo "
-    "picture place plain platform player plugin point policy popular position post power preview price print private process product "
-    "profile program project property provider public query question queue random range rating reader record region register release "
-    "remote remove render replace report request require reset resource response result return review right round route sample schema "
-    "screen script search second section secure select sequence server service session setting shadow share shell short signal simple "
-    "single site size slider small social software source space special sport stack standard start state static station status storage "
-    "store stream string structure student style submit summary support switch symbol system table target task team template term test "
-    "text theme thread ticket time title token tool topic total track traffic transaction transfer travel tree trigger type under union "
-    "unit update upload upper user utility value variable vector version video view visible visit warning watch weather website week "
-    "weight widget width window winter word worker world write yellow zone einen schaft lich keit heit ungen verlag ment tion tionner elle ent "
-    "cion miento dad para este aux eau leur ance anger ather ering erson estion therein andre onwhat interest nation mention"
+    "account action address array async backup batch begin block buffer build button cache callback cancel channel char check class client close cluster code collection "
+    "color column command commit common compile config connect console container content context control convert cookie count create current data database date debug "
+    "default delete deploy device directory display document download driver editor element email empty enable engine entry error event execute export field file filter "
+    "find first folder format frame from function generate global group handle header height history host html image import index info init input insert instance integer "
+    "interface item job key label language last layout length level library line link list load local locale location login manager map match member memory menu message "
+    "method mobile mode model module name network node number object option order output page panel parent parse path pattern payment port position preview print process "
+    "product profile project property provider public query queue range"
 ).split()
 
 
-def samples(n: int = 4000, seed: int = 11) -> list[tuple[str, int]]:
-    """A labelled table: (string, 1 for random or 0 for ordinary)."""
+def composed(words: list[str], rng: random.Random) -> str:
+    """An identifier made of words, in one of the usual ways."""
+    some = rng.choices(words, k=rng.randint(1, 4))
+    how = rng.randrange(9)
+    text = (
+        "".join(w.capitalize() for w in some) if how == 0 else some[0] + "".join(w.capitalize() for w in some[1:]) if how == 1 else "_".join(some) if how == 2 else "-".join(some) if how == 3
+        else "/".join(some) if how == 4 else "_".join(some).upper() if how == 5 else some[0].upper() if how == 6 else some[0].capitalize() if how == 7 else some[0]
+    )
+    return text + (rng.choice(["", "-", "_"]) + str(rng.randint(0, 2030)) if rng.random() < 0.15 else "")
+
+
+#: Pools of random strings, and how often each is drawn from.
+POOLS = [(ALPHABET[:64], 40), (ALPHABET[:62], 40), (ALPHABET[26:62], 15), (ALPHABET[:26] + ALPHABET[52:62], 20), ("0123456789abcdef", 8), ("0123456789ABCDEF", 6), (ALPHABET[:62] + "_-", 30), (ALPHABET[26:52], 6), (ALPHABET[:26], 6), (ALPHABET[:52], 10)]
+
+
+def samples(words: list[str] = WORDS, n: int = 6000, seed: int = 11, pools: list[tuple[str, int]] = POOLS) -> list[tuple[str, int]]:
+    """A labelled table: (string, 1 for random or 0 for ordinary). words: what ordinary strings are made of."""
     rng = random.Random(seed)
-    alnum = ALPHABET[:62]
-    pools = [(ALPHABET[:64], 40), (alnum, 40), (ALPHABET[26:62], 15), (ALPHABET[:26] + ALPHABET[52:62], 20), ("0123456789abcdef", 8), (alnum + "_-", 30)]
     out = []
     for _ in range(n):
         pool = rng.choices([p for p, _ in pools], [w for _, w in pools])[0]
-        out.append(("".join(rng.choices(pool, k=rng.randint(16, 64))), 1))
-        words = rng.choices(WORDS, k=rng.randint(2, 5))
-        how = rng.randrange(8)
-        if how == 0:
-            text = "".join(w.capitalize() for w in words)
-        elif how == 1:
-            text = words[0] + "".join(w.capitalize() for w in words[1:])
-        elif how in (2, 3):
-            text = ("_" if how == 2 else "-").join(words)
-        elif how == 4:
-            text = "/".join(words)
-        elif how == 5:
-            text = "_".join(words).upper()
-        elif how == 6:
-            text = "".join(words)
-        else:
-            text = "-".join(words) + rng.choice("-_") + str(rng.randint(1, 2030))
-        if rng.random() < 0.2:
-            text += str(rng.randint(0, 99))
-        out.append((text, 0))
+        out.append(("".join(rng.choices(pool, k=rng.randint(12, 64))), 1))
+        out.append((composed(words, rng), 0))
     for _ in range(n // 8):
-        a = [str(rng.randint(1, 31)), str(rng.randint(1, 12)), str(rng.randint(1990, 2030))]
-        out.append(("-".join(rng.sample(a, 3)), 0))
-        out.append((rng.choice("-=_/+") * rng.randint(16, 60), 0))
-        out.append((str(rng.randint(10, 999)) * rng.randint(4, 9), 0))
+        date = [str(rng.randint(1, 31)), f"{rng.randint(1, 12):02}", str(rng.randint(1990, 2030))]
+        out.append(("-".join(date[:: rng.choice([1, -1])]), 0))
+        out.append((rng.choice(ALPHABET) * rng.randint(2, 60), 0))
+        out += [("".join(rng.choices("0123456789", k=rng.randint(1, 20))), 0) for _ in range(3)]
     return out
 
 
-@lru_cache(1)
-def models() -> np.ndarray:
-    """log P(random) - log P(ordinary) of a character behind two others; N * N * N."""
-    counts = np.zeros((2, N + 1, N + 1, N), np.float64)
-    for text, label in samples():
-        codes = np.concatenate([[N, N], _CODE[np.frombuffer(text.encode(), np.uint8)]])
-        np.add.at(counts[label], (codes[:-2], codes[1:-1], codes[2:]), 1.0)
-    # A rare context falls back on what one character tells, and that on how frequent characters are.
-    none = counts.sum(axis=(1, 2)) + 1.0
-    none /= none.sum(axis=-1, keepdims=True)
-    one = counts.sum(axis=1)
-    one = (one + 4.0 * none[:, None]) / (one.sum(axis=-1, keepdims=True) + 4.0)
-    mixed = (counts + 2.0 * one[:, None]) / (counts.sum(axis=-1, keepdims=True) + 2.0)
-    return np.log(mixed[1]) - np.log(mixed[0])
+#: Documents whose words make ordinary samples, and how many words at most.
+SAMPLE_DOCS, SAMPLE_WORDS = 2_000, 20_000
+
 
+def samples_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS, **how) -> DataFrame:
+    """samples() as a table: string, label. Ordinary ones are made of WORDS and of words that several documents have.
 
-def ratio(text: str) -> float:
-    """Log-likelihood ratio of random against ordinary."""
-    codes = np.concatenate([[N, N], _CODE[np.frombuffer(text.encode("ascii"), np.uint8)]])
-    return float(models()[codes[:-2], codes[1:-1], codes[2:]].sum())
+    A secret is hardly ever in several documents, so words of letters that at least three different texts have
+    are ordinary. They come from the sample_docs documents whose ids have the lowest hashes, sample_words of
+    them at most, again those with the lowest hashes.
+    """
+    spark = docs.sparkSession
+    ids = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h")).distinct().orderBy("h").limit(sample_docs)
+    some = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), text_of(text_col).alias("t")).join(F.broadcast(ids), "h", "left_semi")
+    words = some.select(F.xxhash64("t").alias("k"), F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"([\p{L}]+)"), F.lit(1)))).alias("w")).filter("length(w) between 2 and 60")
+    often = words.groupBy("w").agg(F.countDistinct("k").alias("n")).filter("n >= 3").select("w").orderBy(F.xxhash64("w"), "w").limit(sample_words)
+    found = sorted(r["w"] for r in often.collect())
+    rows = samples(WORDS, **how) + [x for x in samples(found, seed=12, **how) if not x[1]] + [(x, 0) for w in found for x in (w, w.upper(), w.capitalize())] if found else samples(WORDS, **how)
+    return spark.createDataFrame(rows, "string string, label int")
 
 
-def is_random(run: str, each: float = 0.6, least: float = 14.0) -> bool:
-    """Random strings of 16 and more characters hold several kinds of characters, so others aren't scored."""
-    kinds = bool(_LOWER.search(run)) + bool(_UPPER.search(run)) + bool(_DIGIT.search(run))
-    if kinds < 2 or not _DIGIT.search(run) and len(_TURN.findall(run)) * 4 < len(run):
-        return False
-    llr = ratio(run)
-    return llr >= least and llr >= each * len(run)
+#: Samples that the models are trained on at most; a larger table raises.
+MAX_SAMPLES = 200_000
 
 
-_LOWER, _UPPER, _DIGIT, _TURN = (re.compile(x) for x in ("[a-z]", "[A-Z]", "[0-9]", "[a-z][A-Z]|[A-Z][a-z]"))
+def fit(table: DataFrame) -> np.ndarray:
+    """The models of a labelled table: string, label."""
+    rows = table.select("string", "label").filter("string <> '' and label is not null").limit(MAX_SAMPLES + 1).collect()
+    if len(rows) > MAX_SAMPLES:
+        raise ValueError(f"over {MAX_SAMPLES} labelled strings")
+    return models([(r["string"], int(r["label"] > 0)) for r in rows])
+
+
+def models(rows: list[tuple[str, int]]) -> np.ndarray:
+    """log P(random) - log P(ordinary) of each code behind two others; N * N * N."""
+    counts = np.zeros((2, N, N, N), np.float64)
+    for label in (0, 1):
+        joined = "\n\n" + "".join(f"{text}\n\n" for text, of in rows if of == label)
+        codes = _CODE[np.frombuffer(joined.encode(), np.uint8)].astype(np.int64)
+        inside = codes[2:] != EDGE
+        counts[label] += np.bincount(((codes[:-2] * N + codes[1:-1]) * N + codes[2:])[inside], minlength=N**3).reshape(N, N, N)
+    # A rare context falls back on what one character tells, and that on how frequent characters are.
+    none = counts.sum(axis=(1, 2)) + 1.0
+    none /= none.sum(axis=-1, keepdims=True)
+    one = counts.sum(axis=1)
+    one = (one + 4.0 * none[:, None]) / (one.sum(axis=-1, keepdims=True) + 4.0)
+    mixed = (counts + 2.0 * one[:, None]) / (counts.sum(axis=-1, keepdims=True) + 2.0)
+    return (np.log(mixed[1]) - np.log(mixed[0])).astype(np.float32)
+
+
+def ratios(data: bytes, model: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and log-likelihood ratio of every run of key characters in UTF-8."""
+    codes = np.concatenate([[EDGE, EDGE], _CODE[np.frombuffer(data, np.uint8)], [EDGE]]).astype(np.int32)
+    inside = codes < BEYOND
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    each = model.ravel()[(codes[:-2] * N + codes[1:-1]) * N + codes[2:]].astype(np.float64)  # of the code two further on
+    sums = np.concatenate([[0.0], np.cumsum(np.where(inside[2:], each, 0.0))])
+    return starts - 2, ends - 2, sums[ends - 2] - sums[starts - 2]
+
+
+def model_spans(found: list[str], model: np.ndarray) -> list[list[tuple[int, int]]]:
+    """For each text the runs that the models alone take for secrets, as code points."""
+    out: list[list[tuple[int, int]]] = [[] for _ in found]
+    raw = [t.encode() for t in found]
+    begins = np.cumsum([0, *(len(x) + 1 for x in raw)])
+    starts, ends, llr = ratios(b"\n".join(raw), model)
+    hits = np.flatnonzero((llr >= WHOLE) & (llr >= EACH * (ends - starts)))
+    for i in hits.tolist():
+        k = int(np.searchsorted(begins, starts[i], "right")) - 1
+        a, b = int(starts[i] - begins[k]), int(ends[i] - begins[k])
+        while b < len(raw[k]) and b < int(ends[i] - begins[k]) + 2 and raw[k][b] == 0x3D:
+            b += 1
+        if len(raw[k]) != len(found[k]):
+            a = len(raw[k][:a].decode())
+            b = a + int(b - (starts[i] - begins[k]))
+        out[k].append((a, b))
+    return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -147,57 +181,64 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """The base spans, and those with what the models add: runs that no base span touches."""
-    base = base_spans(text)
-    more, k, reach = [], 0, 0
-    for m in RUN.finditer(text):
-        while k < len(base) and base[k][0] < m.end():
-            reach = max(reach, base[k][2])
-            k += 1
-        if reach <= m.start() and is_random(m[0]):
-            more.append((m.start(), 3, m.end()))
-    return base, sorted(base + more)
+def all_spans(found: list[str], model: np.ndarray) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+    """For each text its base spans, and those with what the models add: runs that no base span overlaps."""
+    out = []
+    for text, runs in zip(found, model_spans(found, model), strict=True):
+        base = base_spans(text)
+        more, k, reach = [], 0, 0
+        for a, e in runs:
+            while k < len(base) and base[k][0] < e:
+                reach = max(reach, base[k][2])
+                k += 1
+            if reach <= a:
+                more.append((a, 3, e))
+        out.append((base, sorted(base + more)))
+    return out
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        found = [all_spans(x) for x in texts(b, "t")]
+def _scan(batches: Iterator[pa.RecordBatch], model: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for b in small(batches):
+        found = all_spans(texts(b, "t"), model)
         counts = [pa.array([sum(s[1] == k for s in base) for base, _ in found], pa.int64()) for k in range(3)]
         names = [pa.array([joined(x[i]) for x in found], pa.string()) for i in (0, 1)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, *names], ["doc_id", "n_assign", "n_access", "n_hex", "base", "spans"])
+        total = pa.array([len(x) for _, x in found], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, *names, total], ["doc_id", "n_assign", "n_access", "n_hex", "base", "spans", "n_spans"])
+
 
+def scan(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_assign, n_access, n_hex (plain ones), base, spans (kind:start:end, comma-joined), n_spans.
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_assign, n_access, n_hex, base, spans (kind:start:end, comma-joined)."""
+    table: labelled strings, as samples_table() gives them.
+    """
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
-    return rows.mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("t"))
+    kinds = dict.fromkeys(("n_assign", "n_access", "n_hex"), "long") | {"base": "string", "spans": "string", "n_spans": "long"}
+    return rows.mapInArrow(partial(_scan, model=fit(table)), kind(rows.select("doc_id"), **kinds))
 
 
-def masked(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def masked(docs: DataFrame, table: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with each secret of the text, base or added, replaced by mark; all other columns as they were."""
     prepare(docs.sparkSession)
     at = docs.columns.index(text_col)
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
-    return plain.mapInArrow(partial(_masked, at=at, mark=mark), plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(partial(_masked, at=at, mark=mark, model=fit(table)), plain.schema).toDF(*docs.columns)
 
 
-def _masked(batches: Iterator[pa.RecordBatch], at: int, mark: str) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+def _masked(batches: Iterator[pa.RecordBatch], at: int, mark: str, model: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for b in small(batches, f"c{at}"):
         out = []
-        for text in b.column(at).to_pylist():
-            if text:
-                parts, last = [], 0
-                for a, _, e in all_spans(text)[1]:
-                    if a >= last:
-                        parts += [text[last:a], mark]
-                    last = max(last, e)
-                text = "".join([*parts, text[last:]])
-            out.append(text)
+        whole = b.column(at).to_pylist()
+        for text, (_, spans) in zip(whole, all_spans([t or "" for t in whole], model), strict=True):
+            parts, last = [], 0
+            for a, _, e in spans:
+                if a >= last:
+                    parts += [text[last:a], mark]
+                last = max(last, e)
+            out.append("".join([*parts, text[last:]]) if parts else text)
         columns = [pa.array(out, b.schema.field(at).type) if i == at else c for i, c in enumerate(b.columns)]
         yield pa.RecordBatch.from_arrays(columns, b.schema.names)
