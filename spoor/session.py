@@ -27,17 +27,10 @@ def ship(spark: SparkSession) -> None:
     sc._spoor_shipped = True
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of whole texts must stay small enough for a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or the context's checkpoint folder.
 
-    A folder of this machine is made only where neither is set, as in tests.
+    A folder of this machine is made only where neither is set and all runs on this machine, as in tests.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
@@ -45,6 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = "file://" + tempfile.mkdtemp(prefix="spoor-shared-")
     spark.sparkContext.setCheckpointDir(path)
     return path
@@ -58,5 +54,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() made and that no later plan reads."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
