@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spoor.session import discard, shared_dir, ship, table, written
 
-__all__ = ["prepare", "shared_dir", "table", "written", "discard", "text_of", "texts", "raw", "small", "kind", "fresh"]
+__all__ = ["positioned", "in_place", "prepare", "shared_dir", "table", "written", "discard", "text_of", "texts", "raw", "small", "kind", "fresh"]
 
 #: Bytes of text that a Python worker handles at once; a longer text is handled alone.
 PART_BYTES = 2 << 20
@@ -67,3 +67,41 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in have:
         name = f"_{name}"
     return name
+
+
+#: Bytes of one side that a join broadcasts at most.
+BROADCAST_BYTES = 64 << 20
+
+
+def positioned(docs: DataFrame, stored: bool) -> tuple[DataFrame, str, str]:
+    """docs with two columns that say where each row lies, a hash of its file and its number in it; and their names.
+
+    stored: docs is a Parquet table as read, perhaps filtered or with fewer columns, so that its rows have
+    lasting places. Any other DataFrame is written to the shared folder first.
+    """
+    file, row = fresh(docs, "_file"), fresh(docs, "_row")
+    if not stored:
+        docs = written(docs, "docs")
+    where = docs.metadataColumn("_metadata")
+    return docs.select("*", F.xxhash64(where["file_path"]).alias(file), where["row_index"].alias(row)), file, row
+
+
+def in_place(docs: DataFrame, side: DataFrame, file: str, row: str, how: str, size: Column) -> DataFrame:
+    """docs, as positioned, joined on its places with side (file, row, ...) while its rows stay where they are.
+
+    side is broadcast. If it has over BROADCAST_BYTES, counting size a row, the files of docs are dealt into
+    groups, and each group is read by itself and joined with its part of side, so no more than that is
+    broadcast at once and every file is read once.
+    """
+    total = side.agg(F.sum(size + F.lit(64))).first()[0] or 0
+    k = -(-total // BROADCAST_BYTES)
+    if k <= 1:
+        return docs.join(F.broadcast(side), [file, row], how)
+    group = fresh(docs, "_group")
+    of = F.pmod(F.col(file), F.lit(k))
+    parts = written(side.withColumn(group, of), "side", by=group)
+    out = None
+    for i in range(k):
+        part = docs.filter(of == i).join(F.broadcast(parts.filter(F.col(group) == i).drop(group)), [file, row], how)
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -1,14 +1,17 @@
 """Exact duplicates by two-pass Bloom filtering, with DataFrame functions only.
 
-Pass 1 counts how many documents set each slot of a Bloom filter whose two bits per document lie in one
-64-bit word, and keeps the bits that at least two documents set. Pass 2 tests each document against that
-filter: texts that don't have both bits can't have a copy and pass straight through; only the rest
-shuffle on their hash. The counts combine before the shuffle, so one group of copies may hold any share of
-the rows. The filter is broadcast only while it has at most BROADCAST_WORDS words; beyond it, the test
-itself is a join on words.
-
-Null texts count as empty; empty texts are equal to each other. Rows that repeat in every column are
-copies like any other: one stays. An empty table gives an empty result. A null id loses ties to any other.
+Pass 1 gives each document a word of a Bloom filter and two bits in it, from a hash of its normalised text,
+counts how many documents have each pair of bits, which combines before the shuffle, and keeps the bits of
+pairs that at least two have. Pass 2 tests each document against that filter: texts that don't have both
+bits can't have a copy and pass straight through; only the rest shuffle on their hash. One group of copies
+may hold any share of the rows. The filter has a word for each repeated text at most and is broadcast up to
+BROADCAST_WORDS of them; beyond, the test is a join on words of places and hashes. Texts never shuffle: they
+are read once to be hashed and once to be kept, in place (see in_place()).
+
+Null texts count as empty; empty texts are equal to each other. Very long texts are hashed whole. Of equal
+texts the longest original stays, of these the smallest id; a null id loses ties to any other. Rows that
+repeat in every column are copies like any other: one stays. Ids keep their type. Extra columns, whatever
+their names, are kept by drop_copies() and ignored by groups(). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoor.llm.common import SPACES, fresh, text_of, written
+from spoor.llm.common import SPACES, discard, fresh, in_place, positioned, text_of, written
 
 #: At most 16 bytes each, so the filter is broadcast up to about 32 MB.
 BROADCAST_WORDS = 2_000_000
@@ -33,34 +36,30 @@ def digest(text_col: str) -> Column:
     return F.sha2(normalised(text_of(text_col)).cast("binary"), 256)
 
 
-def _bit(h: Column, k: int) -> Column:
-    return F.shiftrightunsigned(h, 40 + 6 * k).bitwiseAND(F.lit(63).cast("long")).cast("int")
-
-
 def _word(h: Column, words: int) -> Column:
     return h.bitwiseAND(F.lit(words - 1).cast("long"))
 
 
-def repeated_bits(hashes: DataFrame, words: int) -> DataFrame:
-    """word, bits: the bits of the Bloom filter that at least two rows of hashes (h) set."""
-    h = F.col("h")
-    slots = F.when(_bit(h, 0) == _bit(h, 1), F.array(_bit(h, 0))).otherwise(F.array(_bit(h, 0), _bit(h, 1)))
-    hit = hashes.select(_word(h, words).alias("word"), F.explode(slots).alias("bit")).groupBy("word", "bit").count().filter("count > 1")
-    return hit.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+def _bits(h: Column) -> Column:
+    """Two of the 64 bits of a word, by bits of the hash that _word() doesn't look at."""
+    one, two = (F.shiftrightunsigned(h, 40 + 6 * k).bitwiseAND(F.lit(63).cast("long")).cast("int") for k in (0, 1))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), one).bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), two))
+
 
+def repeated_bits(hashes: DataFrame, words: int) -> DataFrame:
+    """word, bits: the filter of the hashes (h) that at least two rows have."""
+    pairs = hashes.select(_word(F.col("h"), words).alias("word"), _bits(F.col("h")).alias("pair")).groupBy("word", "pair").count().filter("count > 1")
+    return pairs.groupBy("word").agg(F.bit_or("pair").alias("bits"))
 
-def flagged(rows: DataFrame, hashes: DataFrame, h: Column, name: str) -> DataFrame:
-    """rows with the boolean column name: false only where no other row has the same hash h.
 
-    hashes: a written table with the hash of every row as h.
-    """
-    words = 1 << max(10, (hashes.count() // 2).bit_length())  # two rows a word, 32 bits a row
-    bloom = written(repeated_bits(hashes, words), "bloom").toDF(word := fresh(rows, "_word"), bits := fresh(rows, "_bits"))
+def flagged(rows: DataFrame, name: str) -> DataFrame:
+    """rows, a written table with hash h, with the boolean column name: false only where no other row has the same h."""
+    words = 1 << max(10, (rows.count() // 2).bit_length())  # two rows a word, 32 bits a row
+    bloom = written(repeated_bits(rows.select("h"), words), "bloom")
     side = F.broadcast(bloom) if bloom.count() <= BROADCAST_WORDS else bloom
-    one, two = fresh(rows, "_one"), fresh(rows, "_two")
-    tested = rows.withColumns({word: _word(h, words), one: _bit(h, 0), two: _bit(h, 1)}).join(side, word, "left")
-    mask = F.expr(f"shiftleft(1L, `{one}`) | shiftleft(1L, `{two}`)")
-    return tested.withColumn(name, F.coalesce(F.col(bits).bitwiseAND(mask) == mask, F.lit(False))).drop(word, bits, one, two)
+    tested = rows.withColumn("word", _word(F.col("h"), words)).join(side, "word", "left")
+    pair = _bits(F.col("h"))
+    return tested.withColumn(name, F.coalesce(F.col("bits").bitwiseAND(pair) == pair, F.lit(False))).drop("word", "bits")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,7 +69,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     seen = docs.select(F.col(id_col).alias("doc_id"), F.char_length(text_of(text_col)).alias("n"), digest(text_col).alias("text_sha256"))
     seen = written(seen.withColumn("h", F.xxhash64("text_sha256")).withColumn("rid", F.monotonically_increasing_id()), "digests")
-    tested = flagged(seen, seen.select("h"), F.col("h"), "maybe")
+    tested = flagged(seen, "maybe")
     alone = tested.filter("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = tested.filter("maybe").select("doc_id", "n", "text_sha256", "rid")
     best = F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "rid"))
@@ -79,22 +78,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return alone.unionByName(joined.select("doc_id", F.col("best.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256"))
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of equal texts, all its columns as they were.
-
-    Documents that the filter clears pass straight through with their text; of the others, only the
-    winners of their group are taken.
-    """
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: bool = False) -> DataFrame:
+    """docs with one row of each group of equal texts, all its columns as they were. stored: see positioned()."""
     cols = docs.columns
-    sha, maybe, rank, size, win, win_n, win_id = (fresh(docs, x) for x in ("_sha", "_maybe", "_rank", "_size", "_win", "_win_n", "_win_id"))
-    keyed = docs.withColumn(sha, digest(text_col))
-    hashes = written(keyed.select(F.xxhash64(sha).alias("h")), "hashes")
-    tested = flagged(keyed, hashes, F.xxhash64(sha), maybe)
-    rest = tested.filter(F.col(maybe)).withColumn(size, F.char_length(text_of(text_col)))
-    order = F.struct((-F.col(size)).alias("n"), F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"))
-    best = written(rest.groupBy(sha).agg(F.min(order).alias("best")).select(F.col(sha).alias(win), (-F.col("best.n")).alias(win_n), F.col("best.id").alias(win_id)), "winners")
-    # By hash, size and id, so that a large group of copies spreads out and only its winner meets its match.
-    won = rest.join(best, (F.col(sha) == F.col(win)) & (F.col(size) == F.col(win_n)) & F.col(id_col).eqNullSafe(F.col(win_id)), "left_semi")
-    # Rows that tie in id and length repeat one document; the limit on ranks works before the shuffle too.
-    first = won.withColumn(rank, F.row_number().over(Window.partitionBy(sha).orderBy(text_col))).filter(F.col(rank) == 1)
-    return tested.filter(~F.col(maybe)).select(*cols).unionByName(first.select(*cols))
+    placed, file, row = positioned(docs, stored)
+    seen = placed.select(F.col(file).alias("file"), F.col(row).alias("row"), F.col(id_col).alias("id"), F.char_length(text_of(text_col)).alias("n"), F.unhex(digest(text_col)).alias("sha"))
+    seen = written(seen.withColumn("h", F.xxhash64("sha")), "digests")
+    maybe = flagged(seen, "maybe").filter("maybe").select("sha", "n", "id", "file", "row")
+    maybe = written(maybe, "maybe")
+    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("no_id"), "id", "file", "row"))
+    stay = maybe.groupBy("sha").agg(best.alias("best")).select("best.file", "best.row")
+    gone = maybe.join(stay, ["file", "row"], "left_anti").select(F.col("file").alias(file), F.col("row").alias(row))  # by place, so a large group spreads out
+    gone = written(gone, "copies")
+    discard(seen, maybe)
+    return in_place(placed, gone, file, row, "left_anti", F.lit(0)).select(*cols)
