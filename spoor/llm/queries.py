@@ -17,7 +17,7 @@ TOKEN_LIMIT = 4096
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.keep_bitmaps(table(spark, sf_dir, "documents"), min_docs=10, keep_first=False).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    return line_dedup.keep_bitmaps(table(spark, sf_dir, "documents"), min_docs=10, keep_first=False, stored=True).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
