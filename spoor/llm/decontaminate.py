@@ -1,20 +1,26 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised benchmark texts.
 
-A-Z are lower-cased and words are runs of digits, a-z and code points from 0x80. Every window of an item
-(13 consecutive words; a shorter item is one window) is a pattern of the automaton, with a space before,
-between and after its words; a document's normalised text is scanned once and match ends are mapped back
-to words, and words to offsets in the original text. The automaton is built from blocks of items of
-bounded size, so a benchmark of any size takes more scans, not more memory.
-
-Nulls and texts without words have nothing to hit; items without words are ignored. Items that repeat an
-id are one item with the windows of all its rows; items without an id are ignored. Repeated documents are
-repeated in the result; extra columns are ignored. Empty tables: no documents, no rows; no items, no hits.
+A-Z are lower-cased and words are runs of digits, a-z and code points from 0x80. A window of an item is 13
+consecutive words, or all of a shorter item. Whatever 13 consecutive words of an item a document repeats, 7 of
+them that begin at a multiple of 7 are among them; so the patterns of the automaton are these pieces, and
+whole short items. Words are written as fixed numbers of letters from a small alphabet, which keeps nodes
+few and their branches short: three letters a word at most, and a word that no item has is like any other
+such. A document is scanned once; where a piece is found, the words around it are compared with the item's,
+and at least 13 in a row are hits. Hits are mapped back to words, and words to offsets in the original text.
+
+The automaton holds at most BLOCK_CHARS characters of items, some 60 bytes each, and goes to the workers as
+a broadcast variable. A larger benchmark is several automata, one after another: each scan writes what it
+found, by place, before the next begins.
+
+Nulls and texts without words have nothing to hit; items without words are ignored. Very long texts are
+scanned whole, in time in proportion to their length. Items that repeat an id are one item with the windows
+of all its rows; items without an id are ignored; items that tie in a window are all counted. Repeated
+documents are repeated in the result; ids of both tables keep their types; extra columns are ignored.
+Empty tables: no documents, no rows; no items, no hits.
 """
 
 from __future__ import annotations
 
-import bisect
-import hashlib
 import itertools
 import re
 from collections.abc import Iterator
@@ -24,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoor.llm.common import prepare, text_of, texts
+from spoor.llm.common import discard, in_place, kind, positioned, prepare, small, text_of, texts, written
 
-WINDOW = 13
-#: Characters of item texts in one automaton: it bounds a worker's memory and what is broadcast.
-BLOCK_CHARS = 2_000_000
+WINDOW, PIECE = 13, 7
+#: Characters of item texts in one automaton.
+BLOCK_CHARS = 4_000_000
 LOWER = {a: a + 32 for a in range(0x41, 0x5B)}
 #: Fixed value: what a word is, after lower-casing.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -38,53 +44,76 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.translate(LOWER) if not text.isascii() else text.lower())
 
 
-def windows(item: list[str], n: int = WINDOW) -> set[str]:
-    return {" ".join(item[i : i + n]) for i in range(max(1, len(item) - n + 1))} if item else set()
+class Items:
+    """The automaton over a block of items, and what it needs to tell hits from it."""
 
-
-_BUILT: dict[str, object] = {}
-
-
-def automaton(key: str, items: list[tuple[int, str]]):
-    """Pattern -> (number of words, item ids). The worker keeps the last one it made."""
-    if key not in _BUILT:
+    def __init__(self, items: list[tuple[object, str]]) -> None:
         import ahocorasick
 
-        of: dict[str, set[int]] = {}
-        for item_id, text in items:
-            for w in windows(words(text)):
-                of.setdefault(w, set()).add(item_id)
-        made = ahocorasick.Automaton()
-        for w, ids in of.items():
-            made.add_word(f" {w} ", (w.count(" ") + 1, tuple(sorted(ids))))
-        if of:
-            made.make_automaton()
-        _BUILT.clear()
-        _BUILT[key] = made if of else None
-    return _BUILT[key]
-
-
-def hits(found: list[str], made) -> tuple[list[tuple[int, int]], set[int]]:
-    """Ranges of hit words (merged, end exclusive), in order, and the ids of the items they come from."""
-    if not found or made is None:
-        return [], set()
-    text = f" {' '.join(found)} "
-    ends = None
-    ranges: list[tuple[int, int]] = []
-    ids: set[int] = set()
-    for end, (n, of) in made.iter(text):
-        if ends is None:  # only for documents with a match: where the space after each word is
-            ends = list(itertools.accumulate(len(w) + 1 for w in found))
-        last = bisect.bisect_left(ends, end) + 1
-        ids.update(of)
-        ranges.append((last - n, last))
-    merged: list[tuple[int, int]] = []
-    for a, b in sorted(ranges):
-        if merged and a <= merged[-1][1]:
-            merged[-1] = merged[-1][0], max(b, merged[-1][1])
+        self.texts = [(i, w) for i, w in ((i, words(t)) for i, t in items) if w]
+        known = dict.fromkeys(w for _, found in self.texts for w in found)
+        size = 2
+        while size**3 < len(known) + 1:
+            size += 1
+        # Three alphabets, one for each letter of a word, so that no match begins inside a word.
+        letters = [[chr(0x100 + size * k + j) for j in range(size)] for k in range(3)]
+        codes = itertools.islice(itertools.product(*letters), 1, None)  # the first is for words of no item
+        self.code = dict(zip(known, map("".join, codes), strict=False))
+        self.other = "".join(x[0] for x in letters)
+        patterns: dict[str, list[tuple[int, int]]] = {}
+        for k, (_, found) in enumerate(self.texts):
+            for a in range(0, len(found) - PIECE + 1, PIECE) if len(found) >= WINDOW else (0,):
+                part = found[a : a + PIECE] if len(found) >= WINDOW else found
+                patterns.setdefault("".join(map(self.code.__getitem__, part)), []).append((k, a))
+        self.automaton = None
+        if patterns:
+            self.automaton = ahocorasick.Automaton()
+            for pattern, of in patterns.items():
+                self.automaton.add_word(pattern, (len(pattern) // 3, of))
+            self.automaton.make_automaton()
+
+    def hits(self, found: list[str]) -> tuple[list[tuple[int, int]], set]:
+        """Ranges of hit words (merged, end exclusive), in order, and the ids of the items they come from."""
+        if not found or self.automaton is None:
+            return [], set()
+        code, other = self.code, self.other
+        ranges: list[tuple[int, int]] = []
+        ids: set = set()
+        looked: dict[tuple[int, int], int] = {}  # item and shift -> how far it was compared
+        for end, (n, of) in self.automaton.iter("".join([code.get(w, other) for w in found])):
+            b = end // 3 + 1
+            a = b - n
+            for k, at in of:
+                i, item = self.texts[k]
+                if len(item) < WINDOW:
+                    ranges.append((a, b))
+                    ids.add(i)
+                elif looked.get((k, a - at), 0) < b:
+                    first, last, left, right = a, b, at, at + n
+                    while first and left and found[first - 1] == item[left - 1]:
+                        first, left = first - 1, left - 1
+                    while last < len(found) and right < len(item) and found[last] == item[right]:
+                        last, right = last + 1, right + 1
+                    looked[k, a - at] = last
+                    if last - first >= WINDOW:
+                        ranges.append((first, last))
+                        ids.add(i)
+        return merged(ranges), ids
+
+
+def merged(ranges: list) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(map(tuple, ranges)):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
         else:
-            merged.append((a, b))
-    return merged, ids
+            out.append((a, b))
+    return out
+
+
+def contaminates(n_hit: int, n_words: int) -> bool:
+    """Some words are hit, and at least a twentieth of all."""
+    return n_hit > 0 and 20 * n_hit >= n_words
 
 
 def spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -95,21 +124,52 @@ def spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(at[a][0], at[b - 1][1]) for a, b in ranges]
 
 
-def _scan(batches: Iterator[pa.RecordBatch], key: str, items: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
-    made = automaton(key, items)
+_BUILT: dict[int, Items] = {}
+
+
+def built(block) -> Items:
+    """The automaton of a broadcast block of items. The worker keeps the last one it made."""
+    if block.id not in _BUILT:
+        _BUILT.clear()
+        _BUILT[block.id] = Items(block.value)
+    return _BUILT[block.id]
+
+
+class Block:
+    """A block of items as a broadcast variable, with a name of its own."""
+
+    def __init__(self, spark, items: list[tuple[object, str]]) -> None:
+        self.variable = spark.sparkContext.broadcast(items)
+        self.id = self.variable._jbroadcast.id()
+
+    def __getstate__(self) -> dict:
+        return {"variable": self.variable, "id": self.id}
+
+    @property
+    def value(self) -> list[tuple[object, str]]:
+        return self.variable.value
+
+
+FOUND = {"n_words": "long", "hit_words": "array<array<int>>", "spans": "array<array<int>>"}
+
+
+def _scan(batches: Iterator[pa.RecordBatch], block: Block, item_type: str) -> Iterator[pa.RecordBatch]:
+    """Each row without its text t, with n_words, hit_words, spans, items."""
     ranges_kind = pa.list_(pa.list_(pa.int32()))
-    for b in batches:
+    items_kind = pa.list_(pa.type_for_alias(item_type))
+    for b in small(batches):
         out: list[list] = [[], [], [], []]
         for text in texts(b, "t"):
             found = words(text)
-            ranges, ids = hits(found, made)
-            for column, x in zip(out, (len(found), [list(r) for r in ranges], sorted(ids), [list(s) for s in spans(text, ranges)]), strict=True):
+            ranges, ids = built(block).hits(found)
+            for column, x in zip(out, (len(found), [list(r) for r in ranges], [list(s) for s in spans(text, ranges)], sorted(ids)), strict=True):
                 column.append(x)
-        kinds = pa.int64(), ranges_kind, pa.list_(pa.int64()), ranges_kind
-        yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], [*b.schema.names, "n_words", "hit_words", "items", "spans"])
+        kept = [n for n in b.schema.names if n != "t"]
+        kinds = pa.int64(), ranges_kind, ranges_kind, items_kind
+        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], [*kept, *FOUND, "items"])
 
 
-def _blocks(items: Iterator) -> Iterator[list[tuple[int, str]]]:
+def _blocks(items: Iterator) -> Iterator[list[tuple[object, str]]]:
     block, size = [], 0
     for r in items:
         if block and size + len(r["t"]) > BLOCK_CHARS:
@@ -120,64 +180,78 @@ def _blocks(items: Iterator) -> Iterator[list[tuple[int, str]]]:
     yield block
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The columns keep of docs with n_words, hit_words, items, spans; texts stay in column t.
-
-    One block of items is one scan. Several blocks make several scans in a row over the same rows, each
-    adding to the lists of the one before.
-    """
-    prepare(docs.sparkSession)
-    rows = docs.select(*keep, text_of(text_col).alias("t"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), text_of(item_text).alias("t")).filter("i is not null and t <> ''").orderBy("i", "t")
-    have = rows.schema
-    scans = None
-    for block in _blocks(items.toLocalIterator()):
-        key = hashlib.sha256(repr(block).encode()).hexdigest()
-        kind = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in have)}, n_words long, hit_words array<array<int>>, items array<long>, spans array<array<int>>"
-        if scans is None:
-            scans = rows.mapInArrow(partial(_scan, key=key, items=block), kind)
-        else:
-            scans = scans.mapInArrow(partial(_more, key=key, items=block), kind)
-    return scans
+#: Item ids as Arrow names them; ids of other types are taken as strings.
+ARROW = {"bigint": "int64", "int": "int32", "smallint": "int16", "tinyint": "int8"}
 
 
-def _more(batches: Iterator[pa.RecordBatch], key: str, items: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
-    """A further block over rows that a scan has been over."""
-    made = automaton(key, items)
-    for b in batches:
-        hit, ids, offsets = [], [], []
-        for text, old_hit, old_ids in zip(texts(b, "t"), b.column("hit_words").to_pylist(), b.column("items").to_pylist(), strict=True):
-            ranges, more = hits(words(text), made)
-            merged: list[list[int]] = []
-            for a, e in sorted([*map(tuple, old_hit), *ranges]):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(e, merged[-1][1])
-                else:
-                    merged.append([a, e])
-            hit.append(merged)
-            ids.append(sorted({*old_ids, *more}))
-            offsets.append([list(s) for s in spans(text, [(a, e) for a, e in merged])])
-        new = {"hit_words": pa.array(hit, b.schema.field("hit_words").type), "items": pa.array(ids, b.schema.field("items").type), "spans": pa.array(offsets, b.schema.field("spans").type)}
-        yield pa.RecordBatch.from_arrays([new.get(n, c) for n, c in zip(b.schema.names, b.columns, strict=True)], b.schema.names)
+def blocks(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text") -> tuple[list[Block], str, str]:
+    """The items in blocks of bounded size, and the type of their ids for Spark and for Arrow. One block at a time passes through the driver."""
+    spark_type = benchmark.schema[item_col].dataType.simpleString()
+    if spark_type not in ARROW:
+        spark_type = "string"
+    items = benchmark.select(F.col(item_col).cast(spark_type).alias("i"), text_of(item_text).alias("t")).filter("i is not null and t <> ''").orderBy("i", "t")
+    return [Block(benchmark.sparkSession, block) for block in _blocks(items.toLocalIterator())], spark_type, ARROW.get(spark_type, "string")
 
 
 def n_hit() -> Column:
     return F.aggregate("hit_words", F.lit(0).cast("long"), lambda n, r: n + (r[1] - r[0]))
 
 
-def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_hit, items, spans, contaminated.
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of ranges that several scans found, as one."""
+    for b in batches:
+        columns = []
+        for name, c in zip(b.schema.names, b.columns, strict=True):
+            columns.append(pa.array([[list(r) for r in merged([r for part in lists for r in part])] for lists in c.to_pylist()], pa.list_(pa.list_(pa.int32()))) if name in ("hit_words", "spans") else c)
+        yield pa.RecordBatch.from_arrays(columns, b.schema.names)
+
 
-    contaminated: some words are hit, and at least a twentieth of the document's.
-    """
-    found = scan(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), benchmark, ["doc_id"])
+def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_hit, items, spans, contaminated. stored: see positioned()."""
+    prepare(docs.sparkSession)
+    parts, item_type, arrow_type = blocks(benchmark)
+    more = {**FOUND, "items": f"array<{item_type}>"}
+    if len(parts) == 1:
+        rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("t"))
+        found = rows.mapInArrow(partial(_scan, block=parts[0], item_type=arrow_type), kind(rows.select("doc_id"), **more))
+    else:
+        placed, file, row = positioned(docs, stored)
+        placed = placed.select(F.col(id_col).alias("doc_id"), F.col(file).alias("file"), F.col(row).alias("row"), text_of(text_col).alias("t"))
+        narrow = kind(placed.select("doc_id", "file", "row"), **more)
+        scans = [written(placed.mapInArrow(partial(_scan, block=p, item_type=arrow_type), narrow), "scan") for p in parts]
+        hits = scans[0].filter("size(items) > 0")
+        for x in scans[1:]:
+            hits = hits.unionByName(x.filter("size(items) > 0"))
+        hits = hits.groupBy("file", "row").agg(F.collect_list("hit_words").alias("hit_words"), F.collect_list("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        lists = hits.select("file", "row", "items", "hit_words", "spans")
+        hits = written(lists.mapInArrow(_merged, kind(lists.select("file", "row"), items=f"array<{item_type}>", hit_words=FOUND["hit_words"], spans=FOUND["spans"])), "hits")
+        all_rows = scans[0].select("doc_id", "file", "row", "n_words")
+        found = all_rows.join(hits, ["file", "row"], "left")
+        found = found.withColumns({c: F.coalesce(c, F.array().cast(more[c])) for c in ("hit_words", "spans", "items")})
+        discard(*scans[1:])
     found = found.select("doc_id", "n_words", n_hit().alias("n_hit"), "items", "spans")
     return found.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without the contaminated documents, all columns as they were."""
+def _clean(batches: Iterator[pa.RecordBatch], block: Block, at: int) -> Iterator[pa.RecordBatch]:
+    for b in small(batches, f"c{at}"):
+        keep = []
+        for text in b.column(at).to_pylist():
+            found = words(text or "")
+            keep.append(not contaminates(sum(e - a for a, e in built(block).hits(found)[0]), len(found)))
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", stored: bool = False) -> DataFrame:
+    """docs without the contaminated documents, all columns as they were. stored: see positioned()."""
+    prepare(docs.sparkSession)
     cols = docs.columns
-    renamed = docs.toDF(*(f"c{i}" for i in range(len(cols))))
-    found = scan(renamed, benchmark, renamed.columns, text_col=f"c{cols.index(text_col)}").withColumn("n_hit", n_hit())
-    return found.filter("not (n_hit > 0 and 20 * n_hit >= n_words)").select(*renamed.columns).toDF(*cols)
+    at = cols.index(text_col)
+    parts, *_ = blocks(benchmark)
+    if len(parts) == 1 and docs.schema[at].dataType.simpleString() == "string":
+        plain = docs.toDF(*(f"c{i}" for i in range(len(cols))))
+        return plain.mapInArrow(partial(_clean, block=parts[0], at=at), plain.schema).toDF(*cols)
+    placed, file, row = positioned(docs, stored)
+    place = placed.select(F.struct(F.col(file).alias("file"), F.col(row).alias("row")).alias("place"), F.col(text_col).alias("text"))
+    bad = report(place, benchmark, "place", "text").filter("contaminated").select(F.col("doc_id.file").alias(file), F.col("doc_id.row").alias(row))
+    return in_place(placed, written(bad, "contaminated"), file, row, "left_anti", F.lit(0)).select(*cols)
