@@ -6,10 +6,13 @@ hinge-loss model is fitted by dual coordinate descent, and its margin becomes a
 fitted to margins of folds left out. It is fitted on at most max_train labelled documents, those with the
 lowest hashes of their ids; scoring reads every whole text.
 
-Nulls and texts without words have no n-grams and get the score of the intercept. Labels without an id or
-a label, and labels of no document, are ignored; of repeated labels of an id the largest counts. With
-labels of one class or none the score is the smoothed share of label 1. Repeated rows are repeated, extra
-columns ignored. An empty table gives an empty result.
+Nulls and texts without words have no n-grams and get the score of the intercept. Very long texts and words
+are read whole, in time in proportion to their length. Labels without an id or a label, and labels of no
+document, are ignored; of repeated labels of an id the largest counts, and of repeated documents of an id one
+text (that of the smallest hash) is fitted on. Ids that tie in their hash go by the id. With labels of one
+class or none the score is the smoothed share of label 1; a score that ties with the threshold counts as
+above. Repeated rows are repeated; ids keep their type; extra columns are ignored by judged() and kept by
+keep_good(). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoor.llm.common import prepare, raw, text_of
+from spoor.llm.common import kind, prepare, raw, small, text_of
 
 #: At most so many labelled documents are fitted on.
 MAX_TRAIN = 8_000
@@ -43,8 +46,8 @@ _RUNS = re.compile(rb"(.)\1{2,}", re.S)
 
 
 def shape(word: bytes) -> bytes:
-    """Runs of lower case, upper case, digits and each other character, a run as one or, if longer, two."""
-    return _RUNS.sub(rb"\1\1", word[:64].translate(_CLASS))[:12]
+    """Of the whole word: runs of lower case, upper case, digits and each other character, a run as one or, if longer, two."""
+    return _RUNS.sub(rb"\1\1", word.translate(_CLASS))
 
 
 class _Words(dict):
@@ -162,11 +165,6 @@ def train(rows: list[np.ndarray], labels: np.ndarray) -> dict:
     return {"w": w, "scale": scale, "bias": bias, "a": a, "b": b}
 
 
-def score(row: np.ndarray, model: dict) -> float:
-    z = model["a"] * _margin(row, model["w"], model["scale"], model["bias"]) + model["b"]
-    return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
-
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = pa.array([features(x) for x in raw(b, "t")], pa.list_(pa.int32()))
@@ -182,9 +180,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     prepare(docs.sparkSession)
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label is not null")
     marks = marks.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
+    there = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).filter("id is not null")
+    # The documents that labels are for are few; of these, one text an id, and at most max_train ids.
     chosen = marks.orderBy(F.xxhash64("id"), "id").limit(max_train)
-    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).join(F.broadcast(chosen), "id")
-    got = texts.select("id", "label", "t").mapInArrow(_features, "id long, label int, features array<int>").toArrow()
+    texts = there.join(F.broadcast(chosen), "id").withColumn("h", F.xxhash64("t"))
+    got = texts.groupBy("id", "label").agg(F.min_by("t", "h").alias("t")).mapInArrow(_features, kind(chosen, features="array<int>")).toArrow()
     ids, tags, rows = (got.column(c).combine_chunks() for c in ("id", "label", "features"))
     order = np.lexsort((np.array([xxhash.xxh64_intdigest(str(i)) for i in ids.to_pylist()], np.uint64),)) if len(ids) else np.zeros(0, int)
     starts, flat = np.asarray(rows.offsets), np.asarray(rows.values)
@@ -192,30 +192,42 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return train(lists, np.asarray(tags)[order] if len(ids) else np.zeros(0))
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: dict, at: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        scores = pa.array([score(features(x), model) for x in raw(b, b.schema.names[at])], pa.float64())
-        yield pa.RecordBatch.from_arrays([*b.columns, scores], [*b.schema.names, "score"])
+def scores(found: list[bytes], model: dict) -> np.ndarray:
+    """The scores of texts, all their indicators looked up at once."""
+    rows = [features(x) for x in found]
+    ends = np.cumsum([len(r) for r in rows])
+    flat = np.concatenate([*rows, np.zeros(0, np.int32)])
+    scale = model["scale"][flat].astype(np.float64)
+    dots, squares = (np.diff(np.concatenate([[0.0], np.concatenate([[0.0], np.cumsum(x)])[ends]])) for x in (model["w"][flat] * scale, scale * scale))
+    z = model["a"] * (dots / np.maximum(np.sqrt(np.maximum(squares, 0.0)), 1e-9) + model["bias"]) + model["b"]
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def with_scores(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """docs with their columns renamed c0, c1, ... and score: column t is the text."""
-    prepare(docs.sparkSession)
-    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("t", text_of(f"c{docs.columns.index(text_col)}"))
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    model = {k: v.astype(np.float32) if isinstance(v, np.ndarray) else v for k, v in model.items()}
-    return rows.mapInArrow(partial(_score, model=model, at=len(docs.columns)), f"{kind}, score double")
+def _score(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
+    for b in small(batches):
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores(raw(b, "t"), model), pa.float64())], ["doc_id", "score"])
+
+
+def _good(batches: Iterator[pa.RecordBatch], model: dict, at: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    for b in small(batches, f"c{at}"):
+        found = [x or b"" for x in raw(b, f"c{at}")]
+        yield b.filter(pa.array(scores(found, model) >= threshold))
+
+
+def _light(model: dict) -> dict:
+    return {k: v.astype(np.float32) if isinstance(v, np.ndarray) else v for k, v in model.items()}
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **how) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted."""
-    model = learn(docs, labels, id_col, text_col, **how)
-    out = with_scores(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model).withColumnRenamed("c0", "doc_id")
+    model = _light(learn(docs, labels, id_col, text_col, **how))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("t"))
+    out = rows.mapInArrow(partial(_score, model=model), kind(rows.select("doc_id"), score="double"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **how) -> DataFrame:
-    """docs that the classifier doesn't reject, all columns as they were."""
-    model = learn(docs, labels, id_col, text_col, **how)
-    scored = with_scores(docs, model, text_col).filter(F.col("score") >= threshold)
-    return scored.select(*(f"c{i}" for i in range(len(docs.columns)))).toDF(*docs.columns)
+    """docs, whose texts are strings, that the classifier doesn't reject, all columns as they were."""
+    model = _light(learn(docs, labels, id_col, text_col, **how))
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(partial(_good, model=model, at=docs.columns.index(text_col), threshold=threshold), plain.schema).toDF(*docs.columns)
