@@ -26,7 +26,8 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+    found = token_counts.token_counts(table(spark, sf_dir, "documents"), limit=TOKEN_LIMIT)
+    return found.select("doc_id", "n_bytes", "n_tokens", "over_limit", "within_limit", "prefix_counts")
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
