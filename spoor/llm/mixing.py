@@ -4,11 +4,13 @@ Each source's token target is a constraint. The document rates nearest to 1 in r
 constraints and a cap, are exponentially tilted: rate = min(cap, exp(lambda[source] * size / mean size)).
 The dual in lambda is convex; its gradient and curvature are sums over a histogram of sizes, so a Newton
 iteration is one aggregation that combines before its shuffle, kept inside a bracket that each step
-narrows. Rates become whole copies by a hash of the document, and the words still missing or over are
-settled by the document of nearest size, one for each source and pass.
+narrows. Sums are of decimals, so reruns give the same rates to the last bit. Rates become whole copies by a
+hash of the document, and the words still missing or over are settled by documents of falling sizes, a few of
+each order of size and source, in one pass.
 
-A null text has size 0; a null source is a source of its own and comes last. Rows that repeat id, source
-and size are one unit: all get the same copies. Documents without words are taken 0 words. Extra columns
+A null text has size 0; a null source is a source of its own and comes last; very long texts count whole.
+Rows that repeat id, source and size are one unit: all get the same copies. Documents that tie in size go by a
+hash of their id, then the id. Documents without words are taken 0 words. Ids keep their type; extra columns
 are kept by copies() and ignored by the rest. An empty table gives an empty result.
 """
 
@@ -17,15 +19,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoor.llm.common import fresh, text_of, written
+from spoor.llm.common import discard, fresh, text_of, written
 
 CAP = 2.0
-STEPS = 40
-PASSES = 14
-#: Words off target, as a share of it, that need no further pass.
-NEAR = 0.0005
-#: Rows of a table with a row for each source that are broadcast at most.
-BROADCAST_SOURCES = 200_000
+#: Newton steps at most; if a source is further than OFF from its target then, tilts() raises.
+STEPS = 120
+OFF = 1e-6
+#: Documents of one source and order of size that may settle what rounding leaves.
+EACH_ORDER = 4
+#: Rows of a table with a few rows for each source that are broadcast at most.
+BROADCAST_ROWS = 200_000
+#: What sums are of: exact, and so the same in any order.
+EXACT = "decimal(38,9)"
 
 
 def size_of(text: Column) -> Column:
@@ -37,27 +42,28 @@ def targets(sizes: DataFrame, weights: list[float], share: float = 1.5, cap: flo
     """source, source_size, target, for sizes: source, source_size.
 
     Weights go to the sources by code point, null last, and repeat. Targets share out share times all sizes;
-    what a source can't hold (cap times its size) is shared out again by weight until none is above.
-    Filling by weight in the order of cap over weight needs two running sums and no iteration: the first
-    source in that order that is not filled sets the level of all after it.
+    what a source can't hold (cap times its size) is shared out again by weight until none is above. Sources
+    are numbered over ranges of them, and each round of sharing out is one aggregation, so there may be many.
     """
-    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.pmod(F.col("k") - 1, F.lit(len(weights))) + 1).cast("int"))
-    order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))  # a row for each source only
-    rows = sizes.withColumn("k", F.row_number().over(order)).withColumn("w", w).withColumn("most", F.col("source_size") * F.lit(cap))
-    by_level = Window.orderBy(F.col("most") / F.col("w"), "k")
-    everything = Window.partitionBy()
-    rows = rows.withColumns(
-        {
-            "rank": F.row_number().over(by_level),
-            "total": F.sum("source_size").over(everything) * F.lit(share),
-            "before": F.coalesce(F.sum("most").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
-            "left_w": F.sum("w").over(by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
-        }
-    ).withColumn("level", (F.col("total") - F.col("before")) / F.col("left_w"))
-    first = F.min(F.when(F.col("level") * F.col("w") < F.col("most"), F.struct("rank", "level"))).over(everything)
-    rows = rows.withColumn("open", first)
-    filled = F.col("open").isNull() | (F.col("rank") < F.col("open.rank"))
-    return rows.select("source", "source_size", F.when(filled, F.col("most")).otherwise(F.col("open.level") * F.col("w")).alias("target"))
+    order = F.col("source").isNull(), F.col("source").cast("binary")
+    ranged = written(sizes.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "sources")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = ranged.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+    k = F.row_number().over(Window.partitionBy("part").orderBy(*order)) + F.col("before") - 1
+    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.pmod(k, F.lit(len(weights))) + 1).cast("int"))
+    rows = ranged.join(F.broadcast(before), "part").select("source", "source_size", w.alias("w"), (F.col("source_size") * F.lit(cap)).alias("most"))
+    rows = written(rows, "weights")
+    level, filled = float("-inf"), -1
+    while True:
+        full = F.col("most") <= F.lit(level) * F.col("w")
+        got = rows.agg(
+            F.sum("source_size").alias("all"), F.sum(F.when(full, F.col("most").cast(EXACT))).alias("held"), F.sum(F.when(~full, F.col("w").cast(EXACT))).alias("w"), F.count(F.when(full, 1)).alias("n")
+        ).first()
+        if got["n"] == filled or not got["w"]:
+            break
+        filled, level = got["n"], (share * (got["all"] or 0) - float(got["held"] or 0)) / float(got["w"])
+    full = F.col("most") <= F.lit(level) * F.col("w") if got["w"] else F.lit(True)
+    return rows.select("source", "source_size", F.when(full, F.col("most")).otherwise(F.lit(level) * F.col("w")).alias("target"))
 
 
 def units(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -82,12 +88,16 @@ def tilts(hist: DataFrame, goal: DataFrame, cap: float = CAP) -> DataFrame:
     guess = F.ln(F.try_divide("target", "source_size"))  # right if all documents were of the mean size
     start = start.withColumns({"lam": F.when(loose, guess), "low": F.lit(-64.0), "high": F.lit(64.0), "off": F.lit(1.0)})
     state = written(start, "tilts")
-    few = state.count() <= BROADCAST_SOURCES
-    for _ in range(STEPS // 2):
-        state = written(_newton(hist, _newton(hist, state, few, cap), few, cap), "tilts")
-        if not (state.agg(F.max("off")).first()[0] or 0.0) > 1e-6:
-            break
-    return state.select("source", "source_size", "target", "mean", "lam")
+    few = state.count() <= BROADCAST_ROWS
+    for _ in range(STEPS // 3):
+        old, after = state, state
+        for _ in range(3):
+            after = _newton(hist, after, few, cap)
+        state = written(after, "tilts")
+        discard(old)
+        if not (state.agg(F.max("off")).first()[0] or 0.0) > OFF:
+            return state.select("source", "source_size", "target", "mean", "lam")
+    raise ArithmeticError(f"no tilt brings every source near its target in {STEPS} steps")
 
 
 def _newton(hist: DataFrame, state: DataFrame, few: bool, cap: float) -> DataFrame:
@@ -99,7 +109,9 @@ def _newton(hist: DataFrame, state: DataFrame, few: bool, cap: float) -> DataFra
     sums = (
         hist.join(F.broadcast(loose) if few else loose, _same("source", "s"))
         .groupBy("s")
-        .agg(F.sum(F.col("n") * size * F.least(rate, F.lit(cap))).alias("now"), F.sum(F.when(rate < cap, F.col("n") * size * x * rate).otherwise(0.0)).alias("slope"))
+        .agg(
+            F.sum((F.col("n") * size * F.least(rate, F.lit(cap))).cast(EXACT)).cast("double").alias("now"), F.sum(F.when(rate < cap, F.col("n") * size * x * rate).otherwise(0.0).cast(EXACT)).cast("double").alias("slope")
+        )
     )
     joined = state.join(sums, _same("source", "s"), "left").drop("s")
     lam, gap = F.col("lam"), F.col("target") - F.col("now")
@@ -126,30 +138,29 @@ def rounded(rate: Column, doc_id: Column, size: Column) -> Column:
 def settled(parts: DataFrame, tilt: DataFrame, cap: float = CAP) -> DataFrame:
     """source, doc_id, size, step (1 or -1): changes to whole copies that bring each source near its target.
 
-    parts: source, doc_id, size, m, copies. Each pass takes one document a source, that of the size nearest
-    to what is missing or over, if that brings it nearer.
+    parts: source, doc_id, size, m, copies. What may change is a few documents of each source and order of
+    size, those of the smallest hashes. From the largest to the smallest, each changes if no more than its
+    words are missing or over.
     """
     now = parts.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("copies") * F.col("size") * F.col("m")).alias("taken"))
-    state = written(tilt.join(now, _same("source", "s")).select("source", "target", (F.col("target") - F.col("taken")).alias("gap")), "gaps")
-    few = state.count() <= BROADCAST_SOURCES
-    small = lambda df: F.broadcast(df) if few else df
-    changes = parts.filter("false").select("source", "doc_id", "size", F.lit(1).cast("long").alias("step"))
+    state = written(tilt.join(now, _same("source", "s")).select(F.col("source").alias("s"), (F.col("target") - F.col("taken")).alias("gap")), "gaps")
     mass = F.col("size") * F.col("m")
-    for k in range(PASSES):
-        wanting = state.filter(F.abs("gap") > F.greatest(F.col("target") * NEAR, F.lit(1.0))).select(F.col("source").alias("s"), "gap")
-        rows = parts
-        if k:
-            rows = rows.join(small(changes.toDF("cs", "cid", "csize", "step")), _same("source", "cs") & _same("doc_id", "cid") & (F.col("size") == F.col("csize")), "left_anti")
-        near = rows.join(small(wanting), _same("source", "s"))
-        can = ((F.col("gap") > 0) & (F.col("copies") < cap) | (F.col("gap") < 0) & (F.col("copies") > 0)) & (mass > 0) & (mass < 2 * F.abs("gap"))
-        pick = near.filter(can).groupBy("s").agg(F.min(F.struct(F.abs(F.abs("gap") - mass).alias("far"), "doc_id", "size", "m")).alias("p"), F.first("gap").alias("g"))
-        picked = written(pick.select(F.col("s").alias("source"), F.col("p.doc_id").alias("doc_id"), F.col("p.size").alias("size"), F.signum("g").cast("long").alias("step"), (F.signum("g") * F.col("p.size") * F.col("p.m")).alias("by")), "picked")
-        if picked.isEmpty():
-            break
-        changes = changes.unionByName(picked.drop("by")) if k else picked.drop("by")
-        moved = state.join(picked.select(F.col("source").alias("s"), "by"), _same("source", "s"), "left")
-        state = written(moved.select("source", "target", (F.col("gap") - F.coalesce("by", F.lit(0.0))).alias("gap")), "gaps")
-    return changes
+    near = parts.join(F.broadcast(state) if state.count() <= BROADCAST_ROWS else state, _same("source", "s"))
+    can = ((F.col("gap") > 0) & (F.col("copies") < cap) | (F.col("gap") < 0) & (F.col("copies") > 0)) & (mass > 0) & (mass < 2 * F.abs("gap"))
+    h = F.xxhash64(F.lit("settled"), F.col("doc_id").cast("string"), F.col("size"))
+    one = F.struct(h.alias("h"), "doc_id", "size", mass.alias("mass"))
+    some = near.filter(can).groupBy("source", "gap", F.floor(F.log2(mass)).alias("order"), F.pmod(h, F.lit(EACH_ORDER)).alias("k")).agg(F.min(one).alias("one"))
+    lists = some.groupBy("source", "gap").agg(F.array_sort(F.collect_list(F.struct((-F.col("one.mass")).alias("by"), F.col("one.doc_id").alias("doc_id"), F.col("one.size").alias("size"), F.col("one.mass").alias("mass")))).alias("docs"))
+    kind = lists.schema["docs"].dataType.simpleString()
+    start = F.struct(F.abs("gap").cast("double").alias("left"), F.array().cast(kind).alias("took"))
+    step = lambda a, x: F.when(x["mass"] <= a["left"], F.struct((a["left"] - x["mass"]).cast("double").alias("left"), F.array_append(a["took"], x).alias("took"))).otherwise(a)
+    lists = lists.withColumn("so", F.aggregate("docs", start, step))
+    # Then the one of the others that comes nearest to what is left, if that is nearer than none.
+    left = F.col("so.left")
+    others = F.filter("docs", lambda x: ~F.array_contains(F.col("so.took"), x) & (x["mass"] < 2 * left))
+    last = F.array_min(F.transform(others, lambda x: F.struct(F.abs(left - x["mass"]).alias("off"), x.alias("d"))))["d"]
+    chosen = lists.select("source", F.signum("gap").cast("long").alias("step"), F.explode(F.array_compact(F.array_append("so.took", last))).alias("d"))
+    return written(chosen.select("source", "d.doc_id", "d.size", "step"), "changes")
 
 
 def plan(docs: DataFrame, weights: list[float], share: float = 1.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = CAP) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -164,11 +175,12 @@ def plan(docs: DataFrame, weights: list[float], share: float = 1.5, id_col: str
 
 def with_copies(rows: DataFrame, tilt: DataFrame, changes: DataFrame | None, cap: float = CAP, source_col: str = "source", id_col: str = "doc_id", size_col: str = "size") -> DataFrame:
     """rows with source_size, target, copies."""
-    few = tilt.count() <= BROADCAST_SOURCES
+    few = tilt.count() <= BROADCAST_ROWS
     side = tilt.toDF("_source", "source_size", "target", "mean", "lam")
     out = rows.join(F.broadcast(side) if few else side, F.col(source_col).eqNullSafe(F.col("_source")))
     copies = rounded(rate_of(F.col(size_col), cap), F.col(id_col), F.col(size_col))
-    if changes is not None:  # at most PASSES rows for each source
+    if changes is not None:  # a bounded number for each source
+        few = changes.count() <= BROADCAST_ROWS
         steps = changes.toDF("_csource", "_cid", "_csize", "_step")
         out = out.join(F.broadcast(steps) if few else steps, F.col(source_col).eqNullSafe(F.col("_csource")) & F.col(id_col).eqNullSafe(F.col("_cid")) & (F.col(size_col) == F.col("_csize")), "left")
         copies = copies + F.coalesce("_step", F.lit(0))
