@@ -6,9 +6,11 @@ most one ball of fingerprints (65 for radius 2) however many documents there are
 folded into one fingerprint first. Neighbours in a sorted bucket are verified and become links; links go
 through hooking and pointer jumping (both distributed) to components.
 
-Nulls and texts without words have fingerprint zero and link like any other. Rows without an id keep a row
-of their own and don't lend an id to a component; a component of such rows only has a null id. Repeated
-rows are repeated in the result. An empty table gives an empty result.
+Nulls and texts without words have fingerprint zero and link like any other. Very long texts are hashed
+whole, a block of shingles at a time. A bit that ties, set in exactly half, is 0. Rows without an id keep a
+row of their own and don't lend an id to a component; a component of such rows only has a null id. Ids keep
+their type. Repeated rows are repeated in the result; extra columns, whatever their names, are kept by
+keep_one() and ignored by the rest. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoor.llm.common import fresh, prepare, raw, text_of, written
+from spoor.llm.common import discard, fresh, kind, prepare, raw, small, text_of, written
 
 SEED = 42
 BLOCK = 1 << 15
@@ -46,7 +48,7 @@ def fingerprint(data: bytes, words: int = 3) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         fps = [fingerprint(x, words) for x in raw(b, "t")]
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
@@ -54,7 +56,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """doc_id, fp (long): one row per row of docs."""
     prepare(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t")).mapInArrow(partial(_fingerprints, words=words), "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
+    return rows.mapInArrow(partial(_fingerprints, words=words), kind(docs.select(F.col(id_col).alias("doc_id")), fp="long"))
 
 
 def balls(radius: int) -> list[int]:
@@ -95,7 +98,10 @@ def components(edges: DataFrame) -> DataFrame:
         up = hooked.toDF("root", "up")
         jumped = hooked.join(up, "root", "left").select("node", F.least(F.coalesce("up", "root"), "root").alias("root"))
         after = written(jumped, "roots")
-        if after.join(state.toDF("node", "old"), "node").filter("root <> old").isEmpty():
+        done = after.join(state.toDF("node", "old"), "node").filter("root <> old").isEmpty()
+        discard(hooked, state)
+        if done:
+            discard(both)
             return after
         state = after
 
