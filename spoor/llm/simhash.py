@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoor.llm.common import discard, fresh, kind, prepare, raw, small, text_of, written
+from spoor.llm.common import discard, in_place, kind, positioned, prepare, raw, small, text_of, written
 
 SEED = 42
 BLOCK = 1 << 15
@@ -106,38 +106,34 @@ def components(edges: DataFrame) -> DataFrame:
         state = after
 
 
+def placed_classes(prints: DataFrame, first: str, radius: int) -> DataFrame:
+    """fp, root, first: of each fingerprint of prints, a written table, its component and the least of the column first."""
+    classes = written(prints.groupBy("fp").agg(F.min(first).alias("first")), "classes")
+    roots = components(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    return written(classes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "placed")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id that links reach): one row per row of docs."""
     prints = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    roots = components(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    placed = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = written(placed, "placed")
-    ids = lowest.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    lowest = placed_classes(prints, "doc_id", radius)
+    ids = lowest.groupBy("root").agg(F.min("first").alias("component_id"))
     of = written(lowest.select("fp", "root").join(ids, "root").select("fp", "component_id"), "components")
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")  # two plain exchanges: a hot fingerprint is split by the adaptive skew join
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
-    """docs without the documents that link to one of a smaller id: one document of each group stays.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, stored: bool = False) -> DataFrame:
+    """docs with the row of the smallest id of each group, the first by place of rows that tie, all columns as they were.
 
-    Documents without an id stay. Rows that repeat an id are copies of one document; one of them stays.
+    Rows without an id stay. Texts are read to be hashed and to be kept, in place. stored: see positioned().
     """
-    found = written(near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, words, radius), "near")
-    ids = F.col("doc_id").alias(id_col)
-    gone = written(found.filter("doc_id <> component_id").select(ids).distinct(), "gone")
-    left = docs.join(_side(gone), id_col, "left_anti").select(docs.columns)
-    again = written(found.groupBy("doc_id").count().filter("count > 1").select(ids), "again")
-    if again.isEmpty():
-        return left
-    rank = fresh(docs, "_rank")
-    first = left.join(_side(again), id_col, "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).filter(F.col(rank) == 1)
-    return left.join(_side(again), id_col, "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
-
-
-#: Ids that are broadcast at most, at some 24 bytes each; beyond it, the join shuffles.
-BROADCAST_IDS = 500_000
-
-
-def _side(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    cols = docs.columns
+    placed, file, row = positioned(docs, stored)
+    place = F.struct(F.col(id_col).alias("id"), F.col(file).alias("file"), F.col(row).alias("row"))
+    prints = fingerprints(placed.filter(F.col(id_col).isNotNull()).select(place.alias("place"), F.col(text_col).alias("text")), "place", "text", words)
+    prints = written(prints.withColumnRenamed("doc_id", "place"), "fingerprints")
+    stay = placed_classes(prints, "place", radius).groupBy("root").agg(F.min("first").alias("first")).select("first.file", "first.row")
+    gone = prints.select("place.file", "place.row").join(stay, ["file", "row"], "left_anti").toDF(file, row)  # by place, so a large group spreads out
+    gone = written(gone, "near-copies")
+    discard(prints)
+    return in_place(placed, gone, file, row, "left_anti", F.lit(0)).select(*cols)
