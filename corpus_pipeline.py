@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; its result is written as Parquet and read
 again as the docs of the next. All but the last return the columns of documents; the last returns them
 once for each copy that the mix takes, with the number of the copy.
+
+Stages take any rows: null and empty texts (kept by all but the stages that find them to be copies, of which one
+stays, and mixing, which takes documents without words 0 times), null ids (near copies without an id stay),
+very long texts (read whole), repeated rows and ties (as the operators' docstrings say: one of equal rows
+stays), extra columns, whatever their names (kept), and empty tables (no rows, the same columns).
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, stored=True)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
