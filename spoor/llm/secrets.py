@@ -45,7 +45,7 @@ _CODE = np.full(256, EDGE, np.uint8)
 _CODE[128:] = BEYOND
 _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
 #: Thresholds of the log-likelihood ratio, in all and a character.
-WHOLE, EACH = 24.0, 0.7
+WHOLE, EACH = 36.0, 0.7
 
 #: Words that ordinary identifiers are made of, besides those of the texts themselves.
 WORDS = (
