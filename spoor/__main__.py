@@ -4,20 +4,30 @@ from __future__ import annotations
 
 import argparse
 import sys
+import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.plans import context, passes
+from spoor.session import shared_dir
 from spoor.sources import logs, sinks
 
 VERSION = "0.1"
 
 
-def stdin_lines(spark: SparkSession) -> DataFrame:
-    """One log from standard input, which only the driver has."""
-    rows = ((i, x.rstrip("\n")) for i, x in enumerate(sys.stdin))
-    return spark.createDataFrame(rows, "line_no long, line string").select(F.lit("-").alias("log_id"), "line_no", "line")
+def stdin_lines(spark: SparkSession, log_root: str = "-") -> DataFrame:
+    """One log from standard input: the driver copies it, a line at a time, to the shared folder, where executors read it."""
+    path = f"{shared_dir(spark)}/stdin-{uuid.uuid4().hex}.0.log"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop)
+    try:
+        while part := sys.stdin.buffer.read(1 << 20):
+            out.write(part)
+    finally:
+        out.close()
+    return logs.read_lines(spark, path).withColumn("log_id", F.lit(log_root))
 
 
 def main(args: list[str] | None = None) -> int:
@@ -29,6 +39,9 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--output", choices=["stdout", "json", "parquet"], default="stdout")
     p.add_argument("--to", help="folder of results")
     p.add_argument("--root-domain", default="")
+    p.add_argument("--submission", help="id of the submission that the logs are of, kept with every row")
+    p.add_argument("--log-root", default="-", help="the name of the log that standard input (-) is")
+    p.add_argument("--suffixes", nargs="*", help="public suffix lists")
     p.add_argument("--idl")
     p.add_argument("--entities")
     p.add_argument("--rules", nargs="*")
@@ -37,18 +50,23 @@ def main(args: list[str] | None = None) -> int:
     if not a.logs:
         p.error("no logs")
     spark = SparkSession.builder.appName("spoor").getOrCreate()
-    lines = stdin_lines(spark) if a.logs == ["-"] else logs.read_lines(spark, a.logs)
+    files = [x for x in a.logs if x != "-"]
+    parts = [logs.read_lines(spark, files)] if files else []
+    if len(files) < len(a.logs):
+        parts.append(stdin_lines(spark, a.log_root))
+    lines = reduce(DataFrame.unionByName, parts)
     if a.annotate:
         found = {"annotate": context.annotate(context.with_context(context.records(lines), a.block))}
     else:
         inputs = passes.Inputs(
-            logs.read_idl(spark, a.idl) if a.idl else None, logs.read_entities(spark, a.entities) if a.entities else None, logs.read_rules(spark, a.rules) if a.rules else None, a.root_domain
+            logs.read_idl(spark, a.idl) if a.idl else None, logs.read_entities(spark, a.entities) if a.entities else None, logs.read_rules(spark, a.rules) if a.rules else None,
+            logs.read_suffixes(spark, a.suffixes) if a.suffixes else None, a.root_domain,
         )
         tables = context.trace_tables(lines, a.block)
-        if len(a.aggs.split("+")) > 1:
-            tables = context.Trace(tables.logs, tables.scripts.persist(), tables.trace.persist(), tables.broken)
         found = passes.run(a.aggs, tables, inputs)
     for name, df in found.items():
+        if a.submission:
+            df = df.withColumn("submission_id", F.lit(a.submission))
         if a.output == "parquet":
             df.write.mode("overwrite").parquet(f"{a.to}/{name}")
         elif a.output == "json":

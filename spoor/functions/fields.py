@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Private code points stand for escaped characters while separators are being replaced. The emitter
-#: escapes everything beyond ASCII, so no record holds them.
-_BACKSLASH, _COLON = "", ""
+#: escapes everything beyond ASCII; fields of a body that holds one of them all the same can't be read.
+_BACKSLASH, _COLON = "\ue000", "\ue001"
 _SPLIT = {"allowUnquotedControlChars": "true", "maxStringLen": "2147483647"}
 
 
@@ -16,7 +16,8 @@ def split_fields(body: Column) -> Column:
 
     Separators are colons; \\: and \\\\ stand for themselves, \\xNN and \\uNNNN for code units (surrogate
     pairs join), any other escaped character for itself; bad digits give a NUL. An empty body has no
-    fields; a closing separator gives an empty last field. The body is rewritten into a JSON array, so the
+    fields; a closing separator gives an empty last field; a body with the two code points used inside has
+    null. The body is rewritten into a JSON array, so the
     split runs inside the JVM.
     """
     json = F.replace(body, F.lit("\\\\"), F.lit(_BACKSLASH))
@@ -30,7 +31,7 @@ def split_fields(body: Column) -> Column:
     json = F.replace(json, F.lit(":"), F.lit('","'))
     json = F.replace(F.replace(json, F.lit(_COLON), F.lit(":")), F.lit(_BACKSLASH), F.lit("\\\\"))
     fields = F.from_json(F.concat(F.lit('["'), json, F.lit('"]')), "array<string>", _SPLIT)
-    return F.when(F.length(body) == 0, F.array().cast("array<string>")).otherwise(fields)
+    return F.when(F.length(body) == 0, F.array().cast("array<string>")).when(~body.rlike(f"[{_BACKSLASH}{_COLON}]"), fields)
 
 
 def pack_fields(fields: Column) -> Column:

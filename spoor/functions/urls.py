@@ -39,6 +39,25 @@ def registrable(host: Column, suffixes: list[str] | None = None) -> Column:
     return out
 
 
+def with_registrable(rows: DataFrame, host: str, suffixes: DataFrame, name: str = "etld1") -> DataFrame:
+    """rows with name: the label before the longest public suffix of a host and that suffix, by a join with a table.
+
+    suffixes: suffix, as public lists have them: plain, *.suffix (any one label before it) and !suffix (not one
+    after all). A host without a known suffix has its last label as one; a host that is a suffix stays as it is.
+    """
+    plain = suffixes.select(F.lower(F.trim("suffix")).alias("suffix")).filter("suffix <> '' and suffix not like '//%'").distinct()
+    rule = plain.select(F.regexp_replace("suffix", r"^(\*\.|!)", "").alias("ending"), F.when(F.col("suffix").startswith("*."), 1).when(F.col("suffix").startswith("!"), -1).otherwise(0).alias("more"))
+    labels = F.split("_host", r"\.")
+    hosts = rows.select(F.col(host).alias("_host")).filter("_host is not null").distinct().withColumns({"labels": labels, "n": F.size(labels)})
+    ends = hosts.select("_host", "labels", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).withColumn("ending", F.array_join(F.slice("labels", F.col("i"), F.col("n")), "."))
+    met = ends.join(rule, "ending").withColumn("length", F.col("n") - F.col("i") + 1 + F.col("more")).filter(F.col("length") <= F.col("n"))
+    # An exception wins over any other rule; else the longest does.
+    best = met.groupBy("_host").agg(F.max(F.struct((F.col("more") == -1).alias("exception"), "length")).alias("b")).select("_host", F.col("b.length").alias("length"))
+    first = F.greatest(F.col("n") - F.coalesce("length", F.lit(1)), F.lit(1))
+    kept = hosts.join(best, "_host", "left").select("_host", F.array_join(F.slice("labels", first, F.col("n")), ".").alias(name))
+    return rows.join(kept.withColumnRenamed("_host", host), host, "left")
+
+
 def parts(url: Column, suffixes: list[str] | None = None) -> Column:
     """struct(sha256, full, scheme, hostname, port, path, query, etld1, stemmed); only the first two if it can't be parsed."""
     host = hostname(url)

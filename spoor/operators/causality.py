@@ -10,19 +10,26 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoor.functions import fields as f
 from spoor.functions import hashes, html, urls
-from spoor.session import written
+from spoor.session import ship, written
 
 NODE = ["log_id", "isolate", "script_id"]
 EDGE = ["log_id", "genesis", "child_isolate", "child_id", "child_sha2", "child_frame", "parent_isolate", "parent_id", "parent_sha2", "parent_frame", "by_url", "n_includers", "n_sources"]
 
 
 def links(trace: DataFrame) -> DataFrame:
-    """log_id, isolate, script_id, origin, epoch, line_no, kind (include, insert, html, frame), text."""
+    """log_id, isolate, script_id, origin, epoch, line_no, kind (include, insert, html, frame), text.
+
+    The parts of records are written first: a filter on kind would otherwise be pushed below them, with
+    every step of their codec in it as often as kind refers to them.
+    """
+    trace = trace.filter(F.col("op").isin("s", "c")).select(*NODE, "origin", "epoch", "line_no", "op", "tag", "member", F.slice("args", 1, 1).alias("args"))
+    trace = written(trace, "causes")
     arg = F.get("args", F.lit(0))
     sets, calls = F.col("op") == "s", F.col("op") == "c"
     script, quoted = F.col("tag") == "HTMLScriptElement", f.has_pair(arg, '"', '"')
@@ -68,53 +75,78 @@ def _edges(rows: DataFrame, **given) -> DataFrame:
     return (out.withColumns(missing) if missing else out).select(*EDGE)
 
 
+def pool_of(scripts: DataFrame) -> DataFrame:
+    """NODE, sha2, url, eval_parent_id, first_origin (empty where there is none), key (null without a URL) of scripts that aren't injected."""
+    rows = scripts.filter("not is_injected").select(*NODE, "sha2", "url", "eval_parent_id", F.coalesce("first_origin", F.lit("")).alias("first_origin"))
+    return rows.withColumn("key", F.when(F.col("url") != "", urls.link_key(F.col("url"), F.col("first_origin"))))
+
+
+def _child() -> list[Column]:
+    return [F.col("isolate").alias("child_isolate"), F.col("script_id").alias("child_id"), F.col("sha2").alias("child_sha2")]
+
+
+def _as_parent() -> list[Column]:
+    return [F.col("isolate").alias("parent_isolate"), F.col("script_id").alias("parent_id")]
+
+
+def met(rest: DataFrame, includes: DataFrame) -> DataFrame:
+    """Scripts of rest and the inclusions with their key, all with all, and how many there are on either side."""
+    includer = includes.select("log_id", *_as_parent(), "key", F.col("url").alias("by_url"), "by_write")
+    n_in = includes.groupBy("log_id", "key").agg(F.count("*").alias("n_includers"))
+    n_src = rest.filter("key is not null").groupBy("log_id", "key").agg(F.count("*").alias("n_sources"))
+    sized = rest.join(n_in, ["log_id", "key"]).join(n_src, ["log_id", "key"])
+    return sized.select("log_id", "key", *_child(), "n_includers", "n_sources").join(includer, ["log_id", "key"])
+
+
+def unmet(rest: DataFrame, includes: DataFrame) -> DataFrame:
+    """Scripts of rest that no inclusion has the key of."""
+    return rest.join(includes.select("log_id", "key").distinct(), ["log_id", "key"], "left_anti")
+
+
+def inserted(rest: DataFrame, inserts: DataFrame) -> DataFrame:
+    """Scripts of rest and the insertions of their code."""
+    return rest.join(inserts.select("log_id", *_as_parent(), "sha2", "by_write"), ["log_id", "sha2"]).select("log_id", *_child(), "parent_isolate", "parent_id", "by_write")
+
+
 def causality(trace: DataFrame, scripts: DataFrame, mode: str = "compat", root_domain: str = "") -> DataFrame:
     """EDGE columns: one row per link. Frames are nodes without a script, known by their URL in by_url."""
-    pool = scripts.filter("not is_injected").select(*NODE, "sha2", "url", "eval_parent_id", "first_origin")
-    child = [F.col("isolate").alias("child_isolate"), F.col("script_id").alias("child_id"), F.col("sha2").alias("child_sha2")]
-    found = written(links(trace), "links")
-    includes, inserts, frames = causes(found)
+    pool = pool_of(scripts)
+    includes, inserts, frames = causes(written(links(trace), "links"))
     includes, inserts = written(includes, "includes"), written(inserts, "inserts")
     parents = _parent(pool)
     on_parent = ["log_id", "parent_isolate", "parent_id"]
+    write_or = lambda kind: F.when(F.col("by_write"), f"write_{kind}").otherwise(kind)
 
-    evals = pool.filter("eval_parent_id is not null").select("log_id", *child, F.col("isolate").alias("parent_isolate"), F.col("eval_parent_id").alias("parent_id"))
+    evals = pool.filter("eval_parent_id is not null").select("log_id", *_child(), F.col("isolate").alias("parent_isolate"), F.col("eval_parent_id").alias("parent_id"))
     out = [_edges(evals.join(parents, on_parent, "left"), genesis=F.lit("eval"))]
 
-    rest = pool.filter("eval_parent_id is null").withColumn("key", F.when(F.col("url") != "", urls.link_key(F.col("url"), F.col("first_origin"))))
-    rest = written(rest, "pool")
-    includer = includes.select("log_id", F.col("isolate").alias("parent_isolate"), F.col("script_id").alias("parent_id"), "key", F.col("url").alias("by_url"), "by_write")
-    n_in = includes.groupBy("log_id", "key").agg(F.count("*").alias("n_includers"))
-    n_src = rest.filter("key is not null").groupBy("log_id", "key").agg(F.count("*").alias("n_sources"))
-    sized = rest.join(n_in, ["log_id", "key"]).join(n_src, ["log_id", "key"])
-    met = sized.select("log_id", "key", *child, "n_includers", "n_sources").join(includer, ["log_id", "key"]).join(parents, on_parent, "left")
-    out.append(_edges(met, genesis=F.when(F.col("by_write"), "write_include").otherwise("include")))
-    left = rest.join(includes.select("log_id", "key").distinct(), ["log_id", "key"], "left_anti")
+    rest = written(pool.filter("eval_parent_id is null"), "pool")
+    out.append(_edges(met(rest, includes).join(parents, on_parent, "left"), genesis=write_or("include")))
+    left = unmet(rest, includes)
 
-    framed = frames.select("log_id", F.col("isolate").alias("parent_isolate"), F.col("script_id").alias("parent_id"), F.col("url").alias("by_url")).join(parents, on_parent, "left")
+    framed = frames.select("log_id", *_as_parent(), F.col("url").alias("by_url")).join(parents, on_parent, "left")
     out.append(_edges(framed, genesis=F.lit("iframe"), child_frame=F.lit(True)))
 
-    def inserted(rows: DataFrame) -> DataFrame:
-        by = inserts.select("log_id", F.col("isolate").alias("parent_isolate"), F.col("script_id").alias("parent_id"), "sha2", "by_write")
-        got = rows.join(by, ["log_id", "sha2"]).select("log_id", *child, "parent_isolate", "parent_id", "by_write").join(parents, on_parent, "left")
-        return _edges(got, genesis=F.when(F.col("by_write"), "write_insert").otherwise("insert"))
+    def insertions(rows: DataFrame) -> DataFrame:
+        return _edges(inserted(rows, inserts).join(parents, on_parent, "left"), genesis=write_or("insert"))
 
+    codes = inserts.select("log_id", "sha2").distinct()
     if mode == "intent":
-        out.append(inserted(left))
-        left = left.join(inserts.select("log_id", "sha2").distinct(), ["log_id", "sha2"], "left_anti")
+        out.append(insertions(left))
+        left = left.join(codes, ["log_id", "sha2"], "left_anti")
     static = left.filter("key is not null")
     at_root = F.col("first_origin") == root_domain
     known = frames.select("log_id", F.col("url").alias("first_origin")).distinct().withColumn("_known", F.lit(True))
     placed = static.join(known, ["log_id", "first_origin"], "left")
     in_frame = F.col("_known").isNotNull() | ~at_root
-    out.append(_edges(placed.select("log_id", *child, in_frame.alias("parent_frame"), F.when(in_frame, F.col("first_origin")).alias("by_url")), genesis=F.lit("static")))
+    out.append(_edges(placed.select("log_id", *_child(), in_frame.alias("parent_frame"), F.when(in_frame, F.col("first_origin")).alias("by_url")), genesis=F.lit("static")))
     new = placed.filter(F.col("_known").isNull() & ~at_root).select("log_id", F.col("first_origin").alias("by_url")).distinct()
     out.append(_edges(new, genesis=F.lit("static_iframe"), child_frame=F.lit(True)))
     if mode == "compat":
         unplaced = left.filter("key is null")
-        out.append(inserted(unplaced))
-        left = unplaced.join(inserts.select("log_id", "sha2").distinct(), ["log_id", "sha2"], "left_anti")
-    out.append(_edges(left.filter("key is null").select("log_id", *child), genesis=F.lit("unknown")))
+        out.append(insertions(unplaced))
+        left = unplaced.join(codes, ["log_id", "sha2"], "left_anti")
+    out.append(_edges(left.filter("key is null").select("log_id", *_child()), genesis=F.lit("unknown")))
     all_edges = out[0]
     for e in out[1:]:
         all_edges = all_edges.unionByName(e)
@@ -128,6 +160,25 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ins.join(outs, ["log_id", "isolate", "script_id"], "full").select("log_id", "isolate", "script_id", F.coalesce("n_in", F.lit(0)).cast("long").alias("n_in"), F.coalesce("n_out", F.lit(0)).cast("long").alias("n_out"))
 
 
+def graphs(edges: DataFrame, scripts: DataFrame) -> DataFrame:
+    """log_id, value: a GraphML document for each log, made where its links and scripts (without code) come together."""
+    ship(edges.sparkSession)
+    nodes = scripts.filter("not is_injected").select("log_id", *(F.col(c).cast(t).alias(f"n_{c}") for c, t in NODES.items()))
+    keys = [F.col(c).alias(f"e_{c}") for c in EDGE[1:]]
+    both = edges.select("log_id", *keys).unionByName(nodes, allowMissingColumns=True)
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.astype(object).where(rows.notna(), None)
+        part = lambda mark, keep: [{c[2:]: v for c, v in r.items() if c.startswith(mark)} for r in rows[rows[keep].notna()].to_dict("records")]
+        return pd.DataFrame([(rows["log_id"].iloc[0], graphml(part("e_", "e_genesis"), part("n_", "n_script_id")))], columns=["log_id", "value"])
+
+    return both.groupBy("log_id").applyInPandas(one, "log_id string, value string")
+
+
+#: What a node of a graph says of its script.
+NODES = {"isolate": "string", "script_id": "int", "size": "long", "sha2": "string", "url": "string", "first_origin": "string"}
+
+
 def graphml(edges: Iterable, scripts: Iterable) -> str:
     """GraphML of one log's graph, from rows: nodes for scripts and frames, one edge for each pair, orphans under a root."""
     keys = [
@@ -155,9 +206,10 @@ def graphml(edges: Iterable, scripts: Iterable) -> str:
 
     root = node(("root",), isRoot=True)
     for s in sorted(scripts, key=lambda s: (s["isolate"] or "", s["script_id"])):
-        node((s["isolate"], s["script_id"]), isRoot=False, isolateKey=s["isolate"], scriptID=s["script_id"], bytes=s["size"], sha2=s["sha2"], url=s["url"], isIframe=False, firstOrigin=s["first_origin"])
+        node((s["isolate"], s["script_id"]), isRoot=False, isolateKey=s["isolate"], scriptID=int(s["script_id"]), bytes=None if s["size"] is None else int(s["size"]), sha2=s["sha2"], url=s["url"], isIframe=False, firstOrigin=s["first_origin"])
     seen, children = set(), set()
-    for e in edges:
+    by = lambda e: tuple(str(e[c]) for c in ("genesis", "child_isolate", "child_id", "parent_isolate", "parent_id", "by_url"))
+    for e in sorted(edges, key=by):
         child = node(("frame", e["by_url"]), isIframe=True, url=e["by_url"]) if e["child_frame"] else nodes.get((e["child_isolate"], e["child_id"]))
         parent = node(("frame", e["by_url"]), isIframe=True, url=e["by_url"]) if e["parent_frame"] else nodes.get((e["parent_isolate"], e["parent_id"]), root)
         if child is None or child == parent or (parent, child) in seen:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoor.functions import fields as f
-from spoor.session import written
 
 #: Names that belong to the language itself, so that an interface file needn't list them.
 GLOBALS = (
@@ -18,17 +17,27 @@ GLOBALS = (
 ).split()
 
 
+#: Interfaces of a definition file at most: it is one JSON object, and its closure is worked out on the driver.
+MAX_INTERFACES = 200_000
+
+
 def ancestry(idl: DataFrame) -> DataFrame:
-    """class, ancestor, depth: itself, what it is an alias for, and parents upwards; bounded by the file's own depth."""
-    up = written(idl.select(F.col("interface"), F.explode(F.array_compact(F.array("alias_for", "parent"))).alias("next")), "idl-up")
-    state = idl.select(F.col("interface").alias("class"), F.col("interface").alias("ancestor"), F.lit(0).alias("depth"))
-    found, edge, depth = state, state, 0
-    while True:
-        depth += 1
-        edge = written(edge.join(up, edge["ancestor"] == up["interface"]).select("class", F.col("next").alias("ancestor"), F.lit(depth).alias("depth")).distinct().join(found.select("class", "ancestor"), ["class", "ancestor"], "left_anti"), "idl-edge")
-        if edge.isEmpty():
-            return found
-        found = found.unionByName(edge.select("class", "ancestor", "depth"))
+    """class, ancestor, depth: itself, what it is an alias for, and parents upwards, each by its nearest way."""
+    rows = idl.select("interface", "alias_for", "parent").limit(MAX_INTERFACES + 1).collect()
+    if len(rows) > MAX_INTERFACES:
+        raise ValueError(f"over {MAX_INTERFACES} interfaces")
+    up: dict[str, set[str]] = {}
+    for r in rows:
+        up.setdefault(r["interface"], set()).update(x for x in (r["alias_for"], r["parent"]) if x is not None)
+    out = []
+    for name in up:
+        depth, edge, seen = 0, [name], {name}
+        while edge:
+            out += [(name, x, depth) for x in edge]
+            edge = sorted({y for x in edge for y in up.get(x, ())} - seen)
+            seen.update(edge)
+            depth += 1
+    return idl.sparkSession.createDataFrame(out, "class string, ancestor string, depth int")
 
 
 def resolved(idl: DataFrame) -> DataFrame:
@@ -65,14 +74,14 @@ def unknown_apis(rows: DataFrame, idl: DataFrame, table: DataFrame, compat: bool
     return calls.join(known, ["tag", "member"], "left_anti")
 
 
-def missing(rows: DataFrame, scripts: DataFrame, idl: DataFrame, table: DataFrame, keys: tuple[str, ...] = ("log_id", "isolate")) -> DataFrame:
-    """name, uses: "op offset url origin" of every use of an API that the definitions don't hold, in order.
+def missing(rows: DataFrame, scripts: DataFrame, idl: DataFrame, table: DataFrame, keys: tuple[str, ...] = ("log_id", "isolate"), compat: bool = False) -> DataFrame:
+    """name, keys, line_no, use ("op offset url origin"): every use of an API that the definitions don't hold.
 
-    A script without URL or origin takes those of its eval parent.
+    A script without URL or origin takes those of its eval parent. Uses stay rows, as one name may have any
+    number of them; by name, keys and line_no they are in order.
     """
     up = scripts.select(*keys, F.col("script_id").alias("eval_parent_id"), F.col("url").alias("up_url"), F.col("first_origin").alias("up_origin"))
     of = scripts.join(up, [*keys, "eval_parent_id"], "left").select(*keys, "script_id", F.coalesce(F.nullif("url", F.lit("")), "up_url", F.lit("")).alias("of_url"), F.coalesce(F.nullif("first_origin", F.lit("")), "up_origin", F.lit("")).alias("of_origin"))
-    found = unknown_apis(rows, idl, table).join(of, [*keys, "script_id"])
+    found = unknown_apis(rows, idl, table, compat).join(of, [*keys, "script_id"])
     text = F.format_string("%s %d %s %s", "op", "offset", "of_url", "of_origin")
-    uses = F.transform(F.array_sort(F.collect_list(F.struct(*keys, "line_no", text.alias("use")))), lambda x: x["use"])
-    return found.groupBy(f.full_name(F.col("tag"), F.col("member")).alias("name")).agg(uses.alias("uses"))
+    return found.select(f.full_name(F.col("tag"), F.col("member")).alias("name"), *keys, "line_no", text.alias("use"))

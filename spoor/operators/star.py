@@ -21,21 +21,52 @@ class Star:
     urls: DataFrame
 
 
+KEY = ["sha2", "sha3", "size"]
+
+
+def _keyed(scripts: DataFrame) -> DataFrame:
+    """scripts with all of KEY: without SHA3-256 digests, these are null."""
+    return scripts if "sha3" in scripts.columns else scripts.withColumn("sha3", F.lit(None).cast("string"))
+
+
 def script_rows(scripts: DataFrame) -> DataFrame:
-    return scripts.filter("not is_injected").select("sha2", "size").distinct()
+    """KEY: each code once."""
+    return _keyed(scripts).filter("not is_injected").select(*KEY).distinct()
 
 
 def instance_key() -> Column:
-    return hashes.instance_hash(F.col("log_id"), F.col("sha2"), F.lit(""), F.col("size"), F.col("isolate"), F.col("script_id"))
+    return hashes.instance_hash(F.col("log_id"), F.col("sha2"), F.coalesce("sha3", F.lit("")), F.col("size"), F.col("isolate"), F.col("script_id"))
 
 
 def instance_rows(scripts: DataFrame) -> DataFrame:
-    """instance_hash, log, script digest, parent instance, origin and script URL by their digests."""
-    rows = scripts.filter("not is_injected").withColumn("instance_hash", instance_key())
+    """instance_hash, log, script by KEY, parent instance, script URL and origin by their digests."""
+    rows = _keyed(scripts).filter("not is_injected").withColumn("instance_hash", instance_key())
     up = rows.select("log_id", "isolate", F.col("script_id").alias("eval_parent_id"), F.col("instance_hash").alias("parent_hash"))
     url = lambda c: F.when(F.col(c) != "", F.sha2(F.col(c).cast("binary"), 256))
     out = rows.join(up, ["log_id", "isolate", "eval_parent_id"], "left")
-    return out.select("instance_hash", "log_id", "isolate", "script_id", "sha2", "size", "parent_hash", url("url").alias("script_url_sha256"), url("first_origin").alias("origin_url_sha256"))
+    return out.select("instance_hash", "log_id", "isolate", "script_id", *KEY, "parent_hash", url("url").alias("script_url_sha256"), url("first_origin").alias("origin_url_sha256"))
+
+
+def imported(instances: DataFrame, scripts: DataFrame) -> DataFrame:
+    """instances with the columns of scripts (KEY and others, such as a surrogate) joined on all of KEY, null digests alike."""
+    side = scripts.select(*(F.col(k).alias(f"_{k}") for k in KEY), *(c for c in scripts.columns if c not in KEY))
+    same = F.lit(True)
+    for k in KEY:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return instances.join(side, same).drop(*(f"_{k}" for k in KEY))
+
+
+def with_urls(instances: DataFrame, dim: DataFrame, bring: tuple[str, ...] = ("id",)) -> DataFrame:
+    """instances with columns of the URL dimension (sha256, ...) twice: script_<column> and origin_<column>, null without a URL."""
+    for role in ("script", "origin"):
+        side = dim.select(F.col("sha256").alias(f"{role}_url_sha256"), *(F.col(c).alias(f"{role}_{c}") for c in bring))
+        instances = instances.join(side, f"{role}_url_sha256", "left")
+    return instances
+
+
+def with_features(usages: DataFrame, features: DataFrame, bring: tuple[str, ...] = ("id",)) -> DataFrame:
+    """usages with columns of the feature dimension (name, ...) as feature_<column>."""
+    return usages.join(features.select("name", *(F.col(c).alias(f"feature_{c}") for c in bring)), "name", "left")
 
 
 def full_usages(trace: DataFrame, idl: DataFrame | None = None) -> DataFrame:
@@ -58,7 +89,7 @@ def feature_rows(uses: DataFrame) -> DataFrame:
 
 def usage_rows(uses: DataFrame, scripts: DataFrame) -> DataFrame:
     """instance_hash, origin, name, offset, op, n_uses."""
-    keyed = scripts.filter("not is_injected").select("log_id", "isolate", "script_id", instance_key().alias("instance_hash"))
+    keyed = _keyed(scripts).filter("not is_injected").select("log_id", "isolate", "script_id", instance_key().alias("instance_hash"))
     counted = uses.groupBy("log_id", "isolate", "script_id", "origin", "name", "offset", "op").agg(F.count("*").alias("n_uses"))
     return counted.join(keyed, ["log_id", "isolate", "script_id"]).drop("log_id", "isolate", "script_id")
 
@@ -74,8 +105,7 @@ def surrogate(rows: DataFrame, key: list[str], name: str) -> DataFrame:
 
     Numbers are given inside ranges of the key and shifted by the ranges' counts, so no task sorts all rows.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *key).withColumn("_p", F.spark_partition_id())
+    dealt = rows.repartitionByRange(*key).withColumn("_p", F.spark_partition_id())
     dealt = written(dealt, "surrogate")
     inside = F.row_number().over(Window.partitionBy("_p").orderBy(*key))
     counts = dealt.groupBy("_p").agg(F.count("*").alias("_n"))

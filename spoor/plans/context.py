@@ -11,7 +11,7 @@ from spoor.functions import fields as f
 from spoor.functions import hashes
 from spoor.session import written
 
-#: A script whose code ends so was put in by the automation tool, not by the page.
+#: Fixed value: a script whose code ends so was put in by the automation tool, not by the page.
 INJECTED = "//# sourceURL=__puppeteer_evaluation_script__\n)"
 PAYLOAD = ("c", "n", "g", "s", "j")
 #: Lines of a log that one task holds at most, when logs are read from files.
@@ -122,7 +122,7 @@ def script_table(context: DataFrame) -> DataFrame:
     at = lambda i: F.get("fields", F.lit(i))
     parent = at(1).try_cast("int")
     defined = context.filter("op = '$'").select(
-        "log_id", "isolate", at(0).try_cast("int").alias("script_id"), "line_no", at(2).alias("code"), hashes.size(at(2)).alias("size"), hashes.sha2(at(2)).alias("sha2"),
+        "log_id", "isolate", at(0).try_cast("int").alias("script_id"), "line_no", at(2).alias("code"), hashes.size(at(2)).alias("size"), hashes.sha2(at(2)).alias("sha2"), hashes.sha3(at(2)).alias("sha3"),
         F.when(parent.isNull(), f.strip_quotes(at(1))).alias("url"), parent.alias("eval_parent_id"), F.col("origin").alias("first_origin"),
     )
     return flag_injected(defined)
@@ -144,11 +144,14 @@ def payload(context: DataFrame) -> DataFrame:
 
 
 def trace_tables(lines: DataFrame, block: int | None = BLOCK, mode: str = "quarantine") -> Trace:
-    """All tables of a set of logs. mode: quarantine puts what contradicts itself in broken; failfast stops."""
+    """All tables of a set of logs. mode: quarantine puts what contradicts itself in broken; failfast stops.
+
+    Lines are parsed and put in context once, written to the shared folder, and all tables read that.
+    """
     from spoor.sources.logs import stats
 
-    context = with_context(records(lines), block)
-    scripts = script_table(context)
+    context = written(with_context(records(lines), block), "context")
+    scripts = written(script_table(context), "scripts")
     keys = ["log_id", "isolate", "script_id"]
     parts = payload(context)
     seen = scripts.select(*keys).distinct().withColumn("_known", F.lit(True))
@@ -164,7 +167,7 @@ def trace_tables(lines: DataFrame, block: int | None = BLOCK, mode: str = "quara
         if first is not None:
             raise ValueError(f"{first['log_id']} line {first['line_no']}: {first['why']}")
     first_of = scripts.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("line_no"))).filter("_n = 1").drop("_n")
-    return Trace(stats(lines), first_of, parts, broken)
+    return Trace(stats(context), first_of, parts, broken)
 
 
 def in_page(trace: DataFrame, scripts: DataFrame, keys: tuple[str, ...] = ("log_id", "isolate", "script_id"), bring: tuple[str, ...] = ()) -> DataFrame:

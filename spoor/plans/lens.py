@@ -52,6 +52,19 @@ select 'all' as log_id, 'iso' as isolate, doc_id as script_id, doc_id as line_no
 from documents
 """
 
+#: Records that bring scripts about: a document acts on the one three times its number on. Each kind of cause once.
+CAUSES = f"""
+select 'all' as log_id, 'iso' as isolate, a.script_id, a.script_id * 2 + part as line_no, cast(1 as bigint) as epoch, k,
+       case when k = 1 then 'https://zz.example' else t.first_origin end as origin, case when k = 3 then 'c' else 's' end as op,
+       case k when 3 then 'HTMLDocument' when 4 then 'HTMLDivElement' when 5 then 'HTMLIFrameElement' when 6 then 'Location' else 'HTMLScriptElement' end as tag,
+       case k when 2 then 'text' when 3 then 'write' when 4 then 'innerHTML' when 6 then 'href' else 'src' end as member, t.script_id as t_id, t.url, t.code,
+       case k when 2 then t.code when 5 then case when t.first_origin in ('https://en.example', 'https://de.example') then t.first_origin else 'https://other.example' end
+              when 6 then concat('https://loc', cast(t.script_id % 5 as string), '.example')
+              when 3 then case when part = 0 then '<scr' else concat('ipt src=', t.url, '></script>') end
+              when 4 then concat('<b onclick=go', cast(t.script_id as string), '()>x</b><script>', t.code, '</script>') else t.url end as text
+from (select *, script_id % 7 as k from ({SCRIPTS}) s) a join ({SCRIPTS}) t on t.script_id = a.script_id * 3 join (select 0 as part union all select 1) p on part = 0 or k = 3
+where a.script_id > 0 and not (k in (0, 1, 3) and t.url = '')
+"""
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
@@ -88,3 +101,14 @@ def seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counted records, with the lens's scripts known by their number alone."""
     rows = context.payload(context_rows(spark, sf_dir))
     return context.in_page(rows, flagged_scripts(spark, sf_dir), ("script_id",))
+
+
+def causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CAUSES as counted records."""
+    rows = view(spark, sf_dir, "documents", CAUSES).withColumn("args", F.array(F.concat(F.lit('"'), "text", F.lit('"'))))
+    return context.in_page(rows, flagged_scripts(spark, sf_dir))
+
+
+def one_log(rows: DataFrame) -> DataFrame:
+    """Records of all the lens's logs as records of the log that its scripts are of."""
+    return rows.withColumns({"log_id": F.lit("all"), "isolate": F.lit("iso")})

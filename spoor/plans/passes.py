@@ -20,6 +20,7 @@ class Inputs:
     idl: DataFrame | None = None
     entities: DataFrame | None = None
     rules: DataFrame | None = None
+    suffixes: DataFrame | None = None
     root_domain: str = ""
 
 
@@ -66,7 +67,7 @@ named_pass("flow")(lambda t, i: usage.flow(_seen(t)))
 named_pass("fptp")(lambda t, i: parties.parties(_active(t).drop("code"), _needs(i.entities, "entities"), i.root_domain or None))
 named_pass("idlapis")(lambda t, i: idl.missing(_seen(t), t.scripts, _needs(i.idl, "interface definitions"), idl.resolved(i.idl)))
 named_pass("causality")(lambda t, i: causality.causality(_seen(t), t.scripts, root_domain=i.root_domain))
-named_pass("causality_graphml")(lambda t, i: causality.causality(_seen(t), t.scripts, root_domain=i.root_domain))
+named_pass("causality_graphml")(lambda t, i: causality.graphs(causality.causality(_seen(t), t.scripts, root_domain=i.root_domain), t.scripts))
 named_pass("noop")(lambda t, i: t.logs)
 named_pass("multi_origin")(lambda t, i: usage.multi_origin_objects(_seen(t)))
 
@@ -75,8 +76,14 @@ named_pass("multi_origin")(lambda t, i: usage.multi_origin_objects(_seen(t)))
 def adblock(t: Trace, i: Inputs) -> DataFrame:
     """url, origin_host, blocked: once for each pair."""
     pairs = _active(t).filter("url <> '' and first_origin <> 'null'").select("url", urls.hostname(F.col("first_origin")).alias("origin_host")).distinct()
-    third = urls.registrable(urls.hostname(F.col("url"))) != urls.registrable(F.col("origin_host"))
-    return blocklist.match(pairs.withColumn("third_party", third), _needs(i.rules, "rules"))
+    pairs = pairs.withColumn("url_host", urls.hostname(F.col("url")))
+    if i.suffixes is None:
+        third = urls.registrable(F.col("url_host")) != urls.registrable(F.col("origin_host"))
+    else:
+        pairs = urls.with_registrable(urls.with_registrable(pairs, "url_host", i.suffixes, "_site"), "origin_host", i.suffixes, "_page")
+        third = F.col("_site") != F.col("_page")
+    rows = pairs.select("url", "origin_host", third.alias("third_party"))
+    return blocklist.match(rows, _needs(i.rules, "rules"))
 
 
 def run(names: str, tables: Trace, inputs: Inputs | None = None) -> dict[str, DataFrame]:

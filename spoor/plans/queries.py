@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -242,6 +243,14 @@ def idl_missing(spark: SparkSession, d: str) -> DataFrame:
     return idl.unknown_apis(lens.seen(spark, d), spec, idl.resolved(spec)).select("log_id", "line_no", "tag", "member")
 
 
+@query("idlapis", f"""with {SEEN}, {RESOLVED}, m as (select s.* from seen s anti join idl on class = ctor and idl.mem = s.mem where not (op in ('c', 'g') and member = 'eval'))
+select name, m.line_no, concat(op, ' ', cast(k as varchar), ' ', coalesce(nullif(s.url, ''), p.url, ''), ' ', coalesce(nullif(s.first_origin, ''), p.first_origin, '')) as use
+from m join scr s using (script_id) left join scr p on p.script_id = s.eval_parent_id""", recursive=True)
+def idlapis(spark: SparkSession, d: str) -> DataFrame:
+    spec = _idl(spark)
+    return idl.missing(lens.one_log(lens.seen(spark, d)), lens.scripts(spark, d), spec, idl.resolved(spec)).select("name", "line_no", "use")
+
+
 @query("create_element", f"""with {SEEN} select origin, log_id, isolate, script_id, lower(arg) as tag_name, count(*) as n_made from seen where op = 'c' and ctor = 'HTMLDocument' and member = 'createElement' group by all""", recursive=True)
 def create_element(spark: SparkSession, d: str) -> DataFrame:
     return usage.created_elements(lens.seen(spark, d), ["log_id", "isolate", "script_id"])
@@ -254,12 +263,11 @@ def call_arguments(spark: SparkSession, d: str) -> DataFrame:
     return got.select("origin", "log_id", "script_id", "api", joined(F.flatten("calls")).alias("calls"), F.size("calls").cast("long").alias("n_calls"))
 
 
-@query("conversation_turns", "select conv_id, string_agg(concat(role, ':', cast(length(text) as varchar)), '|' order by turn, role, text) as turns from conversations group by conv_id")
+@query("conversation_turns", "select conv_id, string_agg(concat(role, ':', cast(length(text) as varchar)), '|' order by turn, concat(role, ':', cast(length(text) as varchar))) as turns from conversations group by conv_id")
 def conversation_turns(spark: SparkSession, d: str) -> DataFrame:
     """Ordered lists over another table: the aggregate of flow and call_arguments."""
     item = F.concat("role", F.lit(":"), F.char_length("text").cast("string"))
-    rows = F.array_sort(F.collect_list(F.struct("turn", "role", "text", item.alias("i"))))
-    return table(spark, d, "conversations").groupBy("conv_id").agg(joined(F.transform(rows, lambda x: x["i"])).alias("turns"))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(joined(usage.ordered(item, "turn")).alias("turns"))
 
 
 _FLOW = "acts as (select *, concat(cast(offset_ as varchar), ',', name) as action from seen where op = 'n' or member <> '12')"
@@ -298,7 +306,7 @@ def rollup_usage(spark: SparkSession, d: str) -> DataFrame:
 
 @query("mega_scripts", f"with {FLAGGED} select distinct sha2, size from fl where not is_injected", recursive=True)
 def mega_scripts(spark: SparkSession, d: str) -> DataFrame:
-    return star.script_rows(lens.flagged_scripts(spark, d))
+    return star.script_rows(lens.flagged_scripts(spark, d)).select("sha2", "size")
 
 
 _INST = """inst as (select *, sha256(concat(log_id, '|', sha2, '||', cast(size as varchar), '|', isolate, '|', cast(script_id as varchar))) as instance_hash from fl where not is_injected)"""
@@ -307,7 +315,7 @@ _INST = """inst as (select *, sha256(concat(log_id, '|', sha2, '||', cast(size a
 @query("mega_instances", f"""with {FLAGGED}, {_INST} select i.instance_hash, i.script_id, i.sha2, i.size, p.instance_hash as parent_hash,
 case when i.url <> '' then sha256(i.url) end as script_url_sha256, case when i.first_origin <> '' then sha256(i.first_origin) end as origin_url_sha256 from inst i left join inst p on p.script_id = i.eval_parent_id""", recursive=True)
 def mega_instances(spark: SparkSession, d: str) -> DataFrame:
-    return star.instance_rows(lens.flagged_scripts(spark, d)).drop("log_id", "isolate")
+    return star.instance_rows(lens.flagged_scripts(spark, d)).drop("log_id", "isolate", "sha3")
 
 
 _USES = "uses as (select s.*, base, role, concat(coalesce(base, ctor), case when s.mem = '' then '' else concat('.', s.mem) end) as full_name from seen s left join idl on class = ctor and idl.mem = s.mem where s.mem <> '12')"
@@ -320,7 +328,7 @@ def mega_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query("mega_usages", f"""with {SEEN}, {RESOLVED}, {_USES}, {_INST} select instance_hash, origin, full_name as name, offset_ as "offset", op, count(*) as n_uses from uses u join inst i on i.script_id = u.script_id group by all""", recursive=True)
 def mega_usages(spark: SparkSession, d: str) -> DataFrame:
-    uses = star.full_usages(lens.seen(spark, d), idl.resolved(_idl(spark))).withColumns({"log_id": F.lit("all"), "isolate": F.lit("iso")})
+    uses = star.full_usages(lens.one_log(lens.seen(spark, d)), idl.resolved(_idl(spark)))
     return star.usage_rows(uses, lens.flagged_scripts(spark, d))
 
 
@@ -329,15 +337,33 @@ def surrogate_ids(spark: SparkSession, d: str) -> DataFrame:
     return star.surrogate(table(spark, d, "customer").select("c_name", "c_custkey"), ["c_name", "c_custkey"], "id")
 
 
-@query("star_joins", """select n1.n_name as customer_nation, n2.n_name as supplier_nation, count(*) as n_items, cast(sum(l_linenumber) as bigint) as sum_lines
-from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey left join nation n1 on c_nationkey = n1.n_nationkey join supplier on l_suppkey = s_suppkey left join nation n2 on s_nationkey = n2.n_nationkey group by all""")
+_HOST_OF = "nullif(regexp_extract({}, '^[a-z]+://([^/?#:]+)', 1), '')"
+
+
+@query("star_joins", f"""with {FLAGGED} select script_id, {_HOST_OF.format('url')} as script_hostname, {_HOST_OF.format('first_origin')} as origin_hostname from fl where not is_injected""", recursive=True)
 def star_joins(spark: SparkSession, d: str) -> DataFrame:
-    """A fact table against one dimension under two names: the shape of instances and URLs."""
-    t = lambda n: table(spark, d, n)
-    nation = lambda n, k: t("nation").select(F.col("n_nationkey").alias(k), F.col("n_name").alias(n))
-    rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = rows.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(nation("customer_nation", "cn"), F.col("c_nationkey") == F.col("cn"), "left").join(nation("supplier_nation", "sn"), F.col("s_nationkey") == F.col("sn"), "left")
-    return rows.groupBy("customer_nation", "supplier_nation").agg(F.count("*").alias("n_items"), F.sum("l_linenumber").alias("sum_lines"))
+    """Instances against the dimension of URLs under two names."""
+    scripts = lens.flagged_scripts(spark, d)
+    dim = urls.dimension(scripts.select("url").unionByName(scripts.select(F.col("first_origin").alias("url"))))
+    return star.with_urls(star.instance_rows(scripts), dim, ("hostname",)).select("script_id", "script_hostname", "origin_hostname")
+
+
+@query("star_scripts", f"""with {FLAGGED}, k as (select sha2, size, row_number() over (order by sha2, size) as script_key from (select distinct sha2, size from fl where not is_injected) x)
+select script_id, script_key from fl join k using (sha2, size) where not is_injected""", recursive=True)
+def star_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """Instances against imported scripts by all three parts of their key; the lens has no third digest, which counts as equal."""
+    scripts = lens.flagged_scripts(spark, d)
+    return star.imported(star.instance_rows(scripts), star.surrogate(star.script_rows(scripts), star.KEY, "script_key")).select("script_id", "script_key")
+
+
+@query("star_features", f"""with {SEEN}, {RESOLVED}, {_USES}, {_INST}, n as (select full_name, row_number() over (order by full_name) as feature_id from (select distinct full_name from uses) x)
+select full_name as name, feature_id, count(*) as n_rows, cast(sum(n) as bigint) as n_uses from (select instance_hash, origin, full_name, offset_, op, count(*) as n from uses u join inst i on i.script_id = u.script_id group by all) y join n using (full_name) group by all""", recursive=True)
+def star_features(spark: SparkSession, d: str) -> DataFrame:
+    """Usages against the dimension of features."""
+    uses = star.full_usages(lens.one_log(lens.seen(spark, d)), idl.resolved(_idl(spark)))
+    dim = star.surrogate(star.feature_rows(uses).select("name"), ["name"], "id")
+    rows = star.with_features(star.usage_rows(uses, lens.flagged_scripts(spark, d)), dim)
+    return rows.groupBy("name", "feature_id").agg(F.count("*").alias("n_rows"), F.sum("n_uses").alias("n_uses"))
 
 
 @query("upsert_orders", "select o_custkey, count(*) as n_orders from orders where o_custkey not in (select c_custkey from customer where c_acctbal > 5000) group by o_custkey")
@@ -394,17 +420,27 @@ def html_tokens(spark: SparkSession, d: str) -> DataFrame:
 # ---- causality
 
 
-@query("include_join", f"""with {SCRIPTS}, src as (select script_id, url from scr where url <> ''), inc as (select page_id, url from pages union all select page_id, concat('https://src', cast(page_id % 20 as varchar), '.example.com/en/', cast(page_id * 3 as varchar)) from pages),
+_INCLUDED = "inc as (select page_id, s.url from pages join scr s on s.script_id = page_id * 3 where s.url <> '' union all select page_id, s.url from pages join scr s on s.script_id = page_id % 10 * 3 where s.url <> '')"
+
+
+@query("include_join", f"""with {SCRIPTS}, src as (select script_id, url from scr where url <> ''), {_INCLUDED},
 n1 as (select url, count(*) as n_includers from inc group by url), n2 as (select url, count(*) as n_sources from src group by url)
 select script_id, page_id, n_includers, n_sources from src join inc using (url) join n1 using (url) join n2 using (url)""")
 def include_join(spark: SparkSession, d: str) -> DataFrame:
     """Many to many by key, with how many there are on either side."""
-    src = lens.scripts(spark, d).filter("url <> ''").select("script_id", "url")
-    pages = table(spark, d, "pages")
-    made = F.concat(F.lit("https://src"), (F.col("page_id") % 20).cast("string"), F.lit(".example.com/en/"), (F.col("page_id") * 3).cast("string"))
-    inc = pages.select("page_id", "url").unionByName(pages.select("page_id", made.alias("url")))
-    n1, n2 = inc.groupBy("url").agg(F.count("*").alias("n_includers")), src.groupBy("url").agg(F.count("*").alias("n_sources"))
-    return src.join(inc, "url").join(n1, "url").join(n2, "url").select("script_id", "page_id", "n_includers", "n_sources")
+    rest, includes = _loaded(spark, d)
+    got = causality.met(rest, includes)
+    return got.select(F.col("child_id").alias("script_id"), F.col("parent_id").alias("page_id"), "n_includers", "n_sources")
+
+
+def _loaded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Scripts with a URL, and pages as what includes them, all under one origin: each page one of its own, and one that others have too."""
+    origin = F.lit("https://o.example")
+    scripts = lens.scripts(spark, d).filter("url <> ''").withColumns({"first_origin": origin, "is_injected": F.lit(False)})
+    pages = table(spark, d, "pages").select("page_id", F.explode(F.array(F.col("page_id") * 3, F.col("page_id") % 10 * 3)).alias("of"))
+    pages = pages.join(scripts.select(F.col("script_id").alias("of"), "url"), "of")
+    includes = pages.select(F.lit("all").alias("log_id"), F.lit("iso").alias("isolate"), F.col("page_id").alias("script_id"), urls.link_key(F.col("url"), origin).alias("key"), "url", F.lit(False).alias("by_write"))
+    return causality.pool_of(scripts), includes
 
 
 @query("causality_eval", f"with {FLAGGED} select 'eval' as genesis, script_id as child_id, sha2 as child_sha2, eval_parent_id as parent_id, p2 as parent_sha2 from (select f.*, p.sha2 as p2 from fl f left join fl p on p.script_id = f.eval_parent_id) x where not is_injected and eval_parent_id is not null", recursive=True)
@@ -413,8 +449,7 @@ def causality_eval(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _causality(spark: SparkSession, d: str, mode: str = "compat") -> DataFrame:
-    trace = lens.seen(spark, d).withColumns({"log_id": F.lit("all"), "isolate": F.lit("iso")})
-    return causality.causality(trace, lens.flagged_scripts(spark, d), mode)
+    return causality.causality(lens.one_log(lens.seen(spark, d)), lens.flagged_scripts(spark, d), mode)
 
 
 @query("causality_compat", f"""with {FLAGGED}, {CTX},
@@ -427,9 +462,55 @@ def causality_compat(spark: SparkSession, d: str) -> DataFrame:
     return _causality(spark, d).groupBy("genesis").agg(F.count("*").alias("n"))
 
 
-@query("causality_intent")
+def _rows_sql(mode: str) -> str:
+    """Every link of the lens's causes, stage by stage."""
+    key = lambda origin, url: f"concat({origin}, '$', regexp_replace({url}, '^[A-Za-z][A-Za-z0-9+.-]*:', ''))"
+    row = lambda genesis, child="null", parent="null", by="null", child_frame="false", parent_frame="false", n_in="null", n_src="null": (
+        f"select {genesis} as genesis, cast({child} as bigint) as child_id, cast({parent} as bigint) as parent_id, cast({by} as varchar) as by_url, {child_frame} as child_frame, {parent_frame} as parent_frame, cast({n_in} as bigint) as n_includers, cast({n_src} as bigint) as n_sources"
+    )
+    links = f"""cz as (select c.* from ({lens.CAUSES}) c join fl on fl.script_id = c.script_id where not is_injected and origin <> ''),
+inc as (select distinct script_id, {key("origin", "url")} as key, url, k = 3 as by_write from cz where k in (0, 1, 3)),
+ins as (select distinct script_id, sha256(code) as sha2, k = 4 as by_write from cz where k = 2 or k = 4 and code <> '' union select script_id, sha256(concat('go', cast(t_id as varchar), '()')), true from cz where k = 4),
+frames as (select distinct script_id, text as url from cz where k in (5, 6)),
+rest as (select *, case when url <> '' then {key("first_origin", "url")} end as key from fl where not is_injected and eval_parent_id is null),
+unmet as (select * from rest where key is null or key not in (select key from inc)),
+left_ as (select * from unmet where {"sha2 not in (select sha2 from ins)" if mode == "intent" else "true"})"""
+    over = "unmet" if mode == "intent" else "(select * from unmet where key is null)"
+    parts = [
+        row("'eval'", "script_id", "eval_parent_id") + " from fl where not is_injected and eval_parent_id is not null",
+        row("case when by_write then 'write_include' else 'include' end", "r.script_id", "i.script_id", "i.url", n_in="n1", n_src="n2")
+        + " from rest r join inc i using (key) join (select key, count(*) as n1 from inc group by key) using (key) join (select key, count(*) as n2 from rest where key is not null group by key) using (key)",
+        row("'iframe'", parent="script_id", by="url", child_frame="true") + " from frames",
+        row("case when by_write then 'write_insert' else 'insert' end", "r.script_id", "i.script_id") + f" from {over} r join ins i using (sha2)",
+        row("'static'", "script_id", by="first_origin", parent_frame="true") + " from left_ where key is not null",
+        row("'static_iframe'", by="first_origin", child_frame="true") + " from (select distinct first_origin from left_ where key is not null and first_origin not in (select url from frames)) o",
+        row("'unknown'", "script_id") + " from left_ where key is null and sha2 not in (select sha2 from ins)",
+    ]
+    return f"with {FLAGGED}, {links} " + " union all ".join(parts)
+
+
+def _causes(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    got = causality.causality(lens.causes(spark, d), lens.flagged_scripts(spark, d), mode)
+    return got.select("genesis", F.col("child_id").cast("long"), F.col("parent_id").cast("long"), "by_url", "child_frame", "parent_frame", "n_includers", "n_sources")
+
+
+@query("causality_rows", _rows_sql("compat"), recursive=True)
+def causality_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _causes(spark, d, "compat")
+
+
+@query("causality_intent", _rows_sql("intent"), recursive=True)
 def causality_intent(spark: SparkSession, d: str) -> DataFrame:
-    return _causality(spark, d, "intent")
+    return _causes(spark, d, "intent")
+
+
+@query("causality_graphml", f"""with e as ({_rows_sql("compat").replace("with ", "with recursive ", 1)}) select 'all' as log_id, count(distinct by_url) as n_frames from e where child_frame or parent_frame""")
+def causality_graphml(spark: SparkSession, d: str) -> DataFrame:
+    """How many frames the graph has; tests look at whole documents."""
+    scripts = lens.flagged_scripts(spark, d)
+    made = causality.graphs(causality.causality(lens.causes(spark, d), scripts), scripts)
+    frames = F.size(F.regexp_extract_all("value", F.lit('<data key="d6">true</data>'), F.lit(0)))
+    return made.select("log_id", frames.cast("long").alias("n_frames"))
 
 
 @query("graph_degrees", f"""with {FLAGGED}, e as (select script_id as child, eval_parent_id as parent from fl where not is_injected and eval_parent_id is not null),
@@ -440,9 +521,9 @@ def graph_degrees(spark: SparkSession, d: str) -> DataFrame:
     return got.select("script_id", "n_in", "n_out")
 
 
-@query("static_anti", f"with {SCRIPTS} select script_id from scr where url <> '' and url not in (select url from pages)")
+@query("static_anti", f"with {SCRIPTS}, {_INCLUDED} select script_id from scr where url <> '' and url not in (select url from inc)")
 def static_anti(spark: SparkSession, d: str) -> DataFrame:
-    return lens.scripts(spark, d).filter("url <> ''").join(table(spark, d, "pages").select("url").distinct(), "url", "left_anti").select("script_id")
+    return causality.unmet(*_loaded(spark, d)).select("script_id")
 
 
 # ---- parties and blocklists
@@ -474,6 +555,55 @@ def adblock(spark: SparkSession, d: str) -> DataFrame:
     return blocklist.match(rows, rules).select("page_id", "blocked")
 
 
+@query("adblock_options", rf"""select page_id, ({_HOST} like '%.example.com' and contains(url, '/fr/')) or ((contains({_HOST}, '.org') or regexp_matches(url, '/[0-9]+[.]html') or contains(url, 'utm_source')) and not contains(url, '/es/') and not contains(url, '/fr/')) as blocked from pages""")
+def adblock_options(spark: SparkSession, d: str) -> DataFrame:
+    """Types of requests, important rules over exceptions, regular expressions and letter case."""
+    rules = [".org^$image,script", "/en/$image", "/net/$~script", "/[0-9]+[.]html/$third-party", "||example.com^fr/$script,important", "@@/es/", "@@/fr/", "UTM_source$match-case", "utm_source$match-case", "/de/$popunder", "! note"]
+    rows = table(spark, d, "pages").select("page_id", "url", F.lit("o.example").alias("origin_host"), F.lit(True).alias("third_party"))
+    return blocklist.match(rows, spark.createDataFrame([(x,) for x in rules], "rule string")).select("page_id", "blocked")
+
+
+@query("url_suffixes", rf"""with h as (select page_id, {_HOST} as host from pages)
+select page_id, host, case when host like '%_.example.net' and host <> 'm.example.net' and not host like '%.m.example.net' then regexp_extract(host, '(([^.]+[.])?[^.]+[.]example[.]net)$', 1) end as own_net,
+regexp_extract(host, '([^.]+[.]example[.]com)$', 1) as own_com from h""")
+def url_suffixes(spark: SparkSession, d: str) -> DataFrame:
+    """Registrable domains by a table of suffixes, with a wildcard and an exception."""
+    rules = spark.createDataFrame([(x,) for x in ("com", "org", "net", "example.com", "*.example.net", "!m.example.net")], "suffix string")
+    hosts = table(spark, d, "pages").select("page_id", urls.hostname(F.col("url")).alias("host"))
+    got = urls.with_registrable(hosts, "host", rules)
+    host = F.col("host")
+    net = F.when(host.endswith(".example.net") & (host != "m.example.net") & ~host.endswith(".m.example.net"), F.col("etld1"))
+    return got.select("page_id", "host", net.alias("own_net"), F.when(host.endswith(".example.com"), F.col("etld1")).otherwise("").alias("own_com"))
+
+
+@query("html_kinds", r"""select page_id, len(regexp_extract_all(html, '<script[^>]*\ssrc=')) as n_src, len(regexp_extract_all(html, '<[a-z][^>]*\son[a-z]+=')) as n_handlers from pages""")
+def html_kinds(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages")
+    got = html.tokenize(pages, ["page_id"], "html").groupBy("page_id").agg(F.count(F.when(F.col("kind") == "src", 1)).alias("n_src"), F.count(F.when(F.col("kind") == "handler", 1)).alias("n_handlers"))
+    return pages.select("page_id").join(got, "page_id", "left").select("page_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_src", "n_handlers")))
+
+
+@query("entities_file", "select concat(lower(replace(n_name, ' ', '-')), '.example') as domain, n_name as display_name, case when n_nationkey % 2 = 0 then cast(n_nationkey as double) / 10 else 0.0 end as tracking from nation")
+def entities_file(spark: SparkSession, d: str) -> DataFrame:
+    """Owners of domains, written as the file that they come in and read back."""
+    from spoor.session import shared_dir
+    from spoor.sources import logs
+
+    key = F.col("n_nationkey")
+    entry = F.struct(F.col("n_name").alias("displayName"), F.when(key % 2 == 0, key.cast("double") / 10).alias("tracking"))
+    domain = F.concat(F.lower(F.replace("n_name", F.lit(" "), F.lit("-"))), F.lit(".example"))
+    whole = table(spark, d, "nation").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(domain, entry)))).alias("value"))  # 25 rows, one file
+    at = f"{shared_dir(spark)}/entities-{uuid.uuid4().hex}"
+    whole.coalesce(1).write.text(at)
+    return logs.read_entities(spark, at)
+
+
+@query("integrity", f"with {CTX} select log_id, line_no, 'unknown active script' as why from ctx where op = '!' and script_id is not null")
+def integrity(spark: SparkSession, d: str) -> DataFrame:
+    """What contradicts itself: the lens's logs name scripts that they don't define."""
+    return context.trace_tables(lens.lines(spark, d), block=None).broken
+
+
 @query("noop", "select count(*) as n_records from events")
 def noop(spark: SparkSession, d: str) -> DataFrame:
     return lens.lines(spark, d).agg(F.count("*").alias("n_records"))
@@ -482,8 +612,6 @@ def noop(spark: SparkSession, d: str) -> DataFrame:
 @query("live_context", _CTX_SQL)
 def live_context(spark: SparkSession, d: str) -> DataFrame:
     """The same context by the streaming operator, over a finished stream of the table's lines."""
-    import uuid
-
     from spoor.session import shared_dir
     from spoor.streaming import live
 

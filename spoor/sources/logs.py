@@ -57,3 +57,9 @@ def read_entities(spark: SparkSession, path: str) -> DataFrame:
 
 def read_rules(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.text(paths).select(F.col("value").alias("rule"))
+
+
+def read_suffixes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """suffix: the rules of a public suffix list, one a line, without comments."""
+    rows = spark.read.text(paths).select(F.regexp_extract("value", r"^\s*(\S+)", 1).alias("suffix"))
+    return rows.filter("suffix <> '' and suffix not like '//%'")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.functions.urls import upsert
@@ -33,9 +33,11 @@ def write_jdbc(df: DataFrame, url: str, name: str, properties: dict[str, str]) -
     df.write.jdbc(url, name, mode="append", properties=properties)
 
 
-def write_graphml(edges: DataFrame, scripts: DataFrame, log_id: str, path: str) -> None:
-    """One log's graph; its rows come to the driver, as one page's scripts do fit."""
-    from spoor.operators.causality import graphml
+def read_submissions(spark: SparkSession, url: str, name: str, properties: dict[str, str], id_col: str = "id", url_col: str = "url") -> DataFrame:
+    """id, url of submissions, from a database: what root_domains() joins with."""
+    return spark.read.jdbc(url, name, properties=properties).select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"))
 
-    text = graphml(edges.filter(F.col("log_id") == log_id).toLocalIterator(), scripts.filter(F.col("log_id") == log_id).drop("code").toLocalIterator())
-    edges.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+def write_graphml(graphs: DataFrame, path: str) -> None:
+    """A folder of text files for each log, by what causality.graphs() gives."""
+    graphs.write.mode("overwrite").partitionBy("log_id").text(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -33,7 +34,7 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         if op == "~":
             isolate, script = first, None
         elif op == "!":
-            script = int(first) if first and first.lstrip("-").isdigit() else None
+            script = int(first) if first and re.fullmatch(r"[+-]?[0-9]+", first) and -(1 << 31) <= int(first) < 1 << 31 else None
         elif op == "@":
             bare = first[1:-1] if first and len(first) >= 2 and first[0] == first[-1] == '"' else first
             origins[isolate or ""] = bare
