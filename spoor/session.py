@@ -27,6 +27,14 @@ def ship(spark: SparkSession) -> None:
     sc._spoor_shipped = True
 
 
+def small_batches(spark: SparkSession, megabytes: int = 4) -> None:
+    """Bound the bytes of the batches that go to Python workers, unless the session has a lower bound already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if not now or not now.rstrip("bB").isdigit() or not 0 < int(now.rstrip("bB")) <= megabytes << 20:
+        spark.conf.set(key, f"{megabytes << 20}b")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or the context's checkpoint folder.
 
