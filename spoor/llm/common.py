@@ -10,7 +10,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.session import discard, shared_dir, ship, table, written
+from spoor.session import discard, shared_dir, ship, small_batches, table, written
 
 __all__ = ["positioned", "in_place", "prepare", "shared_dir", "table", "written", "discard", "text_of", "texts", "raw", "small", "kind", "fresh"]
 
@@ -24,6 +24,7 @@ SPACES = " \t\n\x0b\x0c\r"
 def prepare(spark: SparkSession) -> None:
     """Before an operator that runs Python on the executors."""
     ship(spark)
+    small_batches(spark)
 
 
 def text_of(column: str = "text") -> Column:
@@ -37,7 +38,7 @@ def kind(df: DataFrame, **more: str) -> str:
 
 
 def small(batches: Iterator[pa.RecordBatch], column: str = "t", most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds at most so many bytes of the text column, or one row. Spark bounds theirs at 64 MB."""
+    """Batches cut so that each holds at most so many bytes of the text column, or one row."""
     for b in batches:
         col = b.column(column)
         if col.nbytes <= most or not len(col):
