@@ -145,7 +145,7 @@ def context_names(at: list[tuple[str, str]]) -> list[str]:
 EDGE = "^", ""
 
 
-def labelled(n: int = 800, seed: int = 5, forms: slice = slice(None), frames: slice = slice(None)) -> list[tuple[list[str], list[str]]]:
+def labelled(n: int = 700, seed: int = 5, forms: slice = slice(None), frames: slice = slice(None)) -> list[tuple[list[str], list[str]]]:
     """A small labelled table: sentences as words and their labels, with personal data in many forms and look-alikes.
 
     forms and frames pick from the forms of each kind and from the kinds of sentences, so that tests can hold some out.
@@ -211,9 +211,9 @@ def labelled_table(spark: SparkSession, **how) -> DataFrame:
 
 #: Sentences that are trained on at most; a larger table raises.
 MAX_LABELLED = 20_000
-STEPS = 40
-#: How many words settled() looks further at a time, until that settles no more words. The result is the same with any.
-LOOK = 4
+STEPS = 28
+#: How many words settled() looks further at a time, and the share of words that must be settled by that to go on. The result is the same with any.
+LOOK, FEW = 4, 0.01
 #: Bytes of text whose words are looked at together: what numpy makes of them stays in a processor's cache.
 PART = 1 << 18
 #: Pairs of shape and cue word that a labelled table has at most, so that five of them make one number.
@@ -315,24 +315,31 @@ class Field:
         can begin there instead, at the cost of anew[y] and the difference of that word's scores; or that
         word can be O too, at the cost of ended[y], the difference of its scores and what is lost behind it in
         turn. Each round carries both one word further; the bound holds after any number of them. Where the
-        sum is below zero for every y, a labelling with O at i is better.
+        sum is below zero for every y, a labelling with O at i is better; what is settled settles words beside it.
         """
-        begin, inside = e[:, BEGINS] - e[:, :1], e[:, INSIDE] - e[:, :1]
-        nothing = np.zeros((1, len(KINDS)), e.dtype)
-        rise, fall = (np.concatenate([x[1:], nothing]) for x in (inside - begin, inside))
-        behind, anew, ended, before = ((x[BEGINS].astype(e.dtype), x[INSIDE].astype(e.dtype)) for x in (self.behind, self.anew, self.ended, self.before))
+        out = np.ones(len(e), bool)
+        for b, i in zip(BEGINS, INSIDE, strict=True):
+            out &= self._settled_but_for(e[:, b] - e[:, 0], e[:, i] - e[:, 0], [(b, i)[k] for k in (0, 1)])
+        return out
+
+    def _settled_but_for(self, begin: np.ndarray, inside: np.ndarray, labels: list[int]) -> np.ndarray:
+        """settled() for one kind, whose labels score so much more than O."""
+        zero = np.zeros(1, begin.dtype)
+        rise, fall = np.append(inside[1:] - begin[1:], zero), np.append(inside[1:], zero)
+        behind, anew, ended, before = ([begin.dtype.type(x[y]) for y in labels] for x in (self.behind, self.anew, self.ended, self.before))
         lost = [np.maximum(behind[k], anew[k] + rise) for k in (0, 1)]
-        first = begin + before[0]
-        gain = inside + before[1]
-        out, done = np.zeros(len(e), bool), -1
-        while out.sum() > done:
-            done = out.sum()
+        first, gain = begin + before[0], inside + before[1]
+        out, done = np.zeros(len(begin), bool), -1.0
+        while True:
+            out |= np.maximum(first + lost[0], gain + lost[1]) < -1e-3
+            if not out.mean() > done + FEW or out.mean() > 1 - FEW:
+                return out
+            done = out.mean()
             for _ in range(LOOK):
-                after = fall + np.concatenate([lost[1][1:], nothing])
+                after = fall + np.append(lost[1][1:], zero)
                 lost = [np.maximum(behind[k], np.minimum(anew[k] + rise, ended[k] + after)) for k in (0, 1)]
                 gain[1:] = inside[1:] + np.minimum(before[1], np.maximum(first[:-1] + ended[0], gain[:-1] + ended[1]))
-            out = np.maximum((first + lost[0]).max(axis=1), (gain + lost[1]).max(axis=1)) < -1e-3
-        return out
+            first[out], gain[out], lost[0][out], lost[1][out] = BAN, BAN, BAN, BAN  # the kind doesn't go on from there
 
     def decode(self, found: list[list[str]]) -> list[list[tuple[int, int, int]]]:
         """For each text, (first word, word behind the last, kind) of each span."""
