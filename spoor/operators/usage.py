@@ -86,19 +86,29 @@ def ordered(item: Column, order: str = "line_no") -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("i")))), lambda x: x["i"])
 
 
-def call_arguments(trace: DataFrame, site: list[str] = SITE) -> DataFrame:
-    """origin, site, api, calls: array of argument lists in order. Receivers keep their object ids."""
+def call_rows(trace: DataFrame, site: list[str] = SITE) -> DataFrame:
+    """origin, site, api, line_no, args: a row per call. Receivers keep their object ids."""
     rows = trace.filter("op = 'c'").filter(~F.coalesce(f.is_noise(F.col("member")), F.lit(False)))
-    return rows.groupBy("origin", *site, f.full_name(F.col("receiver"), F.col("member")).alias("api")).agg(ordered(F.col("args")).alias("calls"))
+    return rows.select("origin", *site, f.full_name(F.col("receiver"), F.col("member")).alias("api"), "line_no", "args")
 
 
-def flow(trace: DataFrame, skip_repeats: bool = False, key: tuple[str, ...] = ("log_id", "isolate", "script_id")) -> DataFrame:
-    """key, actions: "offset,name" of each record in order; skip_repeats leaves out the same action again."""
-    rows = named(trace, ("g", "c", "s", "n")).withColumn("action", F.concat_ws(",", F.col("offset").cast("string"), "name"))
+def call_arguments(trace: DataFrame, site: list[str] = SITE) -> DataFrame:
+    """origin, site, api, calls: call_rows() as an array of argument lists in order, for a site whose calls fit one row."""
+    return call_rows(trace, site).groupBy("origin", *site, "api").agg(ordered(F.col("args")).alias("calls"))
+
+
+def flow_rows(trace: DataFrame, skip_repeats: bool = False, key: tuple[str, ...] = ("log_id", "isolate", "script_id")) -> DataFrame:
+    """key, line_no, action ("offset,name"): a row per record; skip_repeats leaves out the same action again."""
+    rows = named(trace, ("g", "c", "s", "n")).select(*key, "line_no", F.concat_ws(",", F.col("offset").cast("string"), "name").alias("action"))
     if skip_repeats:
         before = F.lag("action").over(Window.partitionBy(*key).orderBy("line_no"))
-        rows = rows.withColumn("_before", before).filter(~F.col("action").eqNullSafe(F.col("_before")))
-    return rows.groupBy(*key).agg(ordered(F.col("action")).alias("actions"))
+        rows = rows.withColumn("_before", before).filter(~F.col("action").eqNullSafe(F.col("_before"))).drop("_before")
+    return rows
+
+
+def flow(trace: DataFrame, skip_repeats: bool = False, key: tuple[str, ...] = ("log_id", "isolate", "script_id")) -> DataFrame:
+    """key, actions: flow_rows() as an array in order, for scripts whose records fit one row."""
+    return flow_rows(trace, skip_repeats, key).groupBy(*key).agg(ordered(F.col("action")).alias("actions"))
 
 
 def multi_origin_objects(trace: DataFrame) -> DataFrame:

@@ -63,6 +63,8 @@ named_pass("ufeatures")(lambda t, i: usage.features_by_log(_seen(t), _table(i)))
 named_pass("Mfeatures")(lambda t, i: star.usage_rows(star.full_usages(_seen(t), _table(i)), t.scripts))
 named_pass("create_element")(lambda t, i: usage.created_elements(_seen(t)))
 named_pass("callargs")(lambda t, i: usage.call_arguments(_seen(t)))
+named_pass("callargs_rows")(lambda t, i: usage.call_rows(_seen(t)))
+named_pass("flow_rows")(lambda t, i: usage.flow_rows(_seen(t)))
 named_pass("flow")(lambda t, i: usage.flow(_seen(t)))
 named_pass("fptp")(lambda t, i: parties.parties(_active(t).drop("code"), _needs(i.entities, "entities"), i.root_domain or None))
 named_pass("idlapis")(lambda t, i: idl.missing(_seen(t), t.scripts, _needs(i.idl, "interface definitions"), idl.resolved(i.idl)))

@@ -284,6 +284,12 @@ def flow_dedup(spark: SparkSession, d: str) -> DataFrame:
     return usage.flow(lens.seen(spark, d), skip_repeats=True).withColumn("actions", joined(F.col("actions")))
 
 
+@query("flow_rows", f"with {SEEN}, {_FLOW} select log_id, isolate, script_id, line_no, action from acts", recursive=True)
+def flow_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The same as rows, for scripts of any length."""
+    return usage.flow_rows(lens.seen(spark, d))
+
+
 @query("multi_origin", f"""with {SEEN} select log_id, isolate, obj as obj_id, string_agg(distinct origin, '|' order by origin) as origins, string_agg(distinct name, '|' order by name) as names
 from seen where op <> 'n' group by all having count(distinct origin) > 1""", recursive=True)
 def multi_origin(spark: SparkSession, d: str) -> DataFrame:
