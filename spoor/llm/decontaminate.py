@@ -76,11 +76,10 @@ class Items:
         """Ranges of hit words (merged, end exclusive), in order, and the ids of the items they come from."""
         if not found or self.automaton is None:
             return [], set()
-        code, other = self.code, self.other
         ranges: list[tuple[int, int]] = []
         ids: set = set()
         looked: dict[tuple[int, int], int] = {}  # item and shift -> how far it was compared
-        for end, (n, of) in self.automaton.iter("".join([code.get(w, other) for w in found])):
+        for end, (n, of) in self.automaton.iter("".join(map(self.code.get, found, itertools.repeat(self.other)))):
             b = end // 3 + 1
             a = b - n
             for k, at in of:
