@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,13 +79,20 @@ def positioned(docs: DataFrame, stored: bool) -> tuple[DataFrame, str, str]:
     """docs with two columns that say where each row lies, a hash of its file and its number in it; and their names.
 
     stored: docs is a Parquet table as read, perhaps filtered or with fewer columns, so that its rows have
-    lasting places. Any other DataFrame is written to the shared folder first.
+    lasting places. Any other DataFrame is written to the shared folder first, as is one without places.
     """
     file, row = fresh(docs, "_file"), fresh(docs, "_row")
-    if not stored:
-        docs = written(docs, "docs")
-    where = docs.metadataColumn("_metadata")
-    return docs.select("*", F.xxhash64(where["file_path"]).alias(file), where["row_index"].alias(row)), file, row
+
+    def with_places(df: DataFrame) -> DataFrame:
+        where = df.metadataColumn("_metadata")
+        return df.select("*", F.xxhash64(where["file_path"]).alias(file), where["row_index"].alias(row))
+
+    if stored:
+        try:
+            return with_places(docs), file, row
+        except AnalysisException:
+            pass
+    return with_places(written(docs, "docs")), file, row
 
 
 def in_place(docs: DataFrame, side: DataFrame, file: str, row: str, how: str, size: Column) -> DataFrame:
