@@ -16,7 +16,7 @@ from spoor.session import discard, shared_dir, ship, small_batches, table, writt
 __all__ = ["positioned", "in_place", "prepare", "shared_dir", "table", "written", "discard", "text_of", "texts", "raw", "small", "kind", "fresh"]
 
 #: Bytes of text that a Python worker handles at once; a longer text is handled alone.
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 
 #: The ASCII white space of every contract, [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"

@@ -34,6 +34,8 @@ MAX_TRAIN = 8_000
 BITS = 18
 KEPT = 300_000
 EPOCHS = 25
+#: Bytes of text whose indicators are looked up together: each takes some 40 bytes for a moment.
+PART = 1 << 18
 C = 1.0
 _WORD, _SHAPE, _PAIR, _SHAPES, _PART = (x << 40 for x in range(1, 6))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -204,12 +206,12 @@ def scores(found: list[bytes], model: dict) -> np.ndarray:
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
-    for b in small(batches):
+    for b in small(batches, most=PART):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores(raw(b, "t"), model), pa.float64())], ["doc_id", "score"])
 
 
 def _good(batches: Iterator[pa.RecordBatch], model: dict, at: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    for b in small(batches, f"c{at}"):
+    for b in small(batches, f"c{at}", PART):
         found = [x or b"" for x in raw(b, f"c{at}")]
         yield b.filter(pa.array(scores(found, model) >= threshold))
 
