@@ -27,7 +27,7 @@ def ship(spark: SparkSession) -> None:
     sc._spoor_shipped = True
 
 
-def small_batches(spark: SparkSession, megabytes: int = 4) -> None:
+def small_batches(spark: SparkSession, megabytes: int = 2) -> None:
     """Bound the bytes of the batches that go to Python workers, unless the session has a lower bound already."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key, None)
