@@ -175,7 +175,8 @@ class PrefixCounts(dict):
         for part in self.split(chunk):
             steps = parts.get(part)
             if steps is None:
-                steps = np.diff(self.prefix_counts(part)).astype(np.int8).tobytes()
+                at = self.prefix_counts(part)
+                steps = bytes([(after - before) & 255 for before, after in zip(at, at[1:], strict=False)])
                 if len(part) <= LONG:
                     parts[part] = steps
             out.append(steps)
