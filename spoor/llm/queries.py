@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.llm import decontaminate, exact_dedup, line_dedup, mixing, pii, quality, secrets, simhash, token_counts, url_filter
+from spoor.llm import bpe, decontaminate, exact_dedup, line_dedup, mixing, pii, quality, secrets, simhash, token_counts, url_filter
 from spoor.llm.common import table
 
 #: The rules of the contract, as (verdict, host, path).
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 WEIGHTS = [3.0, 1.0, 2.0]
 TOKEN_LIMIT = 4096
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +65,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encoded(table(spark, sf_dir, "documents"), RANKS, back=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_pii, op3_token_counts, op4_url_filters, op5_mixing, op6_exact_dedup, op7_quality, op8_decontamination, op9_secret_scans, op10_simhash)
+    f.__name__: f for f in (op1_line_dedup, op2_pii, op3_token_counts, op4_url_filters, op5_mixing, op6_exact_dedup, op7_quality, op8_decontamination, op9_secret_scans, op10_simhash, op13_byte_bpe)
 }
 
 #: What the other queries compute (learned models, rounded copies, hashes with a seed, tokens) has no SQL.
