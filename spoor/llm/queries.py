@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.llm import bpe, decontaminate, exact_dedup, line_dedup, mixing, pii, quality, secrets, simhash, token_counts, url_filter
+from spoor.llm import bpe, decontaminate, exact_dedup, line_dedup, merkle, mixing, pii, quality, secrets, simhash, token_counts, url_filter
 from spoor.llm.common import table
 
 #: The rules of the contract, as (verdict, host, path).
@@ -65,6 +65,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = {"text": F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")}
+    when = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    found = merkle.manifest(merkle.document_leaves(docs, tampered, when))
+    proof = F.sha2(F.array_join("proof", "").cast("binary"), 256)
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.encoded(table(spark, sf_dir, "documents"), RANKS, back=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -72,9 +81,40 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_pii, op3_token_counts, op4_url_filters, op5_mixing, op6_exact_dedup, op7_quality, op8_decontamination, op9_secret_scans, op10_simhash, op13_byte_bpe)
+    f.__name__: f for f in (op1_line_dedup, op2_pii, op3_token_counts, op4_url_filters, op5_mixing, op6_exact_dedup, op7_quality, op8_decontamination, op9_secret_scans, op10_simhash, op12_merkle, op13_byte_bpe)
 }
 
+def _merkle_sql(levels: int = 9, top_levels: int = 3) -> str:
+    """Level by level: enough for 8 ** levels documents of a language and 8 ** top_levels languages."""
+    fields = lambda text: ", ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("doc_id::varchar", "source", "lang", "n_chars::varchar", text))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"
+    out = f"""
+with d as (select doc_id, case when lang is null then '0' else '1' || lang end as tree, sha256(concat({fields("text")})) as leaf, case when {crc} % 3 = 0 then sha256(concat({fields(lower)})) end as claim from documents),
+n0 as (select tree, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by tree) as n, leaf as h from d),
+p0 as (select doc_id, tree, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as i, leaf, '' as proof, coalesce(claim, leaf) as f from d)"""
+
+    def up(k: int) -> str:
+        return f""",
+r{k} as (select tree, i // 8 as g, list(h order by i) as run, any_value(n) as n from n{k} where n > 1 group by tree, i // 8),
+n{k + 1} as (select tree, g as i, (n + 7) // 8 as n, sha256(array_to_string(run, '')) as h from r{k} union all select tree, i, n, h from n{k} where n = 1),
+p{k + 1} as (select p.* replace (p.i // 8 as i, p.proof || coalesce(array_to_string(run[1 : p.i % 8] || run[p.i % 8 + 2 : 8], ''), '') as proof,
+             case when run is null then f else sha256(array_to_string(run[1 : p.i % 8], '') || f || array_to_string(run[p.i % 8 + 2 : 8], '')) end as f)
+             from p{k} p left join r{k} r on p.tree = r.tree and p.i // 8 = r.g)"""
+
+    for k in range(levels):
+        out += up(k)
+    k = levels + 1
+    out += f""",
+s as (select tree, h as subroot, row_number() over (order by tree) - 1 as i from n{levels}),
+n{k} as (select 'top' as tree, i, (select count(*) from s) as n, subroot as h from s),
+p{k} as (select p.doc_id, 'top' as tree, s.i, p.leaf, p.proof, p.f, s.subroot from p{levels} p join s using (tree))"""
+    for k in range(levels + 1, levels + 1 + top_levels):
+        out += up(k)
+    k = levels + 1 + top_levels
+    return out + f" select doc_id, leaf, subroot, h as root, sha256(proof) as proof_sha256, f as folded_root, f = h as verified from p{k} cross join (select h from n{k} limit 1)"
+
+
 #: What the other queries compute (learned models, rounded copies, hashes with a seed, tokens) has no SQL.
 ORACLES = {
     "op1_line_dedup": r"""
@@ -107,4 +147,5 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(
        coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from dw left join hit using (doc_id) left join items using (doc_id)
 """,
+    "op12_merkle": _merkle_sql(),
 }
