@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.llm import bpe, decontaminate, exact_dedup, line_dedup, merkle, mixing, pii, quality, secrets, simhash, token_counts, url_filter
+from spoor.llm import bpe, collocations, decontaminate, exact_dedup, line_dedup, merkle, mixing, pii, quality, secrets, simhash, token_counts, url_filter
 from spoor.llm.common import table
 
 #: The rules of the contract, as (verdict, host, path).
@@ -65,6 +65,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tampered = {"text": F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")}
@@ -81,7 +85,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_pii, op3_token_counts, op4_url_filters, op5_mixing, op6_exact_dedup, op7_quality, op8_decontamination, op9_secret_scans, op10_simhash, op12_merkle, op13_byte_bpe)
+    f.__name__: f for f in (op1_line_dedup, op2_pii, op3_token_counts, op4_url_filters, op5_mixing, op6_exact_dedup, op7_quality, op8_decontamination, op9_secret_scans, op10_simhash, op11_collocations, op12_merkle, op13_byte_bpe)
 }
 
 def _merkle_sql(levels: int = 9, top_levels: int = 3) -> str:
@@ -146,6 +150,23 @@ with iw as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'AB
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
        coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from dw left join hit using (doc_id) left join items using (doc_id)
+""",
+    "op11_collocations": r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+     w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+     g as (select lang, m, array_to_string(w[i + 1 : i + m], ' ') as phrase from (select lang, w, m, unnest(range(len(w) - m + 1)) as i from w, (select unnest(range(1, 6)) as m) where len(w) >= m)),
+     f as (select lang, m, phrase, count(*) as f from g group by all),
+     n as (select lang, cast(sum(f) as bigint) as n from f where m = 1 group by lang),
+     c as (select *, string_split(phrase, ' ') as w from f where m >= 2 and f >= 100),
+     k as (select lang, m, phrase, f, unnest(range(1, m)) as k, w from c),
+     s as (select k.lang, k.m, k.phrase, k.f as a, k.k, l.f as l, r.f as r, n.n, cast(1000::hugeint * k.f * n.n // (l.f::hugeint * r.f) as bigint) as score
+           from k join f l on l.lang = k.lang and l.phrase = array_to_string(k.w[1 : k.k], ' ') join f r on r.lang = k.lang and r.phrase = array_to_string(k.w[k.k + 1 : k.m], ' ') join n on n.lang = k.lang),
+     b as (select * from (select *, row_number() over (partition by lang, phrase order by score, k) as best from s) where best = 1),
+     t as (select lang, f, w, m, unnest(range(2, m)) as size from c),
+     d as (select lang, array_to_string(w[i + 1 : i + size], ' ') as phrase, max(f) as longer from (select *, unnest(range(m - size + 1)) as i from t) group by all)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from b left join d using (lang, phrase) where longer is null or 100 * longer < 100 * a
+qualify rank <= 2000
 """,
     "op12_merkle": _merkle_sql(),
 }
