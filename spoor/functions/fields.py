@@ -90,12 +90,12 @@ def native_name(name: Column) -> Column:
 
 def receiver_of(op: Column, fields: Column) -> Column:
     at = lambda i: F.get(fields, F.lit(i))
-    return F.when(op.isin("g", "s"), at(1)).when(op == "c", at(2)).when(op == "n", native_name(at(1)))
+    return F.when(op.isin("g", "s"), at(1)).when(op == "c", at(2)).when(op == "n", native_name(strip_curlies(at(1))))
 
 
 def member_of(op: Column, fields: Column) -> Column:
     at = lambda i: F.get(fields, F.lit(i))
-    return F.when(op.isin("g", "s"), strip_quotes(at(2))).when(op == "c", native_name(at(1))).when(op == "n", F.lit(""))
+    return F.when(op.isin("g", "s"), strip_quotes(at(2))).when(op == "c", native_name(strip_quotes(at(1)))).when(op == "n", F.lit(""))
 
 
 def arguments_of(op: Column, fields: Column) -> Column:

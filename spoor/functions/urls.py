@@ -88,9 +88,14 @@ def site(url: Column) -> Column:
     return F.substring_index(url, "/", 3)
 
 
-def dimension(raw: DataFrame, column: str = "url", suffixes: list[str] | None = None) -> DataFrame:
-    """One row per distinct URL that isn't null or empty, with its parts."""
-    return raw.select(F.col(column).alias("u")).filter("u <> ''").distinct().select(parts(F.col("u"), suffixes).alias("p")).select("p.*")
+def dimension(raw: DataFrame, column: str = "url", suffixes: DataFrame | list[str] | None = None) -> DataFrame:
+    """One row per distinct URL that isn't null or empty, with its parts. suffixes: a list, or a table as with_registrable() takes."""
+    distinct = raw.select(F.col(column).alias("u")).filter("u <> ''").distinct()
+    if not isinstance(suffixes, DataFrame):
+        return distinct.select(parts(F.col("u"), suffixes).alias("p")).select("p.*")
+    rows = with_registrable(distinct.select(parts(F.col("u")).alias("p")).select("p.*"), "hostname", suffixes, "_etld1")
+    cols = {"etld1": F.col("_etld1"), "stemmed": F.concat("_etld1", "path")}
+    return rows.select("sha256", "full", "scheme", "hostname", "port", "path", "query", *(c.alias(n) for n, c in cols.items()))
 
 
 def upsert(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

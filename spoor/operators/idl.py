@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoor.functions import fields as f
+from spoor.operators.usage import counted
 
 #: Names that belong to the language itself, so that an interface file needn't list them.
 GLOBALS = (
@@ -62,12 +63,14 @@ def looked_up(rows: DataFrame, table: DataFrame, tag: str = "tag", member: str =
 def unknown_apis(rows: DataFrame, idl: DataFrame, table: DataFrame, compat: bool = False) -> DataFrame:
     """rows (op, tag, member) of APIs that the definitions don't hold; aliases count as their interface.
 
+    Members that are noise, records of the Java bridge and such as lack their fields aren't uses of an API.
+
     compat: every construction counts as unknown, as its member is empty.
     """
     alias = idl.select(F.explode("aliases").alias("alias"), "interface").filter("alias is not null")
     known = table.select(F.col("class").alias("tag"), "member").unionByName(alias.join(table, alias["interface"] == table["class"]).select(F.col("alias").alias("tag"), "member")).distinct()
     names = idl.select(F.col("interface").alias("member")).distinct()
-    calls = rows.filter(~(F.col("op").isin("c", "g") & F.col("member").isin(*GLOBALS)))
+    calls = counted(rows).filter(~(F.col("op").isin("c", "g") & F.col("member").isin(*GLOBALS)))
     calls = calls.join(names, "member", "left_anti")
     if compat:
         known = known.filter("member <> ''")

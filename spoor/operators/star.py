@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spoor.functions import fields as f
 from spoor.functions import hashes, urls
+from spoor.operators.usage import counted
 from spoor.session import written
 
 
@@ -71,8 +72,7 @@ def with_features(usages: DataFrame, features: DataFrame, bring: tuple[str, ...]
 
 def full_usages(trace: DataFrame, idl: DataFrame | None = None) -> DataFrame:
     """Records with name, receiver_name, base and role; a construction is its receiver with role c."""
-    ok = ~F.coalesce(f.is_noise(F.col("tag")), F.lit(False)) & ~F.coalesce(f.is_noise(F.col("member")), F.lit(False))
-    rows = trace.filter(F.col("op").isin("g", "s", "c", "n")).filter(ok)
+    rows = counted(trace)
     if idl is None:
         rows = rows.withColumns({"base": F.lit(None).cast("string"), "role": F.lit(None).cast("string")})
     else:
@@ -94,10 +94,10 @@ def usage_rows(uses: DataFrame, scripts: DataFrame) -> DataFrame:
     return counted.join(keyed, ["log_id", "isolate", "script_id"]).drop("log_id", "isolate", "script_id")
 
 
-def star(trace: DataFrame, scripts: DataFrame, idl: DataFrame | None = None) -> Star:
+def star(trace: DataFrame, scripts: DataFrame, idl: DataFrame | None = None, suffixes: DataFrame | None = None) -> Star:
     uses = full_usages(trace, idl)
     named = scripts.select(F.col("url")).unionByName(scripts.select(F.col("first_origin").alias("url"))).unionByName(trace.select(F.col("origin").alias("url")))
-    return Star(script_rows(scripts), instance_rows(scripts), feature_rows(uses), usage_rows(uses, scripts), urls.dimension(named))
+    return Star(script_rows(scripts), instance_rows(scripts), feature_rows(uses), usage_rows(uses, scripts), urls.dimension(named, suffixes=suffixes))
 
 
 def surrogate(rows: DataFrame, key: list[str], name: str) -> DataFrame:

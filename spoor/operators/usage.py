@@ -14,24 +14,30 @@ from spoor.functions import fields as f
 SITE = ["log_id", "isolate", "script_id", "offset"]
 
 
-def named(trace: DataFrame, ops: tuple[str, ...] = ("g", "c", "s")) -> DataFrame:
-    """Records of the given kinds with name, without names that are noise."""
-    rows = trace.filter(F.col("op").isin(*ops)).filter(~F.coalesce(f.is_noise(F.col("tag")), F.lit(False)) & ~F.coalesce(f.is_noise(F.col("member")), F.lit(False)))
-    return rows.withColumn("name", f.full_name(F.col("tag"), F.col("member")))
+def counted(trace: DataFrame, ops: tuple[str, ...] = ("g", "s", "c", "n")) -> DataFrame:
+    """Records of the given kinds whose member isn't noise; receivers may be anything. Records without their fields are left out."""
+    return trace.filter(F.col("op").isin(*ops)).filter("tag is not null").filter(~f.is_noise(F.col("member")))
+
+
+def named(trace: DataFrame, ops: tuple[str, ...] = ("g", "c", "s"), idl: DataFrame | None = None) -> DataFrame:
+    """counted() records with name, normalised where idl (class, member, base, role) knows the member."""
+    return _normal(counted(trace, ops).withColumn("name", f.full_name(F.col("tag"), F.col("member"))), idl)
 
 
 def morphism(trace: DataFrame, site: list[str] = SITE) -> DataFrame:
     """site, n_members: distinct bare member names of each call site."""
-    return named(trace).groupBy(*site).agg(F.count_distinct("member").alias("n_members"))
+    return counted(trace, ("g", "c", "s")).groupBy(*site).agg(F.count_distinct("member").alias("n_members"))
 
 
-def features(trace: DataFrame, poly: bool = False, site: list[str] = SITE) -> DataFrame:
+def features(trace: DataFrame, poly: bool = False, site: list[str] = SITE, idl: DataFrame | None = None) -> DataFrame:
     """origin, site, name, op, n_uses, of call sites with one member name (poly: with several).
 
+    Whether a site has several goes by bare member names; names are those that idl normalises, where it does.
+
     Uses are counted first, before any shuffle too; only those counts are then dealt by site, where the
     first and the last member name say whether there are several.
     """
-    counts = named(trace).groupBy("origin", *site, "name", "op", "member").agg(F.count("*").alias("n_uses"))
+    counts = named(trace, idl=idl).groupBy("origin", *site, "name", "op", "member").agg(F.count("*").alias("n_uses"))
     here = Window.partitionBy(*site)
     one = F.col("_first").eqNullSafe(F.col("_last"))
     chosen = counts.withColumns({"_first": F.min("member").over(here), "_last": F.max("member").over(here)}).filter(~one if poly else one)
@@ -40,13 +46,12 @@ def features(trace: DataFrame, poly: bool = False, site: list[str] = SITE) -> Da
 
 def features_by_origin(trace: DataFrame, idl: DataFrame | None = None) -> DataFrame:
     """log_id, origin, features (sorted array): names used, normalised where the interfaces know them."""
-    rows = _normal(named(trace), idl)
-    return rows.groupBy("log_id", "origin").agg(F.array_sort(F.collect_set("name")).alias("features"))
+    return named(trace, idl=idl).groupBy("log_id", "origin").agg(F.array_sort(F.collect_set("name")).alias("features"))
 
 
 def features_by_log(trace: DataFrame, idl: DataFrame | None = None) -> DataFrame:
     """log_id, features: the union over origins."""
-    return _normal(named(trace), idl).groupBy("log_id").agg(F.array_sort(F.collect_set("name")).alias("features"))
+    return named(trace, idl=idl).groupBy("log_id").agg(F.array_sort(F.collect_set("name")).alias("features"))
 
 
 def _normal(rows: DataFrame, idl: DataFrame | None) -> DataFrame:
@@ -88,7 +93,7 @@ def ordered(item: Column, order: str = "line_no") -> Column:
 
 def call_rows(trace: DataFrame, site: list[str] = SITE) -> DataFrame:
     """origin, site, api, line_no, args: a row per call. Receivers keep their object ids."""
-    rows = trace.filter("op = 'c'").filter(~F.coalesce(f.is_noise(F.col("member")), F.lit(False)))
+    rows = counted(trace, ("c",))
     return rows.select("origin", *site, f.full_name(F.col("receiver"), F.col("member")).alias("api"), "line_no", "args")
 
 

@@ -140,20 +140,36 @@ def payload(context: DataFrame) -> DataFrame:
     """Payload records with their parts: offset, receiver, tag (receiver without object id), member, args."""
     op, parts = F.col("op"), F.col("fields")
     rows = context.filter(op.isin(*PAYLOAD)).withColumns({"offset": F.get(parts, F.lit(0)).try_cast("int"), "receiver": f.receiver_of(op, parts), "member": f.member_of(op, parts), "args": f.arguments_of(op, parts)})
-    return rows.withColumn("tag", f.native_name(f.receiver_tag(F.col("receiver")))).drop("line")
+    return rows.withColumn("tag", f.receiver_tag(F.col("receiver"))).drop("line")
+
+
+def java_ops(trace: DataFrame) -> DataFrame:
+    """Records of the Java bridge (j) with sub_op (g, s, c, n), receiver, tag, member, result and args of the operation inside.
+
+    result: what a get read, a set wrote or a call gave. Records with another sub-operation or none keep only that.
+    """
+    sub = F.get("fields", F.lit(1))
+    inner = F.concat(F.slice("fields", 1, 1), F.slice("fields", 3, 1 << 30))  # offset and fields as other records have them
+    rows = trace.filter("op = 'j'").drop("receiver", "tag", "member", "args").withColumns({"sub_op": sub, "_f": inner})
+    op, parts = F.col("sub_op"), F.col("_f")
+    first = F.when(op == "c", 5).otherwise(3)
+    args = F.when(op.isin("c", "n") & (F.size(parts) >= first), F.slice(parts, first, F.size(parts))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumns({"receiver": f.receiver_of(op, parts), "member": f.member_of(op, parts), "result": F.when(op.isin("g", "s", "c"), F.get(parts, F.lit(3))), "args": args})
+    return rows.withColumn("tag", f.receiver_tag(F.col("receiver"))).drop("_f", "fields")
 
 
 def trace_tables(lines: DataFrame, block: int | None = BLOCK, mode: str = "quarantine") -> Trace:
     """All tables of a set of logs. mode: quarantine puts what contradicts itself in broken; failfast stops.
 
-    Lines are parsed and put in context once, written to the shared folder, and all tables read that.
+    Lines are parsed and put in context once and written to the shared folder, and so are the parts of records:
+    passes read the columns and kinds of records that they need from there.
     """
     from spoor.sources.logs import stats
 
     context = written(with_context(records(lines), block), "context")
     scripts = written(script_table(context), "scripts")
     keys = ["log_id", "isolate", "script_id"]
-    parts = payload(context)
+    parts = written(payload(context), "trace")  # else every pass's filters would be pushed below the codec, with all its steps in each
     seen = scripts.select(*keys).distinct().withColumn("_known", F.lit(True))
     twice = scripts.groupBy(*keys).agg(F.count("*").alias("n"), F.max("line_no").alias("line_no")).filter("n > 1").select("log_id", "line_no", F.lit("script defined again").alias("why"))
     lost = scripts.filter("eval_parent_id is not null").join(seen.withColumnRenamed("script_id", "eval_parent_id"), ["log_id", "isolate", "eval_parent_id"], "left_anti").select("log_id", "line_no", F.lit("unknown parent script").alias("why"))
@@ -177,12 +193,12 @@ def in_page(trace: DataFrame, scripts: DataFrame, keys: tuple[str, ...] = ("log_
 
 
 def annotate(context: DataFrame) -> DataFrame:
-    """log_id, line_no, json: each line with what it defines, its offset and the active script."""
+    """log_id, line_no, json: each line with what it defines, the script that is active after it, and a payload's offset if a script is active and it isn't negative."""
     at = lambda i: F.get("fields", F.lit(i))
     defines = F.col("op") == "$"
     doc = F.struct(
         F.col("line").alias("t"), F.when(defines, at(0).try_cast("int")).alias("d"), F.when(defines, hashes.sha2(at(2))).alias("s"),
-        F.when(F.col("op").isin(*PAYLOAD), at(0).try_cast("int")).alias("o"), F.when(F.col("op").isin(*PAYLOAD), F.col("script_id")).alias("x"),
+        F.when(F.col("op").isin(*PAYLOAD) & F.col("script_id").isNotNull() & (at(0).try_cast("int") >= 0), at(0).try_cast("int")).alias("o"), F.when(F.length("line") > 0, F.col("script_id")).alias("x"),
     )
     return context.select("log_id", "line_no", F.to_json(doc).alias("json"))
 

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.plans import context
-from spoor.session import table
+from spoor.session import table, written
 
-CTORS = ["Window", "HTMLDocument", "HTMLScriptElement", "Location", "HTMLIFrameElement", "Array"]
+CTORS = ["Window", "HTMLDocument", "HTMLScriptElement", "Location", "HTMLIFrameElement", "Array", "?", "<anonymous>"]
 MEMBERS = ["createElement", "src", "href", "write", "innerHTML", "eval", "12", "cookie", "location", "length"]
 TAGS = ["DIV", "Span", "script", "iframe", "a"]
 
@@ -21,14 +21,14 @@ def _pick(values: list[str], index: str) -> str:
     return "case " + index + " " + " ".join(f"when {i} then '{v}'" for i, v in enumerate(values)) + " end"
 
 
-#: log_id, line_no, op, k, f0 (isolate, script or origin), obj, ctor, member, arg.
+#: log_id, line_no, op, k, f0 (isolate, script or origin), obj, ctor, member, arg, sub (what a record of the Java bridge does).
 RECORDS = f"""
 select concat('log', cast(user_id as string)) as log_id, event_id as line_no, k,
        case when event_type = 'signup' then '~' when event_type = 'error' and k % 3 = 0 then '@' when event_type = 'error' then '!'
-            when event_type = 'view' then 'g' when event_type = 'click' then 'c' when k % 10 = 0 then 'n' else 's' end as op,
+            when event_type = 'view' then 'g' when event_type = 'click' then 'c' when k % 10 = 0 then 'n' when k % 10 = 5 then 'j' else 's' end as op,
        case when event_type = 'signup' then concat('iso', cast(k % 3 as string)) when event_type = 'error' and k % 3 = 0 then concat('https://o', cast(k % 5 as string), '.example')
             when event_type = 'error' and k = 99 then '?' when event_type = 'error' then cast(k % 40 as string) end as f0,
-       cast(event_id % 50 as string) as obj, {_pick(CTORS, "(v % 6)")} as ctor, {_pick(MEMBERS, "(k % 10)")} as member, {_pick(TAGS, "(v % 5)")} as arg
+       cast(event_id % 50 as string) as obj, {_pick(CTORS, "(v % 8)")} as ctor, {_pick(MEMBERS, "(k % 10)")} as member, {_pick(TAGS, "(v % 5)")} as arg, {_pick(["g", "s", "c", "n"], "(event_id % 4)")} as sub
 from (select *, cast(regexp_extract(props, '([0-9]+)', 1) as int) as k, cast(floor(value) as int) as v from events) e
 """
 
@@ -39,6 +39,7 @@ select log_id, line_no, case
     when op = '@' then concat('@"', replace(f0, ':', '\\:'), '":"t"')
     when op = 'g' then concat('g', cast(k as string), ':{{', obj, ',', ctor, '}}:"', member, '"')
     when op = 's' then concat('s', cast(k as string), ':{{', obj, ',', ctor, '}}:"', member, '":"', arg, '"')
+    when op = 'j' then concat('j', cast(k as string), ':', sub, case sub when 'c' then concat(':%<anonymous>:{{', obj, ',', ctor, '}}:#U') when 'n' then concat(':%', ctor) else concat(':{{', obj, ',', ctor, '}}:"', member, '"') end, ':"', arg, '"')
     when op = 'c' then concat('c', cast(k as string), ':%', member, ':{{', obj, ',', ctor, '}}:"', arg, '"')
     else concat('n', cast(k as string), ':%', ctor, ':"', arg, '"') end as line
 from ({RECORDS}) r
@@ -98,8 +99,8 @@ def flagged_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counted records, with the lens's scripts known by their number alone."""
-    rows = context.payload(context_rows(spark, sf_dir))
+    """Counted records, with the lens's scripts known by their number alone. Their parts are written first, as trace_tables() does."""
+    rows = written(context.payload(context_rows(spark, sf_dir)), "trace")
     return context.in_page(rows, flagged_scripts(spark, sf_dir), ("script_id",))
 
 

@@ -23,6 +23,29 @@ IDL = [
 ]
 IDL_SCHEMA = "interface string, parent string, alias_for string, aliases array<string>, methods array<string>, properties array<string>"
 
+def _resolved_sql() -> str:
+    """What IDL resolves to, worked out from the list by hand of a loop, as VALUES."""
+    at = {i: (p, m, pr) for i, p, _, _, m, pr in IDL}
+    rows = []
+    for name in at:
+        up, found = name, {}
+        while up:
+            for m in at[up][2]:
+                found.setdefault(m, (up, "p"))
+            for m in at[up][1]:
+                found.setdefault(m, (up, "m"))
+            up = at[up][0]
+        rows += [(name, m, *b) for m, b in found.items()] + [(name, "", name, "c")]
+    return "idl(class, mem, base, role) as (values " + ", ".join(str(r) for r in rows) + ")"
+
+
+RESOLVED = _resolved_sql()
+
+
+def _idl(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(IDL, IDL_SCHEMA).withColumn("members", F.lit(None).cast("array<string>"))
+
+
 RECORDS = f"rec as ({lens.RECORDS})"
 CTX = f"""{RECORDS},
 c1 as (select *, last_value(case when op = '~' then f0 end ignore nulls) over w as isolate,
@@ -39,6 +62,8 @@ SEEN = f"""{CTX}, {FLAGGED},
 seen as (select c.*, case when op in ('g', 's', 'c') then member else '' end as mem, k as offset_, case when op = 'n' then ctor else concat(ctor, '.', member) end as name
          from ctx c join fl on c.script_id = fl.script_id where not is_injected and op in ('g', 's', 'c', 'n') and origin <> ''),
 named as (select * from seen where op <> 'n' and member <> '12')"""
+#: named by what the interfaces normalise: SQL that stands behind SEEN and RESOLVED.
+NORMAL = "normal as (select n.* replace (coalesce(base || '.' || member, name) as name) from named n left join idl on class = ctor and idl.mem = member)"
 
 
 def query(name: str, sql: str | None = None, recursive: bool = False):
@@ -59,21 +84,22 @@ def joined(c: Column, by: str = "|") -> Column:
 
 
 @query("features_mono", f"""with {SEEN},
-counts as (select log_id, isolate, script_id, offset_ as "offset", origin, name, op, member, count(*) as n from named group by all),
+{RESOLVED}, {NORMAL},
+counts as (select log_id, isolate, script_id, offset_ as "offset", origin, name, op, member, count(*) as n from normal group by all),
 m as (select *, min(member) over p as low, max(member) over p as high from counts window p as (partition by log_id, isolate, script_id, "offset"))
 select origin, log_id, isolate, script_id, "offset", name, op, cast(sum(n) as bigint) as n_uses from m where low = high group by all""", recursive=True)
 def features_mono(spark: SparkSession, d: str) -> DataFrame:
-    return usage.features(lens.seen(spark, d))
+    return usage.features(lens.seen(spark, d), idl=idl.resolved(_idl(spark)))
 
 
 @query("features_poly", f"""with {SEEN},
-p as (select script_id, offset_ as "offset", log_id, count(distinct member) as n from named group by all having count(distinct member) >= 1),
-counts as (select script_id, origin, name, op, ctor, member, count(*) as n from named group by all),
+{RESOLVED}, {NORMAL},
+counts as (select script_id, origin, name, op, ctor, member, count(*) as n from normal group by all),
 m as (select script_id, ctor from counts group by all having count(distinct member) >= 2)
 select origin, script_id, ctor, name, op, cast(sum(n) as bigint) as n_uses from counts join m using (script_id, ctor) group by all""", recursive=True)
 def features_poly(spark: SparkSession, d: str) -> DataFrame:
     """Sites are (script, receiver) here, as an offset of the lens has one member only."""
-    return usage.features(lens.seen(spark, d).withColumnRenamed("tag", "ctor").withColumn("tag", F.col("ctor")), poly=True, site=["script_id", "ctor"])
+    return usage.features(lens.seen(spark, d).withColumnRenamed("tag", "ctor").withColumn("tag", F.col("ctor")), poly=True, site=["script_id", "ctor"], idl=idl.resolved(_idl(spark)))
 
 
 @query("morphism", f"""with {SEEN} select script_id, ctor as tag, count(distinct member) as n_members from named group by all""", recursive=True)
@@ -102,9 +128,9 @@ def ctx_fill_blocked(spark: SparkSession, d: str) -> DataFrame:
     return lens.context_rows(spark, d, block=1000).select("log_id", "line_no", "isolate", "script_id", "origin", "epoch")
 
 
-@query("codec_fields", f"""with {RECORDS} select log_id, line_no, op, case when op in ('~', '!') then 1 when op = '@' then 2 when op = 's' then 4 when op = 'c' then 4 else 3 end as n_fields,
+@query("codec_fields", f"""with {RECORDS} select log_id, line_no, op, case when op in ('~', '!') then 1 when op = '@' then 2 when op = 's' then 4 when op = 'c' then 4 when op = 'j' then case sub when 'c' then 6 when 'n' then 4 else 5 end else 3 end as n_fields,
 case when op in ('~', '!') then f0 when op = '@' then concat('"', f0, '"') else cast(k as varchar) end as first_field,
-case when op = '@' then '"t"' when op in ('~', '!') then null when op in ('s', 'c', 'n') then concat('"', arg, '"') else concat('"', member, '"') end as last_field from rec""")
+case when op = '@' then '"t"' when op in ('~', '!') then null when op in ('s', 'c', 'n', 'j') then concat('"', arg, '"') else concat('"', member, '"') end as last_field from rec""")
 def codec_fields(spark: SparkSession, d: str) -> DataFrame:
     f = F.col("fields")
     return context.records(lens.lines(spark, d)).select("log_id", "line_no", "op", F.size(f).alias("n_fields"), F.get(f, F.lit(0)).alias("first_field"), F.when(F.size(f) > 1, F.element_at(f, -1)).alias("last_field"))
@@ -138,11 +164,19 @@ def strip_quotes(spark: SparkSession, d: str) -> DataFrame:
 from rec where op in ('g', 's', 'c', 'n')""")
 def receiver_split(spark: SparkSession, d: str) -> DataFrame:
     rows = context.payload(context.records(lens.lines(spark, d)))
-    return rows.select("log_id", "line_no", "op", "tag", "member", fields.full_name(F.col("tag"), F.col("member")).alias("name"))
+    return rows.filter("op <> 'j'").select("log_id", "line_no", "op", "tag", "member", fields.full_name(F.col("tag"), F.col("member")).alias("name"))
+
+
+@query("java_ops", f"""with {RECORDS} select log_id, line_no, k as "offset", sub as sub_op, case when sub = 'n' then ctor else concat('{{', obj, ',', ctor, '}}') end as receiver, ctor as tag,
+case sub when 'n' then '' when 'c' then '<anonymous>' else member end as member, case sub when 'n' then null when 'c' then '#U' else concat('"', arg, '"') end as result, case when sub in ('c', 'n') then concat('"', arg, '"') end as arg from rec where op = 'j'""")
+def java_ops(spark: SparkSession, d: str) -> DataFrame:
+    """Operations on the Java bridge, with what is inside them."""
+    got = context.java_ops(context.payload(context.records(lens.lines(spark, d))))
+    return got.select("log_id", "line_no", "offset", "sub_op", "receiver", "tag", "member", "result", F.get("args", F.lit(0)).alias("arg"))
 
 
 @query("annotate", f"""with {CTX}, l as ({lens.LINES})
-select log_id, line_no, line as t, case when op in ('g', 's', 'c', 'n') then k end as o, case when op in ('g', 's', 'c', 'n') then script_id end as x from ctx join l using (log_id, line_no)""")
+select log_id, line_no, line as t, case when op not in ('~', '!', '@') and script_id is not null then k end as o, script_id as x from ctx join l using (log_id, line_no)""")
 def annotate(spark: SparkSession, d: str) -> DataFrame:
     j = F.from_json("json", "t string, o int, x int")
     return context.annotate(lens.context_rows(spark, d)).select("log_id", "line_no", j.alias("j")).select("log_id", "line_no", "j.t", "j.o", "j.x")
@@ -202,29 +236,6 @@ def ufeatures_by_origin(spark: SparkSession, d: str) -> DataFrame:
     return usage.features_by_origin(lens.seen(spark, d)).withColumn("features", joined(F.col("features")))
 
 
-def _resolved_sql() -> str:
-    """What IDL resolves to, worked out from the list by hand of a loop, as VALUES."""
-    at = {i: (p, m, pr) for i, p, _, _, m, pr in IDL}
-    rows = []
-    for name in at:
-        up, found = name, {}
-        while up:
-            for m in at[up][2]:
-                found.setdefault(m, (up, "p"))
-            for m in at[up][1]:
-                found.setdefault(m, (up, "m"))
-            up = at[up][0]
-        rows += [(name, m, *b) for m, b in found.items()] + [(name, "", name, "c")]
-    return "idl(class, mem, base, role) as (values " + ", ".join(str(r) for r in rows) + ")"
-
-
-RESOLVED = _resolved_sql()
-
-
-def _idl(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(IDL, IDL_SCHEMA).withColumn("members", F.lit(None).cast("array<string>"))
-
-
 @query("ufeatures_all", f"""with {SEEN}, {RESOLVED}, x as (select log_id, coalesce(base || '.' || member, name) as name from named left join idl on class = ctor and idl.mem = member)
 select log_id, string_agg(distinct name, '|' order by name) as features from x group by all""", recursive=True)
 def ufeatures_all(spark: SparkSession, d: str) -> DataFrame:
@@ -233,17 +244,17 @@ def ufeatures_all(spark: SparkSession, d: str) -> DataFrame:
 
 @query("idl_lookup", f"with {SEEN}, {RESOLVED} select log_id, line_no, ctor as tag, s.mem as member, base, role from seen s left join idl on class = ctor and idl.mem = s.mem", recursive=True)
 def idl_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return idl.looked_up(lens.seen(spark, d), idl.resolved(_idl(spark))).select("log_id", "line_no", "tag", "member", "base", "role")
+    return idl.looked_up(lens.seen(spark, d).filter("op <> 'j'"), idl.resolved(_idl(spark))).select("log_id", "line_no", "tag", "member", "base", "role")
 
 
 @query("idl_missing", f"""with {SEEN}, {RESOLVED}
-select log_id, line_no, ctor as tag, s.mem as member from seen s anti join idl on class = ctor and idl.mem = s.mem where not (op in ('c', 'g') and member = 'eval')""", recursive=True)
+select log_id, line_no, ctor as tag, s.mem as member from seen s anti join idl on class = ctor and idl.mem = s.mem where s.mem <> '12' and not (op in ('c', 'g') and member = 'eval')""", recursive=True)
 def idl_missing(spark: SparkSession, d: str) -> DataFrame:
     spec = _idl(spark)
     return idl.unknown_apis(lens.seen(spark, d), spec, idl.resolved(spec)).select("log_id", "line_no", "tag", "member")
 
 
-@query("idlapis", f"""with {SEEN}, {RESOLVED}, m as (select s.* from seen s anti join idl on class = ctor and idl.mem = s.mem where not (op in ('c', 'g') and member = 'eval'))
+@query("idlapis", f"""with {SEEN}, {RESOLVED}, m as (select s.* from seen s anti join idl on class = ctor and idl.mem = s.mem where s.mem <> '12' and not (op in ('c', 'g') and member = 'eval'))
 select name, m.line_no, concat(op, ' ', cast(k as varchar), ' ', coalesce(nullif(s.url, ''), p.url, ''), ' ', coalesce(nullif(s.first_origin, ''), p.first_origin, '')) as use
 from m join scr s using (script_id) left join scr p on p.script_id = s.eval_parent_id""", recursive=True)
 def idlapis(spark: SparkSession, d: str) -> DataFrame:
