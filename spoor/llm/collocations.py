@@ -5,11 +5,11 @@ suffixes by numpy prefix doubling, as deep as phrases are long. Runs of neighbou
 common prefix has at least m words (its LCP intervals) are the phrases of m words, with their counts. Counts
 are merged globally by language and phrase.
 
-Counts are exact and complete for every phrase that can matter. The first scan counts words and pairs. A
-longer phrase that is frequent consists of frequent pairs, so the second scan breaks pieces between words
-that aren't one, and counts phrases of three words and more in what is left. Which pairs are frequent goes to
-the tasks as a Bloom filter of at most FILTER_WORDS words; a fuller filter lets more pass, which costs time and
-changes nothing. No list of phrases is ever collected.
+Counts are exact and complete for every phrase that can matter. The first scan counts words and pairs. All
+parts of a frequent phrase are frequent, so the second scan counts phrases of three words only where both
+pairs are, and the third longer ones only where all phrases of three words are. Which are goes to the tasks as
+a Bloom filter of at most FILTER_WORDS words; a fuller filter lets more pass, which costs time and changes
+nothing. No list of phrases is ever collected.
 
 A candidate is scored by its worst cut in two, in exact decimal arithmetic. Null texts are empty; texts without
 words add nothing; a null language is und, together with rows that say und. Very long texts are a shard of
@@ -35,7 +35,7 @@ from spoor.llm.common import prepare, small, text_of, written
 ENDS, GAPS = r"[.,;:!?\n\x0b\x0c\r]", "\t"
 UNKNOWN = "und"
 #: Bytes of text in a shard. A longer text is alone in one.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: 64-bit words of the filter at most.
 FILTER_WORDS = 1 << 21
 #: Parts that a language's candidates are dealt into before its first ones are chosen.
@@ -61,15 +61,33 @@ def word_ids(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.where(ids == mark, -1, ids), vocabulary
 
 
-def words_left(ids: np.ndarray, joined: np.ndarray | None = None) -> np.ndarray:
-    """Words from each place to the end of its piece, 0 at an end. joined: whether a place goes on to the next one."""
-    n = len(ids)
-    ends = ids < 0
-    stop = np.where(ends, np.arange(n) - 1, n)  # the last place of the piece, known at ends
-    if joined is not None:
-        stop = np.where(~ends & ~joined, np.arange(n), stop)
-    last = np.minimum.accumulate(stop[::-1])[::-1] if n else stop
-    return np.where(ends, 0, last - np.arange(n) + 1)
+def run_lengths(flags: np.ndarray) -> np.ndarray:
+    """How many places in a row are true from each place on."""
+    n = len(flags)
+    stop = np.where(flags, n, np.arange(n))
+    return (np.minimum.accumulate(stop[::-1])[::-1] if n else stop) - np.arange(n)
+
+
+def words_left(ids: np.ndarray) -> np.ndarray:
+    """Words from each place to the end of its piece, 0 at an end."""
+    return run_lengths(ids >= 0)
+
+
+def only_runs(ids: np.ndarray, may: np.ndarray, size: int, least: int) -> np.ndarray:
+    """ids of the stretches of least words and more all of whose phrases of size words may be frequent, with -1 behind each.
+
+    may: whether the phrase of size words at a place may be. Stretches may share words, but no phrase of least.
+    """
+    runs = run_lengths(may)
+    begins = np.flatnonzero((runs >= least - size + 1) & ~np.concatenate([[False], may[:-1]]))
+    lengths = runs[begins] + size - 1
+    ends = np.cumsum(lengths + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, -1, np.int64)
+    inside = np.ones(len(out), bool)
+    inside[ends - 1] = False
+    source = np.arange(len(out)) + np.repeat(begins - (ends - lengths - 1), lengths + 1)
+    out[inside] = ids[source[inside]]
+    return out
 
 
 def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
@@ -118,14 +136,14 @@ def spelled(vocabulary: pa.Array, ids: np.ndarray, places: np.ndarray, m: int) -
     return pc.binary_join_element_wise(*parts, pa.scalar(" ", vocabulary.type)) if m > 1 else parts[0]
 
 
-def _turned(h: np.ndarray) -> np.ndarray:
-    return (h << np.uint64(1)) | (h >> np.uint64(63))
-
-
-def pair_hash(lang: str, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Of each word, what it adds to the hash of a pair as the first and as the second word."""
+def phrase_hashes(lang: str, vocabulary: pa.Array, ids: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the phrases of size words at places: those of its words, each turned by its number, and its language's."""
     h = np.fromiter((xxhash.xxh64_intdigest(w.encode(), 42) for w in vocabulary.to_pylist()), np.uint64, len(vocabulary))
-    return h ^ np.uint64(xxhash.xxh64_intdigest(lang.encode(), 42)), _turned(h)
+    out = np.full(len(places), xxhash.xxh64_intdigest(lang.encode(), 42), np.uint64)
+    for t in range(size):
+        own = h[ids[places + t]]
+        out ^= (own << np.uint64(t)) | (own >> np.uint64(64 - t)) if t else own
+    return out
 
 
 def may_hold(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -136,16 +154,18 @@ def may_hold(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 # ---- the same hashes and filter in Spark
 
 
-def _pair_hash(lang: Column, first: Column, second: Column) -> Column:
-    h = F.xxhash64(second)
-    return F.xxhash64(lang).bitwiseXOR(F.xxhash64(first)).bitwiseXOR(F.shiftleft(h, 1).bitwiseOR(F.shiftrightunsigned(h, 63)))
+def _phrase_hash(lang: Column, words: Column, size: int) -> Column:
+    out = F.xxhash64(lang)
+    for t in range(size):
+        own = F.xxhash64(words[t])
+        out = out.bitwiseXOR(F.shiftleft(own, t).bitwiseOR(F.shiftrightunsigned(own, 64 - t)) if t else own)
+    return out
 
 
-def frequent_filter(pairs: DataFrame) -> np.ndarray:
-    """The Bloom filter of pairs (lang, phrase): a power of two of 64-bit words, of two bits a pair each, FILTER_WORDS at most."""
-    words = 1 << min(FILTER_WORDS.bit_length() - 1, max(6, (pairs.count() // 2).bit_length()))
-    split = F.split("phrase", " ")
-    h = pairs.select(_pair_hash(F.col("lang"), split[0], split[1]).alias("h"))
+def frequent_filter(phrases: DataFrame, size: int) -> np.ndarray:
+    """The Bloom filter of phrases (lang, phrase) of size words: a power of two of 64-bit words, two bits a phrase, FILTER_WORDS at most."""
+    words = 1 << min(FILTER_WORDS.bit_length() - 1, max(6, (phrases.count() // 2).bit_length()))
+    h = phrases.select(_phrase_hash(F.col("lang"), F.split("phrase", " "), size).alias("h"))
     bit = lambda s: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", s).bitwiseAND(F.lit(63).cast("long")).cast("int"))
     got = h.groupBy(F.col("h").bitwiseAND(F.lit(words - 1).cast("long")).alias("word")).agg(F.bit_or(bit(40).bitwiseOR(bit(46))).alias("bits")).toArrow()
     out = np.zeros(words, np.uint64)
@@ -202,31 +222,16 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _pieces(_rows(lang, m, spelled(vocabulary, ids, places, m), counts))
 
 
-def _long(batches: Iterator[pa.RecordBatch], bits, longest: int) -> Iterator[pa.RecordBatch]:
-    """Phrases of three words and more of each shard, with counts, where all pairs may be frequent."""
+def _longer(batches: Iterator[pa.RecordBatch], bits, size: int, longest: int) -> Iterator[pa.RecordBatch]:
+    """Phrases of more than size words of each shard, with counts, where all their parts of size words may be frequent."""
     for lang, texts in _shards(batches):
         ids, vocabulary = word_ids(texts)
-        if len(ids) < 3:
-            continue
-        first, second = pair_hash(lang, vocabulary)
-        joined = np.zeros(len(ids), bool)
-        at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-        joined[at] = may_hold(bits.value, first[ids[at]] ^ second[ids[at + 1]])
-        left = words_left(ids, joined)
-        # Runs of three words and more, each with an end behind it, and nothing else.
-        n = len(ids)
-        begins = np.flatnonzero((left >= 3) & ~np.concatenate([[False], joined[:-1]]))
-        lengths = left[begins]
-        ends = np.cumsum(lengths + 1)
-        short = np.full(int(ends[-1]) if len(ends) else 0, -1, np.int64)
-        target = np.arange(len(short))
-        source = target + np.repeat(begins - (ends - lengths - 1), lengths + 1)
-        inside = np.ones(len(short), bool)
-        inside[ends - 1] = False
-        short[inside] = ids[source[inside]]
-        assert n >= int(lengths.sum())
-        for m, places, counts in phrase_counts(short, words_left(short), 3, longest):
-            yield from _pieces(_rows(lang, m, spelled(vocabulary, short, places, m), counts))
+        places = np.flatnonzero(words_left(ids) >= size)
+        may = np.zeros(len(ids), bool)
+        may[places] = may_hold(bits.value, phrase_hashes(lang, vocabulary, ids, places, size))
+        ids = only_runs(ids, may, size, size + 1)
+        for m, at, counts in phrase_counts(ids, words_left(ids), size + 1, longest):
+            yield from _pieces(_rows(lang, m, spelled(vocabulary, ids, at, m), counts))
 
 
 def counted(docs: DataFrame, min_count: int = 100, longest: int = 5, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -240,9 +245,10 @@ def counted(docs: DataFrame, min_count: int = 100, longest: int = 5, lang_col: s
     short = written(merged(rows.mapInArrow(_short, OUT)), "phrases")
     totals = short.filter("size = 0").select("lang", F.col("f").alias("n"))
     frequent = short.filter("size > 0")
-    if longest > 2:
-        bits = docs.sparkSession.sparkContext.broadcast(frequent_filter(frequent.filter("size = 2")))
-        frequent = frequent.unionByName(written(merged(rows.mapInArrow(partial(_long, bits=bits, longest=longest), OUT)), "phrases"))
+    for size, most in ((2, min(3, longest)), (3, longest)):
+        if most > size:
+            bits = docs.sparkSession.sparkContext.broadcast(frequent_filter(frequent.filter(F.col("size") == size), size))
+            frequent = frequent.unionByName(written(merged(rows.mapInArrow(partial(_longer, bits=bits, size=size, longest=most), OUT)), "phrases"))
     return totals, frequent
 
 
