@@ -12,6 +12,7 @@ from spoor.functions import blocklist, urls
 from spoor.operators import causality, idl, parties, star, usage
 from spoor.plans import context
 from spoor.plans.context import Trace, in_page
+from spoor.plans.records import RecordPass, run_records
 
 
 @dataclass(frozen=True)
@@ -89,6 +90,11 @@ named_pass("noop")(lambda t, i: t.logs)
 named_pass("multi_origin")(lambda t, i: usage.multi_origin_objects(_seen(t)))
 
 
+def record_pass(name: str, work: RecordPass, **how) -> None:
+    """Add a pass of user code that sees records one after another; how: see run_records()."""
+    named_pass(name)(lambda t, i: run_records(_seen(t), work, **how))
+
+
 @named_pass("adblock")
 def adblock(t: Trace, i: Inputs) -> DataFrame:
     """url, origin_host, blocked: once for each pair, or for those that are blocked."""

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spoor.functions import blocklist, fields, hashes, html, urls
+from spoor.functions import blocklist, fields, hashes, html, tables, urls
 from spoor.operators import causality, idl, parties, star, usage
-from spoor.plans import context, lens
+from spoor.plans import context, lens, records
 from spoor.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -301,6 +302,54 @@ def flow_rows(spark: SparkSession, d: str) -> DataFrame:
     return usage.flow_rows(lens.seen(spark, d))
 
 
+class ActionNumbers(records.RecordPass):
+    """User code: each script's actions, numbered, without those that repeat the one before."""
+
+    output = "line_no long, isolate string, script_id int, action string, nth long"
+    columns = ("line_no", "op", "isolate", "script_id", "offset", "tag", "member")
+
+    def start(self) -> dict:
+        return {}  # (isolate, script) -> first action, last action, how many were counted
+
+    def step(self, state: dict, r) -> tuple[dict, list[tuple]]:
+        if r.op == "j" or r.tag is None or r.member in ("?", "<anonymous>") or re.fullmatch("[+-]?[0-9]+", r.member):
+            return state, []
+        action = f"{r.offset},{r.tag}" + (f".{r.member}" if r.member else "")
+        first, last, n = state.get((r.isolate, r.script_id), (action, None, 0))
+        if last == action:
+            return state, []
+        state[r.isolate, r.script_id] = first, action, n + 1
+        return state, [(r.line_no, r.isolate, r.script_id, action, n + 1)]
+
+
+class CombinedNumbers(ActionNumbers):
+    def combine(self, before: dict, after: dict) -> dict:
+        out = dict(before)
+        for key, (first, last, n) in after.items():
+            if key in before:
+                began, stood, m = before[key]
+                out[key] = began, last, m + n - (stood == first)
+            else:
+                out[key] = first, last, n
+        return out
+
+
+_NUMBERED = f"""with {SEEN}, {_FLOW}, b as (select *, lag(action) over (partition by log_id, isolate, script_id order by line_no) as before from acts)
+select log_id, line_no, isolate, script_id, action, row_number() over (partition by log_id, isolate, script_id order by line_no) as nth from b where action is distinct from before"""
+
+
+@query("record_fold", _NUMBERED, recursive=True)
+def record_fold(spark: SparkSession, d: str) -> DataFrame:
+    """User code over records in order, blocks of a log side by side."""
+    return records.run_records(lens.seen(spark, d), CombinedNumbers(), block=1000)
+
+
+@query("record_fold_rounds", _NUMBERED, recursive=True)
+def record_fold_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """The same by user code that can't put states together, block after block."""
+    return records.run_records(lens.seen(spark, d), ActionNumbers(), block=50_000)
+
+
 @query("multi_origin", f"""with {SEEN} select log_id, isolate, obj as obj_id, string_agg(distinct origin, '|' order by origin) as origins, string_agg(distinct name, '|' order by name) as names
 from seen where op <> 'n' group by all having count(distinct origin) > 1""", recursive=True)
 def multi_origin(spark: SparkSession, d: str) -> DataFrame:
@@ -638,3 +687,119 @@ def live_context(spark: SparkSession, d: str) -> DataFrame:
     q = live.live_context(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(live.CONTEXT).parquet(f"{at}/out").select("log_id", "line_no", "isolate", "script_id", "origin", "epoch")
+
+
+@query("live_context_any_order", _CTX_SQL)
+def live_context_any_order(spark: SparkSession, d: str) -> DataFrame:
+    """The same context from micro-batches that hold the lines of each log in no order."""
+    from spoor.session import shared_dir
+    from spoor.streaming import live
+
+    at = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    nth = F.row_number().over(Window.partitionBy("log_id").orderBy("line_no")) - 1
+    lines = lens.lines(spark, d).withColumn("nth", nth.cast("long"))
+    lines.repartition(6, F.xxhash64("line_no")).sortWithinPartitions(F.xxhash64("line")).write.parquet(f"{at}/in")
+    before = {k: spark.conf.get(k, None) for k in live.STORE}
+    try:
+        for k, v in live.STORE.items():
+            spark.conf.set(k, v)
+        stream = spark.readStream.schema("log_id string, line_no long, line string, nth long").option("maxFilesPerTrigger", "2").parquet(f"{at}/in")
+        q = live.live_context_any_order(stream, None).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(live.CONTEXT).parquet(f"{at}/out").select("log_id", "line_no", "isolate", "script_id", "origin", "epoch")
+
+
+# ---- event time
+
+#: Events in six micro-batches by time, of which every seventh comes two batches later. wm: the watermark that rows of a batch are
+#: late by, which is what the batch before saw when it began; windows are closed by the newer one.
+_ARRIVING = """arr as (select *, least(5, floor(event_id * 6 / (select max(event_id) + 1 from events)) + case when event_id % 7 = 0 then 2 else 0 end) as batch from events),
+tops as (select batch, max(ts) as top from arr group by batch),
+wm as (select b.batch, (select max(top) from tops t where t.batch < b.batch - 1) - interval 6 hour as wm from (select distinct batch from arr) b)"""
+
+
+def _arriving(spark: SparkSession, d: str) -> DataFrame:
+    from spoor.session import shared_dir
+    from spoor.streaming import live
+
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    total = events.agg(F.max("event_id") + 1).first()[0] or 1
+    batch = F.least(F.lit(5), F.floor(F.col("event_id") * 6 / total) + F.when(F.col("event_id") % 7 == 0, 2).otherwise(0))
+    return live.in_batches(events.withColumn("batch", batch.cast("int")), "batch", 6, f"{shared_dir(spark)}/events-{uuid.uuid4().hex}")
+
+
+def _finished(stream: DataFrame) -> DataFrame:
+    from spoor.session import shared_dir
+    from spoor.streaming import live
+
+    return live.finished(stream, f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}")
+
+
+@query("live_counts", f"""with {_ARRIVING}, k as (select *, time_bucket(interval 1 hour, ts) as start from arr join wm using (batch)),
+ok as (select * from k where wm is null or start + interval 1 hour > wm)
+select start, event_type, count(*) as n from ok where start + interval 1 hour <= (select max(top) from tops) - interval 6 hour group by all""")
+def live_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Events an hour from a stream, without those that come after the watermark has passed their hour; hours that are not over yet aren't there."""
+    from spoor.streaming import live
+
+    got = _finished(live.live_counts(_arriving(spark, d), "ts", ["event_type"], "6 hours", "1 hour").select(F.col("window.start").alias("start"), "event_type", F.col("count").alias("n")))
+    return got.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("live_sessions", f"""with {_ARRIVING}, ok as (select * from arr join wm using (batch) where wm is null or ts + interval 90 minute > wm),
+m as (select *, case when ts - lag(ts) over w < interval 90 minute then 0 else 1 end as fresh from ok window w as (partition by user_id order by ts, event_id)),
+s as (select *, sum(fresh) over (partition by user_id order by ts, event_id) as nth from m),
+g as (select user_id, min(ts) as start, max(ts) + interval 90 minute as "end", count(*) as n from s group by user_id, nth)
+select user_id, start, "end", n from g where "end" <= (select max(top) from tops) - interval 6 hour""")
+def live_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches of a user's events with gaps of under 90 minutes, late events dropped."""
+    from spoor.streaming import live
+
+    got = _finished(live.live_sessions(_arriving(spark, d), "ts", ["user_id"], "6 hours", "90 minutes"))
+    return got.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@query("live_distinct", f"""with {_ARRIVING}, twice as (select event_id, ts, batch from arr union all select event_id, ts, least(5, batch + 1) from arr where event_id % 5 = 0)
+select event_id, min(ts) as ts from twice join wm using (batch) where wm is null or ts > wm group by event_id""")
+def live_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """Events that are sent again one batch later, once; events behind the watermark don't count."""
+    from spoor.session import shared_dir
+    from spoor.streaming import live
+
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    total = events.agg(F.max("event_id") + 1).first()[0] or 1
+    batch = F.least(F.lit(5), F.floor(F.col("event_id") * 6 / total) + F.when(F.col("event_id") % 7 == 0, 2).otherwise(0)).cast("int")
+    once = events.select("event_id", "ts", batch.alias("batch"))
+    twice = once.unionByName(once.filter("event_id % 5 = 0").withColumn("batch", F.least(F.lit(5), F.col("batch") + 1)))
+    stream = live.in_batches(twice, "batch", 6, f"{shared_dir(spark)}/events-{uuid.uuid4().hex}")
+    return _finished(live.live_distinct(stream, "ts", ["event_id"], "6 hours")).select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+# ---- table functions
+
+
+@query("udtf_context", _CTX_SQL)
+def udtf_context(spark: SparkSession, d: str) -> DataFrame:
+    """The context by a table function from SQL: a log's lines dealt and sorted by Spark, the state in the function."""
+    tables.register(spark)
+    context.records(lens.lines(spark, d)).select("log_id", "line_no", "op", "fields").createOrReplaceTempView("lens_lines")
+    return spark.sql("select log_id, line_no, isolate, script_id, origin, epoch from context_of(table(lens_lines) partition by log_id order by line_no)")
+
+
+@query("udtf_scripts", _INLINE)
+def udtf_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """Inline scripts by a table function, joined to each page's row."""
+    tables.register(spark)
+    table(spark, d, "pages").createOrReplaceTempView("lens_pages")
+    return spark.sql("select page_id, sha2(s.text, 256) as sha2 from lens_pages, lateral scripts_in_html(html) s where s.kind = 'inline'")
+
+
+@query("udtf_pass", _NUMBERED, recursive=True)
+def udtf_pass(spark: SparkSession, d: str) -> DataFrame:
+    """A user's record pass, registered at run time and called from SQL."""
+    tables.register_pass(spark, "action_numbers", ActionNumbers())
+    lens.seen(spark, d).createOrReplaceTempView("lens_seen")
+    return spark.sql("select log_id, line_no, isolate, script_id, action, nth from action_numbers(table(select log_id, line_no, op, isolate, script_id, offset, tag, member from lens_seen) partition by log_id order by line_no)")
