@@ -7,9 +7,11 @@ minimum support go, as no rule can hold them, and of tokens that are in exactly
 shortest, as the others say the same. Rules are pruned by support, confidence, length and by simpler rules
 that are at least as good, and match by an inverted index from each rule's rarest token.
 
-What bounds the mining: FP-growth's sets grow with the power of two of the tokens a URL has left. While some
-URL has over MAX_ITEMS, the minimum support is doubled, whatever the size of the table. The number of rules is
-checked and raises beyond MAX_RULES.
+What bounds the mining: FP-growth has no bound for the length of its sets, which grow with the power of two of
+the tokens that URLs share. Where some URL has over MAX_ITEMS of them left, the same sets, of at most max_tokens,
+are counted level by level instead: each is one that is frequent and a token behind it. Either way gives
+exactly the sets of at least the minimum support with their counts. The number of rules is checked and raises
+beyond MAX_RULES.
 
 A null URL or one without :// has no host, path or tokens and gets the default verdict. Very long URLs are
 split whole. Rules that tie in confidence go by number of tokens, support, then tokens. Repeated rows are
@@ -20,6 +22,7 @@ mined rules.
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -33,7 +36,7 @@ from spoor.llm.common import kind, prepare, written
 
 BLOCK, ALLOW = "verdict=block", "verdict=allow"
 MAX_RULES = 50_000
-#: Tokens that one URL brings to FP-growth at most.
+#: Tokens of a URL up to which FP-growth is used.
 MAX_ITEMS = 14
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -89,41 +92,59 @@ def ruled(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Colu
     return out
 
 
-def telling(labelled: DataFrame, min_support: float) -> tuple[DataFrame, float, int]:
-    """(tokens, verdict of each row, with the tokens that mining needs; the minimum support; the number of rows)."""
+def telling(labelled: DataFrame, min_support: float) -> tuple[DataFrame, int]:
+    """(i, tokens (sorted), verdict of each row, with the tokens that mining needs; the number of rows)."""
     rows = labelled.select("tokens", "verdict", F.monotonically_increasing_id().alias("i"))
     rows = written(rows, "labelled")
     total = rows.count()
     # Tokens with the same number and sums of hashes of rows are in the same rows.
     seen = rows.select(F.explode("tokens").alias("token"), F.xxhash64("i").alias("h")).groupBy("token").agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y"))
     one = F.min(F.struct(F.length("token").alias("length"), "token"))
-    while True:
-        frequent = seen.filter(F.col("n") >= min_support * total).groupBy("n", "x", "y").agg(one.alias("one")).select(F.col("one.token").alias("token"))
-        # Each row has few tokens, and a token that many rows have is joined where the rows are: there are at most
-        # (tokens a row) / min_support frequent ones.
-        kept = rows.select("i", "verdict", F.explode_outer("tokens").alias("token")).join(F.broadcast(frequent), "token", "left_semi")
-        kept = written(kept.groupBy("i", "verdict").agg(F.collect_set("token").alias("tokens")), "telling")
-        if (kept.agg(F.max(F.size("tokens"))).first()[0] or 0) <= MAX_ITEMS:
-            return kept.select("tokens", "verdict"), min_support, total
-        min_support *= 2
+    frequent = seen.filter(F.col("n") >= min_support * total).groupBy("n", "x", "y").agg(one.alias("one")).select(F.col("one.token").alias("token"))
+    # Each row has few tokens, and a token that many rows have is joined where the rows are: there are at most
+    # (tokens a row) / min_support frequent ones.
+    kept = rows.select("i", "verdict", F.explode_outer("tokens").alias("token")).join(F.broadcast(frequent), "token", "left_semi")
+    return written(kept.groupBy("i", "verdict").agg(F.array_sort(F.collect_set("token")).alias("tokens")), "telling"), total
 
 
-def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8, max_tokens: int = 3) -> list[tuple[tuple[str, ...], str, float, float]]:
-    """(tokens, verdict, confidence, support) of rules mined from labelled: tokens (array), verdict."""
+def sets_by_growth(kept: DataFrame, least: int, n: int, max_tokens: int) -> DataFrame:
+    """whole, block, allow, all: the sets of at most max_tokens that at least `least` of n rows have, by FP-growth; null for a verdict that fewer have."""
     from pyspark.ml.fpm import FPGrowth
 
-    kept, min_support, total = telling(labelled, min_support)
-    if not total or kept.isEmpty():
-        return []
     items = kept.select(F.array_append("tokens", F.concat(F.lit("verdict="), F.col("verdict"))).alias("items"))
-    least = min(1.0, min_support * total / kept.count())  # rows without telling tokens are not among them
-    frequent = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(items).freqItemsets
+    frequent = FPGrowth(itemsCol="items", minSupport=max(0.0, least - 0.5) / n).fit(items).freqItemsets
     short = frequent.filter(F.size("items") <= max_tokens + 1).withColumn("whole", F.sort_array(F.filter("items", lambda x: ~x.isin(BLOCK, ALLOW))))
-    of = short.groupBy("whole").agg(
+    return short.groupBy("whole").agg(
         F.sum(F.when(F.array_contains("items", BLOCK), F.col("freq"))).alias("block"),
         F.sum(F.when(F.array_contains("items", ALLOW), F.col("freq"))).alias("allow"),
         F.sum(F.when(F.size("items") == F.size("whole"), F.col("freq"))).alias("all"),
     ).filter((F.size("whole") > 0) & (F.size("whole") <= max_tokens))
+
+
+def sets_by_level(kept: DataFrame, least: int, max_tokens: int) -> DataFrame:
+    """The same by counting sets of one token, then of two, and so on: a row brings those whose beginning is frequent."""
+    at = kept.select("i", "verdict", "tokens", F.array().cast("array<string>").alias("whole"), F.lit(0).alias("last"))
+    out = None
+    many = lambda v: F.count(F.when(F.col("verdict") == v, 1))
+    for level in range(max_tokens):
+        at = at.filter(F.size("tokens") > F.col("last")).withColumn("next", F.explode(F.sequence(F.col("last") + 1, F.size("tokens"))))
+        at = at.select("i", "verdict", "tokens", F.array_append("whole", F.element_at("tokens", F.col("next"))).alias("whole"), F.col("next").alias("last"))
+        counts = at.groupBy("whole").agg(many("block").alias("block"), many("allow").alias("allow"), F.count("*").alias("all")).filter(F.col("all") >= least)
+        counts = written(counts, "sets")
+        out = counts if out is None else out.unionByName(counts)
+        if level + 1 < max_tokens:
+            at = written(at.join(counts.select("whole"), "whole", "left_semi"), "growing")
+    return out.select("whole", *(F.when(F.col(v) >= least, F.col(v)).alias(v) for v in ("block", "allow")), "all")
+
+
+def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8, max_tokens: int = 3) -> list[tuple[tuple[str, ...], str, float, float]]:
+    """(tokens, verdict, confidence, support) of rules mined from labelled: tokens (array), verdict."""
+    kept, total = telling(labelled, min_support)
+    n, widest = kept.agg(F.count("*"), F.max(F.size("tokens"))).first()
+    if not n:
+        return []
+    least = max(1, math.ceil(min_support * total))
+    of = sets_by_growth(kept, least, n, max_tokens) if widest <= MAX_ITEMS else sets_by_level(kept, least, max_tokens)
     sure = of.filter(F.greatest(F.coalesce("block", F.lit(0)), F.coalesce("allow", F.lit(0))) >= min_confidence * F.col("all"))
     rows = sure.limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
