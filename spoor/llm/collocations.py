@@ -36,6 +36,8 @@ ENDS, GAPS = r"[.,;:!?\n\x0b\x0c\r]", "\t"
 UNKNOWN = "und"
 #: Bytes of text in a shard. A longer text is alone in one.
 SHARD_BYTES = 8 << 20
+#: Words that are left of shards, where phrases may be frequent, and sorted together.
+LEFT_WORDS = 2_000_000
 #: 64-bit words of the filter at most.
 FILTER_WORDS = 1 << 21
 #: Parts that a language's candidates are dealt into before its first ones are chosen.
@@ -51,6 +53,7 @@ def word_ids(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     t = pc.replace_substring(pc.ascii_lower(texts.cast(pa.large_string())), GAPS, " ")
     t = pc.binary_join_element_wise(pc.replace_substring_regex(t, ENDS, " \n "), pa.scalar("\n", pa.large_string()), pa.scalar(" ", pa.large_string()))
     words = pc.split_pattern(t, " ").flatten()
+    del t
     words = words.filter(pc.not_equal(words, "")).dictionary_encode()
     order = pc.sort_indices(words.dictionary).to_numpy()  # by bytes, so the mark of a piece's end needn't be first
     place = np.empty(len(order), np.int64)
@@ -206,9 +209,11 @@ def _rows(lang: str, size: int, phrases: pa.Array | None, counts: np.ndarray) ->
     return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(np.full(n, size, np.int32)), phrases, pa.array(counts.astype(np.int64))], ["lang", "size", "phrase", "n"])
 
 
-def _pieces(batch: pa.RecordBatch, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
-    for a in range(0, batch.num_rows, rows):
-        yield batch.slice(a, rows)
+def _phrases(lang: str, vocabulary: pa.Array, ids: np.ndarray, shortest: int, longest: int, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """The phrases of a shard with their counts, spelled a batch at a time."""
+    for m, places, counts in phrase_counts(ids, words_left(ids), shortest, longest):
+        for a in range(0, len(places), rows):
+            yield _rows(lang, m, spelled(vocabulary, ids, places[a : a + rows], m), counts[a : a + rows])
 
 
 def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,20 +223,36 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(vocabulary) <= 1:
             continue
         yield _rows(lang, 0, None, np.array([np.count_nonzero(ids >= 0)]))
-        for m, places, counts in phrase_counts(ids, words_left(ids), 1, 2):
-            yield from _pieces(_rows(lang, m, spelled(vocabulary, ids, places, m), counts))
+        yield from _phrases(lang, vocabulary, ids, 1, 2)
 
 
 def _longer(batches: Iterator[pa.RecordBatch], bits, size: int, longest: int) -> Iterator[pa.RecordBatch]:
-    """Phrases of more than size words of each shard, with counts, where all their parts of size words may be frequent."""
+    """Phrases of more than size words, with counts, where all their parts of size words may be frequent.
+
+    What is left of a shard is little, so that of many shards goes into one suffix array.
+    """
+    held: dict[str, list[np.ndarray]] = {}
+    known: dict[str, dict[str, int]] = {}
+
+    def sorted_out(lang: str) -> Iterator[pa.RecordBatch]:
+        yield from _phrases(lang, pa.array(list(known.pop(lang)), pa.large_string()), np.concatenate(held.pop(lang)), size + 1, longest)
+
     for lang, texts in _shards(batches):
         ids, vocabulary = word_ids(texts)
         places = np.flatnonzero(words_left(ids) >= size)
         may = np.zeros(len(ids), bool)
         may[places] = may_hold(bits.value, phrase_hashes(lang, vocabulary, ids, places, size))
         ids = only_runs(ids, may, size, size + 1)
-        for m, at, counts in phrase_counts(ids, words_left(ids), size + 1, longest):
-            yield from _pieces(_rows(lang, m, spelled(vocabulary, ids, at, m), counts))
+        if not len(ids):
+            continue
+        used, at = np.unique(ids, return_inverse=True)  # the first is -1, as every stretch ends with it
+        own = known.setdefault(lang, {})
+        number = np.array([-1, *(own.setdefault(w, len(own)) for w in vocabulary.take(pa.array(used[1:])).to_pylist())])
+        held.setdefault(lang, []).append(number[at])
+        if sum(map(len, held[lang])) >= LEFT_WORDS:
+            yield from sorted_out(lang)
+    for lang in list(held):
+        yield from sorted_out(lang)
 
 
 def counted(docs: DataFrame, min_count: int = 100, longest: int = 5, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
