@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 import uuid
 from functools import reduce
@@ -36,8 +37,14 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--version", action="version", version=VERSION)
     p.add_argument("--aggs", default="noop", help="passes, joined by +")
     p.add_argument("--annotate", action="store_true", help="each line with its context, as JSON")
-    p.add_argument("--output", choices=["stdout", "json", "parquet"], default="stdout")
-    p.add_argument("--to", help="folder of results")
+    p.add_argument("--output", choices=["stdout", "json", "parquet", "published", "database"], default="stdout", help="published and database take each run once")
+    p.add_argument("--to", help="folder of results, or the JDBC URL of a database")
+    p.add_argument("--run", default="", help="id of this run; the same again adds nothing")
+    p.add_argument("--driver", help="class of the JDBC driver")
+    p.add_argument("--causality-mode", choices=["compat", "intent"], default="compat")
+    p.add_argument("--failfast", action="store_true", help="stop at records that contradict others")
+    p.add_argument("--only-blocked", action="store_true", help="adblock gives only what is blocked")
+    p.add_argument("--plugin", action="append", default=[], help="name=module:class of a record pass to add")
     p.add_argument("--root-domain", default="")
     p.add_argument("--submission", help="id of the submission that the logs are of, kept with every row")
     p.add_argument("--log-root", default="-", help="the name of the log that standard input (-) is")
@@ -61,9 +68,15 @@ def main(args: list[str] | None = None) -> int:
         inputs = passes.Inputs(
             logs.read_idl(spark, a.idl) if a.idl else None, logs.read_entities(spark, a.entities) if a.entities else None, logs.read_rules(spark, a.rules) if a.rules else None,
             logs.read_suffixes(spark, a.suffixes) if a.suffixes else None, a.root_domain,
+            a.causality_mode, a.only_blocked,
         )
-        tables = context.trace_tables(lines, a.block)
+        for plugin in a.plugin:
+            name, _, place = plugin.partition("=")
+            module, _, work = place.partition(":")
+            passes.record_pass(name, getattr(importlib.import_module(module), work)(), block=a.block)
+        tables = context.trace_tables(lines, a.block, "failfast" if a.failfast else "quarantine")
         found = passes.run(a.aggs, tables, inputs)
+    run = a.run or uuid.uuid4().hex
     for name, df in found.items():
         if a.submission:
             df = df.withColumn("submission_id", F.lit(a.submission))
@@ -71,6 +84,11 @@ def main(args: list[str] | None = None) -> int:
             df.write.mode("overwrite").parquet(f"{a.to}/{name}")
         elif a.output == "json":
             sinks.write_json_lines(df, name, f"{a.to}/{name}")
+        elif a.output == "published":
+            sinks.publish(df, f"{a.to}/{name}", run)
+        elif a.output == "database":
+            flat = df.select(*(F.to_json(c).alias(c) if kind.startswith(("array", "struct", "map")) else F.col(c) for c, kind in df.dtypes))
+            sinks.import_database(flat, a.to, name, run, {"driver": a.driver} if a.driver else {})
         else:
             for row in sinks.json_lines(df, name).toLocalIterator():
                 print(row["value"])

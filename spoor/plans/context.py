@@ -38,7 +38,7 @@ def records(lines: DataFrame) -> DataFrame:
 def _blocks(df: DataFrame, keys: list[str], order: str, block: int) -> tuple[DataFrame, list[str]]:
     """df with its keys without nulls and the block of each row: windows and joins on these columns share one exchange."""
     names = [f"_k{i}" for i in range(len(keys))]
-    cols = {n: F.coalesce(F.col(k), F.lit("\x00")) for n, k in zip(names, keys, strict=True)}
+    cols = {n: F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for n, k in zip(names, keys, strict=True)}
     return df.withColumns({**cols, "_b": F.floor(F.col(order) / block)}), names
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spoor.functions import blocklist, fields, hashes, html, tables, urls
-from spoor.operators import causality, idl, parties, star, usage
+from spoor.operators import causality, idl, parties, ranges, star, usage
 from spoor.plans import context, lens, records
 from spoor.session import table
 
@@ -712,6 +712,93 @@ def live_context_any_order(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(live.CONTEXT).parquet(f"{at}/out").select("log_id", "line_no", "isolate", "script_id", "origin", "epoch")
 
 
+# ---- joins by order
+
+_ASOF = """with p as (select user_id, event_id, ts, value from events where event_type = 'purchase'), v as (select user_id, ts as seen, event_id as seen_id, value as seen_value from events where event_type in ('view', 'click'))
+select p.user_id, p.event_id, v.seen_id, v.seen_value from p asof left join v on p.user_id = v.user_id and p.ts >= v.seen"""
+
+
+def _asof(spark: SparkSession, d: str, block: int | None) -> DataFrame:
+    events = table(spark, d, "events")
+    bought = events.filter("event_type = 'purchase'").select("user_id", "event_id", "ts", "value")
+    seen = events.filter("event_type in ('view', 'click')").select("user_id", F.col("ts").alias("seen"), F.col("event_id").alias("seen_id"), F.col("value").alias("seen_value"))
+    return ranges.asof(bought, seen, ["user_id"], "ts", "seen", ["seen_id", "seen_value"], block=block).select("user_id", "event_id", "seen_id", "seen_value")
+
+
+@query("asof_join", _ASOF)
+def asof_join(spark: SparkSession, d: str) -> DataFrame:
+    """What a user looked at last before each purchase."""
+    return _asof(spark, d, None)
+
+
+@query("asof_join_blocked", _ASOF)
+def asof_join_blocked(spark: SparkSession, d: str) -> DataFrame:
+    """The same for keys of any length: rows numbered by ranges, blocks of them filled and carried on."""
+    return _asof(spark, d, 500)
+
+
+@query("interval_join", """select l_orderkey, l_linenumber, count(*) as n_open from lineitem join orders on o_orderkey >= l_orderkey - 3 and o_orderkey < l_orderkey + 4 group by all""")
+def interval_join(spark: SparkSession, d: str) -> DataFrame:
+    """Orders in the interval around each line's order, by bins of their number."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") - 3).alias("from_key"), (F.col("l_orderkey") + 4).alias("to_key"))
+    orders = table(spark, d, "orders").select("o_orderkey")
+    got = ranges.in_intervals(orders, lines, [], "o_orderkey", "from_key", "to_key", 64)
+    return got.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n_open"))
+
+
+@query("overlap_join", """with e as (select user_id, event_id, epoch_us(ts) // 1000000 as a, epoch_us(ts) // 1000000 + cast(floor(value) as bigint) * 60 as b from events),
+x as (select * from e where user_id % 3 = 0), y as (select user_id, event_id as other_id, a as c, b as d from e)
+select event_id, other_id from x join y using (user_id) where a < b and c < d and a < d and c < b and event_id < other_id""")
+def overlap_join(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches of a user's events that overlap, by bins of an hour."""
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    e = table(spark, d, "events").select("user_id", "event_id", at.alias("a"), (at + F.floor("value") * 60).alias("b"))
+    other = e.select("user_id", F.col("event_id").alias("other_id"), F.col("a").alias("c"), F.col("b").alias("d"))
+    return ranges.overlapping(e.filter("user_id % 3 = 0"), other, ["user_id"], ("a", "b"), ("c", "d"), 3600).filter("event_id < other_id").select("event_id", "other_id")
+
+
+@query("published_orders", "select o_orderkey, o_custkey from orders where o_orderkey % 3 <> 2")
+def published_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs published to one table, of which the second one is repeated and overlaps the first; a third is only staged."""
+    from spoor.session import shared_dir
+    from spoor.sources import sinks
+
+    at = f"{shared_dir(spark)}/published-{uuid.uuid4().hex}"
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    for run, part in (("one", orders.filter("o_orderkey % 3 = 0")), ("two", orders.filter("o_orderkey % 3 <> 2")), ("two", orders.filter("o_orderkey % 3 <> 2"))):
+        sinks.publish(part, at, run, ["o_orderkey"])
+    orders.filter("o_orderkey % 3 = 2").write.parquet(f"{at}/data/killed")
+    return sinks.published(spark, at)
+
+
+# ---- sketches and variants
+
+
+@query("sketch_counts", """select event_type, count(distinct user_id) as n_users, count(distinct event_id) as n_events, true as near_users, true as near_events, true as near_middle from events group by event_type""")
+def sketch_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct counts and the middle value, by states kept for each user and merged over them without looking at the events again, held against exact ones."""
+    from spoor.operators import sketches
+
+    events = table(spark, d, "events").withColumn("part", F.col("user_id") % 16)
+    merged = sketches.merged(sketches.states(events, ["event_type", "part"], {"users": "user_id", "events": "event_id"}, {"middle": "value"}), ["event_type"], ["users", "events"], {"middle": 0.5})
+    low, high = F.percentile("value", 0.5 - sketches.RANK_ERROR), F.percentile("value", 0.5 + sketches.RANK_ERROR)
+    exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("n_users"), F.count_distinct("event_id").alias("n_events"), low.alias("low"), high.alias("high"))
+    near = lambda n: F.abs(F.col(n) - F.col(f"n_{n}")) <= sketches.COUNT_ERROR * F.col(f"n_{n}") + 1
+    return exact.join(merged, "event_type").select("event_type", "n_users", "n_events", near("users").alias("near_users"), near("events").alias("near_events"), F.col("middle").between(F.col("low"), F.col("high")).alias("near_middle"))
+
+
+@query("variant_props", """select event_id, cast(json_extract(props, '$.k') as bigint) as k, json_type(json_extract(props, '$.k')) is not null as has_k from events
+union all select -event_id - 1, null, false from events""")
+def variant_props(spark: SparkSession, d: str) -> DataFrame:
+    """A JSON column as a variant: paths into it; text that is no JSON gives null, as each event's broken copy does."""
+    from spoor.functions import variants
+
+    events = table(spark, d, "events").select("event_id", "props")
+    broken = events.select((-F.col("event_id") - 1).alias("event_id"), F.concat(F.lit("{"), F.coalesce("props", F.lit(""))).alias("props"))
+    rows = variants.parsed(events.unionByName(broken), "props", "v")
+    return rows.select("event_id", variants.at("v", "$.k", "bigint").alias("k"), variants.has("v", "$.k").alias("has_k"))
+
+
 # ---- event time
 
 #: Events in six micro-batches by time, of which every seventh comes two batches later. wm: the watermark that rows of a batch are
