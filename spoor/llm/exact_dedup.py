@@ -5,8 +5,9 @@ counts how many documents have each pair of bits, which combines before the shuf
 pairs that at least two have. Pass 2 tests each document against that filter: texts that don't have both
 bits can't have a copy and pass straight through; only the rest shuffle on their hash. One group of copies
 may hold any share of the rows. The filter has a word for each repeated text at most and is broadcast up to
-BROADCAST_WORDS of them; beyond, the test is a join on words of places and hashes. Texts never shuffle: they
-are read once to be hashed and once to be kept, in place (see in_place()).
+BROADCAST_WORDS of them; a larger one is cut into slices by its words, the hashes are written by slice, without
+a shuffle, and slice after slice is broadcast to its own hashes. So whatever the size, only possible repeats
+shuffle. Texts never do: they are read once to be hashed and once to be kept, in place (see in_place()).
 
 Null texts count as empty; empty texts are equal to each other. Very long texts are hashed whole. Of equal
 texts the longest original stays, of these the smallest id; a null id loses ties to any other. Rows that
@@ -16,10 +17,12 @@ their names, are kept by drop_copies() and ignored by groups(). An empty table g
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoor.llm.common import SPACES, discard, fresh, in_place, positioned, text_of, written
+from spoor.llm.common import SPACES, discard, fresh, in_place, positioned, shared_dir, text_of, written
 
 #: At most 16 bytes each, so the filter is broadcast up to about 32 MB.
 BROADCAST_WORDS = 2_000_000
@@ -56,10 +59,26 @@ def flagged(rows: DataFrame, name: str) -> DataFrame:
     """rows, a written table with hash h, with the boolean column name: false only where no other row has the same h."""
     words = 1 << max(10, (rows.count() // 2).bit_length())  # two rows a word, 32 bits a row
     bloom = written(repeated_bits(rows.select("h"), words), "bloom")
-    side = F.broadcast(bloom) if bloom.count() <= BROADCAST_WORDS else bloom
-    tested = rows.withColumn("word", _word(F.col("h"), words)).join(side, "word", "left")
+    n = bloom.count()
+    placed = rows.withColumn("word", _word(F.col("h"), words))
     pair = _bits(F.col("h"))
-    return tested.withColumn(name, F.coalesce(F.col("bits").bitwiseAND(pair) == pair, F.lit(False))).drop("word", "bits")
+
+    def tested(part: DataFrame, side: DataFrame) -> DataFrame:
+        hit = part.join(F.broadcast(side), "word", "left")
+        return hit.withColumn(name, F.coalesce(F.col("bits").bitwiseAND(pair) == pair, F.lit(False))).select(*rows.columns, name)
+
+    if n <= BROADCAST_WORDS:
+        return tested(placed, bloom)
+    # Words are of a hash, so twice as many slices as needed on average are never too few.
+    slices = min(words, 1 << (2 * n // max(1, BROADCAST_WORDS) - 1).bit_length())
+    of = F.pmod("word", F.lit(slices))
+    spark, at = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/slices-{uuid.uuid4().hex}"
+    placed.withColumn("slice", of).write.partitionBy("slice").parquet(f"{at}/in")
+    parts = spark.read.schema(placed.withColumn("slice", F.lit(0)).schema).parquet(f"{at}/in")
+    out = tested(placed, bloom).schema
+    for i in range(slices):
+        tested(parts.filter(F.col("slice") == i).drop("slice"), bloom.filter(of == i)).write.mode("append").parquet(f"{at}/out")
+    return spark.read.schema(out).parquet(f"{at}/out")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
