@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spoor.functions import blocklist, fields, hashes, html, tables, urls
 from spoor.operators import causality, idl, parties, ranges, star, usage
 from spoor.plans import context, lens, records
-from spoor.session import table
+from spoor.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,18 +161,22 @@ def strip_quotes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").withColumn("t", t).select("conv_id", "turn", fields.strip_quotes(F.col("t")).alias("bare"), fields.has_pair(F.col("t"), '"', '"').alias("was_quoted"))
 
 
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of the lens's records, written as trace_tables() does."""
+    return written(context.payload(context.records(lens.lines(spark, d))), "trace")
+
+
 @query("receiver_split", f"""with {RECORDS} select log_id, line_no, op, ctor as tag, case when op = 'n' then '' else member end as member, concat(ctor, case when op = 'n' then '' else concat('.', member) end) as name
 from rec where op in ('g', 's', 'c', 'n')""")
 def receiver_split(spark: SparkSession, d: str) -> DataFrame:
-    rows = context.payload(context.records(lens.lines(spark, d)))
-    return rows.filter("op <> 'j'").select("log_id", "line_no", "op", "tag", "member", fields.full_name(F.col("tag"), F.col("member")).alias("name"))
+    return _parts(spark, d).filter("op <> 'j'").select("log_id", "line_no", "op", "tag", "member", fields.full_name(F.col("tag"), F.col("member")).alias("name"))
 
 
 @query("java_ops", f"""with {RECORDS} select log_id, line_no, k as "offset", sub as sub_op, case when sub = 'n' then ctor else concat('{{', obj, ',', ctor, '}}') end as receiver, ctor as tag,
 case sub when 'n' then '' when 'c' then '<anonymous>' else member end as member, case sub when 'n' then null when 'c' then '#U' else concat('"', arg, '"') end as result, case when sub in ('c', 'n') then concat('"', arg, '"') end as arg from rec where op = 'j'""")
 def java_ops(spark: SparkSession, d: str) -> DataFrame:
     """Operations on the Java bridge, with what is inside them."""
-    got = context.java_ops(context.payload(context.records(lens.lines(spark, d))))
+    got = context.java_ops(_parts(spark, d))
     return got.select("log_id", "line_no", "offset", "sub_op", "receiver", "tag", "member", "result", F.get("args", F.lit(0)).alias("arg"))
 
 
