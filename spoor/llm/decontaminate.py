@@ -5,10 +5,11 @@ consecutive words, or all of a shorter item. Whatever 13 consecutive words of an
 them that begin at a multiple of 7 are among them; so the patterns of the automaton are these pieces, and
 whole short items. Words are written as fixed numbers of letters from a small alphabet, which keeps nodes
 few and their branches short: three letters a word at most, and a word that no item has is like any other
-such. A document is scanned once; where a piece is found, the words around it are compared with the item's,
-and at least 13 in a row are hits. Hits are mapped back to words, and words to offsets in the original text.
+such. A document is scanned once; where a piece is found, the seven windows of 13 words around it are looked up
+among the distinct windows of all items and compared word by word, so that the time doesn't depend on how many
+items share a piece. Hits are mapped back to words, and words to offsets in the original text.
 
-The automaton holds at most BLOCK_CHARS characters of items, some 60 bytes each, and goes to the workers as
+The automaton and the windows hold at most BLOCK_CHARS characters of items, some 60 bytes each, and goes to the workers as
 a broadcast variable. A larger benchmark is several automata, one after another: each scan writes what it
 found, by place, before the next begins.
 
@@ -26,6 +27,7 @@ import re
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,54 +52,113 @@ class Items:
     def __init__(self, items: list[tuple[object, str]]) -> None:
         import ahocorasick
 
-        self.texts = [(i, w) for i, w in ((i, words(t)) for i, t in items) if w]
-        known = dict.fromkeys(w for _, found in self.texts for w in found)
+        items = [(i, w) for i, w in ((i, words(t)) for i, t in items) if w]
+        self.number = {w: n for n, w in enumerate(dict.fromkeys(w for _, found in items for w in found), 1)}  # 0 is for words of no item
         size = 2
-        while size**3 < len(known) + 1:
+        while size**3 < len(self.number) + 1:
             size += 1
         # Three alphabets, one for each letter of a word, so that no match begins inside a word.
         letters = [[chr(0x100 + size * k + j) for j in range(size)] for k in range(3)]
-        codes = itertools.islice(itertools.product(*letters), 1, None)  # the first is for words of no item
-        self.code = dict(zip(known, map("".join, codes), strict=False))
-        self.other = "".join(x[0] for x in letters)
-        patterns: dict[str, list[tuple[int, int]]] = {}
-        for k, (_, found) in enumerate(self.texts):
-            for a in range(0, len(found) - PIECE + 1, PIECE) if len(found) >= WINDOW else (0,):
-                part = found[a : a + PIECE] if len(found) >= WINDOW else found
-                patterns.setdefault("".join(map(self.code.__getitem__, part)), []).append((k, a))
+        self.code = ["".join(x) for x in itertools.islice(itertools.product(*letters), len(self.number) + 1)]
+        self.ids = list(dict.fromkeys(i for i, _ in items))
+        at = {i: n for n, i in enumerate(self.ids)}
+        short: dict[str, set[int]] = {}
+        pieces: set[str] = set()
+        long: list[tuple[int, list[int]]] = []
+        for i, found in items:
+            numbers = [self.number[w] for w in found]
+            codes = [self.code[n] for n in numbers]
+            if len(found) < WINDOW:
+                short.setdefault("".join(codes), set()).add(at[i])
+            else:
+                long.append((at[i], numbers))
+                pieces.update("".join(codes[a : a + PIECE]) for a in range(0, len(found) - PIECE + 1, PIECE))
+        self.windows = Windows(long)
         self.automaton = None
-        if patterns:
+        if pieces or short:
             self.automaton = ahocorasick.Automaton()
-            for pattern, of in patterns.items():
-                self.automaton.add_word(pattern, (len(pattern) // 3, of))
+            self.short = [(), *short.values()]
+            list_of = {pattern: n for n, pattern in enumerate(short, 1)}
+            for pattern in pieces | short.keys():
+                self.automaton.add_word(pattern, (len(pattern) // len(letters), pattern in pieces, list_of.get(pattern, 0)))
             self.automaton.make_automaton()
 
     def hits(self, found: list[str]) -> tuple[list[tuple[int, int]], set]:
         """Ranges of hit words (merged, end exclusive), in order, and the ids of the items they come from."""
         if not found or self.automaton is None:
             return [], set()
+        numbers = list(map(self.number.get, found, itertools.repeat(0)))
         ranges: list[tuple[int, int]] = []
-        ids: set = set()
-        looked: dict[tuple[int, int], int] = {}  # item and shift -> how far it was compared
-        for end, (n, of) in self.automaton.iter("".join(map(self.code.get, found, itertools.repeat(self.other)))):
+        of: set[int] = set()
+        lists: set[int] = set()
+        starts: set[int] = set()
+        for end, (n, piece, short) in self.automaton.iter("".join(map(self.code.__getitem__, numbers))):
             b = end // 3 + 1
-            a = b - n
-            for k, at in of:
-                i, item = self.texts[k]
-                if len(item) < WINDOW:
-                    ranges.append((a, b))
-                    ids.add(i)
-                elif looked.get((k, a - at), 0) < b:
-                    first, last, left, right = a, b, at, at + n
-                    while first and left and found[first - 1] == item[left - 1]:
-                        first, left = first - 1, left - 1
-                    while last < len(found) and right < len(item) and found[last] == item[right]:
-                        last, right = last + 1, right + 1
-                    looked[k, a - at] = last
-                    if last - first >= WINDOW:
-                        ranges.append((first, last))
-                        ids.add(i)
-        return merged(ranges), ids
+            if short:
+                ranges.append((b - n, b))
+                lists.add(short)
+            if piece:
+                starts.update(range(max(0, b - WINDOW), min(b - n, len(found) - WINDOW) + 1))
+        for k in lists:
+            of.update(self.short[k])
+        if starts:
+            hit, more = self.windows.look_up(numbers, sorted(starts))
+            ranges.extend((a, a + WINDOW) for a in hit)
+            of.update(more)
+        return merged(ranges), {self.ids[k] for k in of}
+
+
+class Windows:
+    """The distinct windows of items by 64-bit hashes, each with a place where it is and the list of items that have it.
+
+    Hashes only lead to a window, words tell: equal hashes of different windows of items are ruled out by
+    another multiplier, and what a document has is compared word by word. Windows of the same items share a list.
+    """
+
+    def __init__(self, items: list[tuple[int, list[int]]]) -> None:
+        self.words = np.array([w for _, numbers in items for w in numbers], np.int32)
+        lengths = np.array([len(numbers) for _, numbers in items], np.int64)
+        of = np.repeat(np.array([i for i, _ in items], np.int64), lengths)
+        ends = np.repeat(np.cumsum(lengths), lengths)
+        starts = np.flatnonzero(np.arange(len(self.words)) + WINDOW <= ends)
+        for multiplier in itertools.count(0x9E3779B97F4A7C15, 2):
+            self.powers = np.array([pow(multiplier, k + 1, 1 << 64) for k in range(WINDOW)], np.uint64)
+            hashes = self._hash(self.words, starts)
+            order = np.lexsort((of[starts], hashes))
+            self.hashes, first = np.unique(hashes[order], return_index=True)
+            self.places = starts[order][first]
+            bounds = np.append(first, len(order))
+            mine = np.repeat(self.places, np.diff(bounds))
+            if all((self.words[starts[order] + k] == self.words[mine + k]).all() for k in range(WINDOW)):
+                break
+        shared: dict[bytes, int] = {}
+        self.lists: list[np.ndarray] = []
+        self.list_of = np.zeros(len(self.places), np.int64)
+        ids = of[starts][order]
+        for k, (a, e) in enumerate(itertools.pairwise(bounds)):
+            part = np.unique(ids[a:e]) if e - a > 1 else ids[a:e]
+            n = self.list_of[k] = shared.setdefault(part.tobytes(), len(self.lists))
+            if n == len(self.lists):
+                self.lists.append(part.copy())
+
+    def _hash(self, numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(starts), np.uint64)
+        for k in range(WINDOW):
+            out += numbers[starts + k].astype(np.uint64) * self.powers[k]
+        return out
+
+    def look_up(self, numbers: list[int], starts: list[int]) -> tuple[list[int], set[int]]:
+        """Those starts at which a document has a window of an item, and the items, each list of them taken once."""
+        if not len(self.hashes):
+            return [], set()
+        text, at = np.array(numbers, np.int32), np.array(starts, np.int64)
+        hashes = self._hash(text, at)
+        k = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        same = self.hashes[k] == hashes
+        for j in range(WINDOW):
+            same &= text[at + j] == self.words[self.places[k] + j]
+        lists = np.unique(self.list_of[k[same]])
+        return at[same].tolist(), {i for n in lists for i in self.lists[n].tolist()}
 
 
 def merged(ranges: list) -> list[tuple[int, int]]:
