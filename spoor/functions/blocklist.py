@@ -124,7 +124,7 @@ class Matcher:
             if why_not(line) or not (rule := parse(line)).for_scripts:
                 continue
             i = len(self.rules)
-            self.rules.append((rule, re.compile(regex(rule.pattern), 0 if rule.match_case else re.I)))
+            self.rules.append((rule, re.compile(regex(rule.pattern), re.A if rule.match_case else re.A | re.I)))
             if is_regex(rule.pattern):
                 self.rest.append(i)
                 continue

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spoor.functions import blocklist, fields, hashes, html, tables, urls
-from spoor.operators import causality, idl, parties, ranges, star, usage
+from spoor.operators import blocking, causality, idl, parties, ranges, star, usage
 from spoor.plans import context, lens, records
 from spoor.session import table, written
 
@@ -633,6 +633,20 @@ def adblock_options(spark: SparkSession, d: str) -> DataFrame:
     return blocklist.match(rows, spark.createDataFrame([(x,) for x in rules], "rule string")).select("page_id", "blocked")
 
 
+@query("adblock_joined", rf"""with p as (select page_id, url, case when page_id % 2 = 0 then 'shop.example' else 'news.shop.example' end as origin, page_id % 3 <> 0 as third from pages),
+m as (select page_id, regexp_matches(url, '^[a-z]+://([^/?#]*[.])?example[.](com|org|net)/(en|fr|de)/[1-9].*page=') as numbered, contains(url, '.html') and third as html, contains(url, '/es/') and origin = 'news.shop.example' as es,
+contains(url, 'utm_source') as feed, contains(url, '//blog.') and third as blog, regexp_matches(url, '/[0-9]{{2}}[#?]') as two from p)
+select page_id, coalesce(blog or ((numbered or html or es or two) and not feed), false) as blocked from m""")
+def adblock_joined(spark: SparkSession, d: str) -> DataFrame:
+    """Rules found by their rarest key and verified by their own pattern, inside the JVM."""
+    lines = [f"||example.{tld}^{lang}/{k}*page=" for tld in ("com", "org", "net") for lang in ("en", "fr", "de") for k in range(1, 10)]
+    lines += [".html$third-party", "/es/$domain=news.shop.example|other.example", "@@utm_source", "//blog.$third-party,important", "/\\/[0-9]{2}[#?]/", "! note", "/en/$image"]
+    even = F.col("page_id") % 2 == 0
+    origin = F.when(even, "shop.example").otherwise("news.shop.example").alias("origin_host")
+    rows = table(spark, d, "pages").select("page_id", "url", origin, (F.col("page_id") % 3 != 0).alias("third_party"))
+    return blocking.match_by_joins(rows, spark.createDataFrame([(x,) for x in lines], "rule string")).select("page_id", "blocked")
+
+
 @query("url_suffixes", rf"""with h as (select page_id, {_HOST} as host from pages)
 select page_id, host, case when host like '%_.example.net' and host <> 'm.example.net' and not host like '%.m.example.net' then regexp_extract(host, '(([^.]+[.])?[^.]+[.]example[.]net)$', 1) end as own_net,
 regexp_extract(host, '([^.]+[.]example[.]com)$', 1) as own_com from h""")
