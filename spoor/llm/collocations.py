@@ -6,10 +6,13 @@ common prefix has at least m words (its LCP intervals) are the phrases of m word
 are merged globally by language and phrase.
 
 Counts are exact and complete for every phrase that can matter. The first scan counts words and pairs. All
-parts of a frequent phrase are frequent, so the second scan counts phrases of three words only where both
-pairs are, and the third longer ones only where all phrases of three words are. Which are goes to the tasks as
-a Bloom filter of at most FILTER_WORDS words; a fuller filter lets more pass, which costs time and changes
-nothing. No list of phrases is ever collected.
+parts of a frequent phrase are frequent, so the second scan writes down what is left of the texts, stretches
+of three words and more all of whose pairs are frequent, and counts its phrases of three words and more by
+the bucket of their hash. A phrase in a bucket of fewer than min_count can't be frequent, in whatever task it
+stands. So of what is left, phrases are put out only where their bucket is full, and longer ones only where all
+phrases of three words are frequent too. Frequent phrases go to the tasks as a Bloom filter of at most
+FILTER_WORDS words, buckets as at most BUCKETS bits; fuller ones let more pass, which costs time and
+changes nothing. No list of phrases is ever collected.
 
 A candidate is scored by its worst cut in two, in exact decimal arithmetic. Null texts are empty; texts without
 words add nothing; a null language is und, together with rows that say und. Very long texts are a shard of
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoor.llm.common import prepare, small, text_of, written
+from spoor.llm.common import discard, prepare, small, text_of, written
 
 #: What ends a piece, and what is between its words.
 ENDS, GAPS = r"[.,;:!?\n\x0b\x0c\r]", "\t"
@@ -40,6 +43,8 @@ SHARD_BYTES = 8 << 20
 LEFT_WORDS = 2_000_000
 #: 64-bit words of the filter at most.
 FILTER_WORDS = 1 << 21
+#: Words of all texts for each bucket that longer phrases are counted by, buckets at most, and blocks that they are merged by.
+WORDS_A_BUCKET, BUCKETS, BLOCKS = 16, 1 << 28, 64
 #: Parts that a language's candidates are dealt into before its first ones are chosen.
 DEALT = 64
 MASK = np.uint64(63)
@@ -139,9 +144,12 @@ def spelled(vocabulary: pa.Array, ids: np.ndarray, places: np.ndarray, m: int) -
     return pc.binary_join_element_wise(*parts, pa.scalar(" ", vocabulary.type)) if m > 1 else parts[0]
 
 
-def phrase_hashes(lang: str, vocabulary: pa.Array, ids: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
-    """A hash of the phrases of size words at places: those of its words, each turned by its number, and its language's."""
-    h = np.fromiter((xxhash.xxh64_intdigest(w.encode(), 42) for w in vocabulary.to_pylist()), np.uint64, len(vocabulary))
+def word_hashes(vocabulary: pa.Array) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode(), 42) for w in vocabulary.to_pylist()), np.uint64, len(vocabulary))
+
+
+def phrase_hashes(lang: str, h: np.ndarray, ids: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the phrases of size words at places: those of its words, h, each turned by its number, and its language's."""
     out = np.full(len(places), xxhash.xxh64_intdigest(lang.encode(), 42), np.uint64)
     for t in range(size):
         own = h[ids[places + t]]
@@ -154,6 +162,21 @@ def may_hold(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[h & np.uint64(len(bits) - 1)] & (one | two)) == one | two
 
 
+def in_full(full: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the buckets of hashes are full. full: a bit for each bucket."""
+    b = h & np.uint64(8 * len(full) - 1)
+    return (full[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def added_up(held: list[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, count) of all held, by bucket; counts over most are most."""
+    at, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[starts], np.minimum(np.add.reduceat(n[order], starts), most)
+
+
 # ---- the same hashes and filter in Spark
 
 
@@ -209,9 +232,13 @@ def _rows(lang: str, size: int, phrases: pa.Array | None, counts: np.ndarray) ->
     return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(np.full(n, size, np.int32)), phrases, pa.array(counts.astype(np.int64))], ["lang", "size", "phrase", "n"])
 
 
-def _phrases(lang: str, vocabulary: pa.Array, ids: np.ndarray, shortest: int, longest: int, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
-    """The phrases of a shard with their counts, spelled a batch at a time."""
+def _phrases(lang: str, vocabulary: pa.Array, ids: np.ndarray, shortest: int, longest: int, full: np.ndarray | None = None, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """The phrases of a shard with their counts, spelled a batch at a time. full: only those in full buckets."""
+    h = None if full is None else word_hashes(vocabulary)
     for m, places, counts in phrase_counts(ids, words_left(ids), shortest, longest):
+        if full is not None:
+            may = in_full(full, phrase_hashes(lang, h, ids, places, m))
+            places, counts = places[may], counts[may]
         for a in range(0, len(places), rows):
             yield _rows(lang, m, spelled(vocabulary, ids, places[a : a + rows], m), counts[a : a + rows])
 
@@ -226,23 +253,103 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _phrases(lang, vocabulary, ids, 1, 2)
 
 
-def _longer(batches: Iterator[pa.RecordBatch], bits, size: int, longest: int) -> Iterator[pa.RecordBatch]:
-    """Phrases of more than size words, with counts, where all their parts of size words may be frequent.
+LEFT = "lang string, t string, block int, entries int, at binary, n binary"
+
+
+def _left_rows(rows: list[dict]) -> pa.RecordBatch:
+    names = {"lang": pa.string(), "t": pa.string(), "block": pa.int32(), "entries": pa.int32(), "at": pa.binary(), "n": pa.binary()}
+    return pa.RecordBatch.from_pylist(rows, pa.schema(list(names.items())))
+
+
+def _left_texts(lang: str, vocabulary: pa.Array, ids: np.ndarray, words: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Stretches as texts of some words each, or of one stretch, with a line for each stretch."""
+    ends = np.flatnonzero(ids < 0) + 1
+    cuts = np.unique(np.concatenate([[0], ends[np.searchsorted(ends, np.arange(words, len(ids), words))], [len(ids)]]))
+    spelt = pa.concat_arrays([vocabulary, pa.array(["\n"], vocabulary.type)]).take(pa.array(np.where(ids < 0, len(vocabulary), ids)))
+    for a, e in zip(cuts[:-1], cuts[1:], strict=True):
+        yield _left_rows([{"lang": lang, "t": pc.binary_join(pa.ListArray.from_arrays([0, e - a], spelt[a:e]), pa.scalar(" ", spelt.type))[0].as_py()}])
 
-    What is left of a shard is little, so that of many shards goes into one suffix array.
+
+def _left_counts(held: list[tuple[np.ndarray, np.ndarray]], buckets: int, min_count: int) -> Iterator[pa.RecordBatch]:
+    """Counts by bucket, a row for each block: steps between buckets, and counts. Counts over min_count needn't be told apart."""
+    at, n = added_up(held, min_count)
+    width = buckets // BLOCKS
+    edges = np.searchsorted(at, np.arange(BLOCKS + 1, dtype=np.uint64) * np.uint64(width))
+    for block, (a, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        if a < e:
+            steps = np.diff(at[a:e] - np.uint64(block * width), prepend=np.uint64(0)).astype(np.uint32)
+            each = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in (steps, n[a:e].astype(np.min_scalar_type(min_count)))]
+            yield _left_rows([{"block": block, "entries": int(e - a), "at": each[0], "n": each[1]}])
+
+
+def _left(batches: Iterator[pa.RecordBatch], bits, buckets: int, min_count: int, longest: int) -> Iterator[pa.RecordBatch]:
+    """The stretches of each shard all of whose pairs may be frequent, and the counts by bucket of their phrases of three words and more."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for lang, texts in _shards(batches):
+        ids, vocabulary = word_ids(texts)
+        h = word_hashes(vocabulary)
+        places = np.flatnonzero(words_left(ids) >= 2)
+        may = np.zeros(len(ids), bool)
+        may[places] = may_hold(bits.value, phrase_hashes(lang, h, ids, places, 2))
+        ids = only_runs(ids, may, 2, 3)
+        if not len(ids):
+            continue
+        yield from _left_texts(lang, vocabulary, ids)
+        left = words_left(ids)
+        for m in range(3, longest + 1):
+            held.append(np.unique(phrase_hashes(lang, h, ids, np.flatnonzero(left >= m), m) & np.uint64(buckets - 1), return_counts=True))
+        if sum(len(at) for at, _ in held) >= LEFT_WORDS:
+            yield from _left_counts(held, buckets, min_count)
+            held = []
+    if held:
+        yield from _left_counts(held, buckets, min_count)
+
+
+def _full(batches: Iterator[pa.RecordBatch], buckets: int, min_count: int) -> Iterator[pa.RecordBatch]:
+    """Which buckets of each block have min_count, as bits. Rows come by block, so that one block is held at a time."""
+    now, width, kind = None, buckets // BLOCKS, np.min_scalar_type(min_count)
+    row = lambda: pa.RecordBatch.from_pydict({"block": pa.array([now], pa.int32()), "full": pa.array([np.packbits(sums >= min_count, bitorder="little").tobytes()], pa.binary())})
+    for b in batches:
+        for r in b.to_pylist():
+            if r["block"] != now:
+                if now is not None:
+                    yield row()
+                now, sums = r["block"], np.zeros(width, np.int64)
+            steps = np.frombuffer(pa.decompress(r["at"], 4 * r["entries"], codec="zstd"), np.uint32)
+            sums[np.cumsum(steps, dtype=np.int64)] += np.frombuffer(pa.decompress(r["n"], kind.itemsize * r["entries"], codec="zstd"), kind)
+    if now is not None:
+        yield row()
+
+
+def full_buckets(left: DataFrame, buckets: int, min_count: int) -> np.ndarray:
+    """A bit for each bucket: whether all tasks together counted min_count in it."""
+    counts = left.filter("block is not null").select("block", "entries", "at", "n").repartition("block").sortWithinPartitions("block")
+    got = counts.mapInArrow(partial(_full, buckets=buckets, min_count=min_count), "block int, full binary").toArrow()
+    out = np.zeros((BLOCKS, buckets // BLOCKS // 8), np.uint8)
+    for r in got.to_pylist():
+        out[r["block"]] = np.frombuffer(r["full"], np.uint8)
+    return out.ravel()
+
+
+def _longer(batches: Iterator[pa.RecordBatch], full, bits, shortest: int, longest: int) -> Iterator[pa.RecordBatch]:
+    """Phrases of shortest to longest words, with counts, in full buckets, where all their parts of three words may be frequent.
+
+    bits: the filter of those parts, or None before they are known; then their buckets tell. What is left of a
+    shard is little, so that of many shards goes into one suffix array.
     """
     held: dict[str, list[np.ndarray]] = {}
     known: dict[str, dict[str, int]] = {}
 
     def sorted_out(lang: str) -> Iterator[pa.RecordBatch]:
-        yield from _phrases(lang, pa.array(list(known.pop(lang)), pa.large_string()), np.concatenate(held.pop(lang)), size + 1, longest)
+        yield from _phrases(lang, pa.array(list(known.pop(lang)), pa.large_string()), np.concatenate(held.pop(lang)), shortest, longest, full.value)
 
     for lang, texts in _shards(batches):
         ids, vocabulary = word_ids(texts)
-        places = np.flatnonzero(words_left(ids) >= size)
+        places = np.flatnonzero(words_left(ids) >= 3)
+        h = phrase_hashes(lang, word_hashes(vocabulary), ids, places, 3)
         may = np.zeros(len(ids), bool)
-        may[places] = may_hold(bits.value, phrase_hashes(lang, vocabulary, ids, places, size))
-        ids = only_runs(ids, may, size, size + 1)
+        may[places] = in_full(full.value, h) if bits is None else may_hold(bits.value, h)
+        ids = only_runs(ids, may, 3, shortest)
         if not len(ids):
             continue
         used, at = np.unique(ids, return_inverse=True)  # the first is -1, as every stretch ends with it
@@ -266,10 +373,21 @@ def counted(docs: DataFrame, min_count: int = 100, longest: int = 5, lang_col: s
     short = written(merged(rows.mapInArrow(_short, OUT)), "phrases")
     totals = short.filter("size = 0").select("lang", F.col("f").alias("n"))
     frequent = short.filter("size > 0")
-    for size, most in ((2, min(3, longest)), (3, longest)):
-        if most > size:
-            bits = docs.sparkSession.sparkContext.broadcast(frequent_filter(frequent.filter(F.col("size") == size), size))
-            frequent = frequent.unionByName(written(merged(rows.mapInArrow(partial(_longer, bits=bits, size=size, longest=most), OUT)), "phrases"))
+    if longest < 3:
+        return totals, frequent
+    send = docs.sparkSession.sparkContext.broadcast
+    known = lambda size: send(frequent_filter(frequent.filter(F.col("size") == size), size))
+    words = totals.agg(F.sum("n")).first()[0] or 0
+    buckets = 1 << min(BUCKETS.bit_length() - 1, max(12, (words // WORDS_A_BUCKET).bit_length()))
+    left = written(rows.mapInArrow(partial(_left, bits=known(2), buckets=buckets, min_count=min_count, longest=longest), LEFT), "left")
+    full = send(full_buckets(left, buckets, min_count))
+    texts = left.filter("block is null").select("lang", "t")
+    for shortest, most in ((3, 3), (4, longest)):
+        if most >= shortest:
+            bits = known(3) if shortest > 3 else None
+            found = texts.mapInArrow(partial(_longer, full=full, bits=bits, shortest=shortest, longest=most), OUT)
+            frequent = frequent.unionByName(written(merged(found), "phrases"))
+    discard(left)
     return totals, frequent
 
 
