@@ -100,8 +100,9 @@ def in_place(docs: DataFrame, side: DataFrame, file: str, row: str, how: str, si
 
     side is broadcast. If it has over BROADCAST_BYTES, counting size a row, the files of docs are dealt into
     groups, and each group is read by itself and joined with its part of side. A group whose part is over the
-    bound too, as when one file has most of the rows, is dealt again by row numbers until each part is within
-    it; only files of such groups are read more than once. So no more than the bound, or one row, is broadcast at once.
+    bound too, as when one file has most of the rows, is dealt again by row numbers, counted from another start
+    in each file so that rows of the same number come apart, until each part is within it; only files of such
+    groups are read more than once. So no more than the bound, or one row, is broadcast at once.
     """
     weight = size + F.lit(64)
     total = side.agg(F.sum(weight)).first()[0] or 0
@@ -110,24 +111,23 @@ def in_place(docs: DataFrame, side: DataFrame, file: str, row: str, how: str, si
         return docs.join(F.broadcast(side), [file, row], how)
     group = fresh(docs, "_group")
     of = F.pmod(F.col(file), F.lit(k))
+    place = F.pmod(F.xxhash64(file), F.lit(1 << 40)) + F.col(row)
     parts = written(side.withColumn(group, of), "side", by=group)
     out = None
-    for i, slices in enumerate(_slices(parts.withColumn("_weight", weight), group, row, k)):
+    for i, slices in enumerate(_slices(parts.select(F.col(group).cast("int").alias("g"), place.alias("r"), weight.alias("w")), k)):
         for j in range(slices):
-            mine = F.pmod(F.col(row), F.lit(slices)) == j
+            mine = F.pmod(place, F.lit(slices)) == j
             part = docs.filter((of == i) & mine).join(F.broadcast(parts.filter((F.col(group) == i) & mine).drop(group)), [file, row], how)
             out = part if out is None else out.unionByName(part)
     return out
 
 
-def _slices(parts: DataFrame, group: str, row: str, k: int) -> list[int]:
-    """In how many slices, by row number, each of k groups is within the bound. k numbers a round come to the driver."""
-    spark = parts.sparkSession
-    rows, weight = F.col(row).alias("r"), F.col("_weight").alias("w")
-    narrow = parts.select(F.col(group).cast("int").alias("g"), rows, weight)
+def _slices(narrow: DataFrame, k: int) -> list[int]:
+    """In how many slices, by place r, each of k groups g is within the bound, w being a row's bytes. k numbers a round come to the driver."""
+    spark = narrow.sparkSession
     slices, still = [1] * k, list(range(k))
     while still:
-        now = spark.createDataFrame([(g, slices[g]) for g in still], "g int, n int")
+        now = spark.createDataFrame([(g, slices[g]) for g in still], "g int, n long")
         loads = narrow.join(F.broadcast(now), "g").groupBy("g", F.pmod("r", "n").alias("slice")).agg(F.sum("w").alias("load"), F.count("*").alias("rows"))
         over = loads.filter((F.col("load") > BROADCAST_BYTES) & (F.col("rows") > 1)).groupBy("g").agg(F.max("load").alias("most")).collect()
         for r in over:
