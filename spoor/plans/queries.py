@@ -826,14 +826,18 @@ tops as (select batch, max(ts) as top from arr group by batch),
 wm as (select b.batch, (select max(top) from tops t where t.batch < b.batch - 1) - interval 6 hour as wm from (select distinct batch from arr) b)"""
 
 
-def _arriving(spark: SparkSession, d: str) -> DataFrame:
+def _arriving(spark: SparkSession, d: str, close: str | None = None) -> DataFrame:
+    """close: how long after all events a last micro-batch of one row comes."""
     from spoor.session import shared_dir
     from spoor.streaming import live
 
     events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     total = events.agg(F.max("event_id") + 1).first()[0] or 1
     batch = F.least(F.lit(5), F.floor(F.col("event_id") * 6 / total) + F.when(F.col("event_id") % 7 == 0, 2).otherwise(0))
-    return live.in_batches(events.withColumn("batch", batch.cast("int")), "batch", 6, f"{shared_dir(spark)}/events-{uuid.uuid4().hex}")
+    rows = events.withColumn("batch", batch.cast("int"))
+    if close is not None:
+        rows = rows.unionByName(live.closing(rows, "ts", close).withColumn("batch", F.lit(6)))
+    return live.in_batches(rows, "batch", 6 if close is None else 7, f"{shared_dir(spark)}/events-{uuid.uuid4().hex}")
 
 
 def _finished(stream: DataFrame) -> DataFrame:
@@ -860,10 +864,13 @@ s as (select *, sum(fresh) over (partition by user_id order by ts, event_id) as
 g as (select user_id, min(ts) as start, max(ts) + interval 90 minute as "end", count(*) as n from s group by user_id, nth)
 select user_id, start, "end", n from g where "end" <= (select max(top) from tops) - interval 6 hour""")
 def live_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Stretches of a user's events with gaps of under 90 minutes, late events dropped."""
+    """Stretches of a user's events with gaps of under 90 minutes, late events dropped. A stretch that an event came to after it had been
+    put out is taken together with what it came in, also where that is still open at the end and the stretch so isn't over."""
     from spoor.streaming import live
 
-    got = _finished(live.live_sessions(_arriving(spark, d), "ts", ["user_id"], "6 hours", "90 minutes"))
+    found = _finished(live.live_sessions(_arriving(spark, d, "10 hours"), "ts", ["user_id"], "6 hours", "90 minutes"))
+    last = table(spark, d, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("last"))
+    got = live.whole_sessions(found, ["user_id"]).crossJoin(last).filter(F.col("end") <= F.col("last") - F.expr("interval 6 hours")).drop("last")
     return got.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 

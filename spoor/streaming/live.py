@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -180,10 +180,33 @@ def live_counts(events: DataFrame, time: str, keys: list[str], late: str = "10 m
 def live_sessions(events: DataFrame, time: str, keys: list[str], late: str = "10 minutes", gap: str = "5 minutes") -> DataFrame:
     """keys, start, end, n: stretches of events of a key with less than gap between them, put out when the watermark has passed their end.
 
-    Events whose own stretch would end at or before the watermark are late and dropped.
+    Events whose own stretch would end at or before the watermark are late and dropped. An event that isn't late may still
+    come within gap of a stretch that has been put out; it is then in a stretch of its own that overlaps the other one.
+    whole_sessions() puts these together. Watermarks are whole milliseconds.
     """
-    found = events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("s"), *keys).agg(F.count("*").alias("n"))
-    return found.select(*keys, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
+    tick = "interval 1 microsecond"  # Spark joins stretches that touch: each begins a tick late and ends in time
+    moved = events.withColumn("_at", F.col(time) + F.expr(tick)).withWatermark("_at", late)
+    found = moved.groupBy(F.session_window("_at", f"{gap} -1 microseconds").alias("s"), *keys).agg(F.count("*").alias("n"))
+    return found.select(*keys, (F.col("s.start") - F.expr(tick)).alias("start"), F.col("s.end").alias("end"), "n")
+
+
+def whole_sessions(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Stretches that live_sessions() put out, those of a key that overlap as one.
+
+    One that is settled is final; one that ends less than gap before the watermark may yet grow, also by stretches that are still open.
+    """
+    before = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    marked = found.withColumn("_fresh", F.when(F.col("start") < F.max("end").over(before), 0).otherwise(1))
+    nth = F.sum("_fresh").over(Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parts = marked.withColumn("_nth", nth).groupBy(*keys, "_nth")
+    return parts.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).select(*keys, "start", "end", "n")
+
+
+def closing(events: DataFrame, time: str, after: str) -> DataFrame:
+    """One row of the columns of events, with nulls but for a time that is after the last one: as the last micro-batch
+    of inputs that have ended it makes the watermark pass all others, so that what is open is put out too. No row without events."""
+    last = events.agg(F.max(time).alias("_last")).filter("_last is not null")
+    return last.select(*((F.col("_last") + F.expr(f"interval {after}") if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema))
 
 
 def live_distinct(events: DataFrame, time: str, keys: list[str], late: str = "10 minutes") -> DataFrame:
@@ -209,4 +232,4 @@ def for_each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], ch
     return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-__all__ = ["line_stream", "live_context", "live_context_any_order", "live_counts", "live_sessions", "live_distinct", "finished", "in_batches", "for_each_batch"]
+__all__ = ["line_stream", "live_context", "live_context_any_order", "live_counts", "live_sessions", "whole_sessions", "closing", "live_distinct", "finished", "in_batches", "for_each_batch"]
