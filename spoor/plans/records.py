@@ -8,8 +8,10 @@ block to block.
 A pass that can put two states together (combine) is run in two scans: one gives each block's own state, a
 running combination of these, one small row a block, gives the state at the start of each block, and the
 second scan puts out rows. Blocks of one log then run side by side. A pass that can't is run block after block: all
-logs' first blocks, then their second ones, and so on, each round written before the next; that takes as long
-as the longest log has blocks, but never holds more than a block.
+logs' first blocks, then their second ones, and so on, each round written before the next. Blocks are cut by how
+many lines a log has there, so gaps in the numbers of lines make no rounds: that takes as many rounds as the longest
+log has blocks' worth of lines, but never holds more than a block. A round reads its own lines and the states that
+the round before it left, nothing else.
 
 Keys may be null; a null is a key like any other. Lines that tie in order come in any order. An empty table
 gives an empty result. Passes travel to the workers by pickling: a class of a module must be importable there
@@ -19,18 +21,19 @@ gives an empty result. Passes travel to the workers by pickling: a class of a mo
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections import namedtuple
 from collections.abc import Iterable, Iterator
-from functools import partial
+from functools import partial, reduce
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from spoor.session import ship, small_batches, written
+from spoor.session import shared_dir, ship, small_batches, written
 
 #: Lines of a block.
 BLOCK = 1_000_000
@@ -124,6 +127,31 @@ def _finished(batches: Iterator[pa.RecordBatch], work: RecordPass, n_keys: int,
             yield _batch(rows, schema)
 
 
+def _same(keys: tuple[str, ...]) -> Column:
+    """That keys are those of a side that has them as _k0, _k1, ..."""
+    return reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(keys)), F.lit(True))
+
+
+def _rounds(table: DataFrame, keys: tuple[str, ...], block: int) -> tuple[DataFrame, DataFrame | None]:
+    """(table, written, with _block counted from 0 in each log; keys and _block of the logs that have several, or None where none has).
+
+    Stretches of block numbers with a line or more are put together until they hold block lines; a block has less than twice that, but for ties.
+    """
+    b = "_block"
+    table = written(table, "records")
+    lines = table.groupBy(*keys, b).agg(F.count("*").alias("_n"))
+    log, so_far = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.col(b).asc_nulls_first())
+    summed = lines.withColumns({"_all": F.sum("_n").over(log), "_cut": F.floor((F.sum("_n").over(so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1) / block)})
+    long = summed.filter(F.col("_all") > block)
+    nth = (F.dense_rank().over(log.orderBy("_cut")) - 1).cast("long")
+    cuts = written(long.select(*(F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)), F.col(b).alias("_of"), nth.alias("_nth")), "cuts")
+    if cuts.isEmpty():
+        return table.withColumn(b, F.lit(0).cast("long")), None
+    numbered = table.join(cuts, _same(keys) & F.col(b).eqNullSafe(F.col("_of")), "left").withColumn(b, F.coalesce("_nth", F.lit(0).cast("long"))).select(*table.columns)
+    parts = written(numbered, "blocks", by=b, split=True).select(*table.columns)
+    return parts, cuts.select(*(F.col(f"_k{j}").alias(k) for j, k in enumerate(keys)), F.col("_nth").alias(b)).distinct()
+
+
 def run_records(rows: DataFrame, work: RecordPass, keys: tuple[str, ...] = ("log_id",), order: str = "line_no", block: int = BLOCK) -> DataFrame:
     """keys and the output of work over rows, each log (keys) in the order of a column of whole numbers."""
     spark = rows.sparkSession
@@ -143,9 +171,9 @@ def run_records(rows: DataFrame, work: RecordPass, keys: tuple[str, ...] = ("log
         """States as the first row of their blocks."""
         return states.select(*keys, b, F.lit(None).cast(table.schema["_order"].dataType).alias("_order"), "_state", *(F.lit(None).cast(table.schema[f"_c{i}"].dataType).alias(f"_c{i}") for i in range(len(work.columns))))
 
-    def folded(part: DataFrame, puts_out: bool, states: bool) -> DataFrame:
+    def folded(part: DataFrame, puts_out: bool, states: bool, path: str | None = None) -> DataFrame:
         dealt = part.repartition(*keys, b).sortWithinPartitions(*keys, b, F.col("_order").asc_nulls_first())
-        return written(dealt.mapInArrow(partial(_fold, work=work, n_keys=n, schema=arrow, puts_out=puts_out, states=states), kind), "fold")
+        return written(dealt.mapInArrow(partial(_fold, work=work, n_keys=n, schema=arrow, puts_out=puts_out, states=states), kind), "fold", path=path)
 
     if work.combine is not None:
         own = folded(table, False, True).select(*keys, b, "_state")
@@ -153,17 +181,17 @@ def run_records(rows: DataFrame, work: RecordPass, keys: tuple[str, ...] = ("log
         carried = written(sorted_states.mapInArrow(partial(_carried, work=work, n_keys=n, schema=carry_arrow), carry_kind), "carried")
         found = folded(table.unionByName(starting(carried)), True, ends)
     else:
-        parts = written(table, "blocks", by=b).select(*table.columns)
-        found = None
-        for i in [r[0] for r in parts.select(b).distinct().orderBy(b).toLocalIterator()]:  # as many as the longest log has blocks
-            part = parts.filter(F.col(b) == i)
-            if found is not None:
-                last = found.filter("_state is not null").groupBy(*keys).agg(F.max_by("_state", b).alias("_state")).join(part.select(*(F.col(k).alias(f"_k{j}") for j, k in enumerate(keys))).distinct(), [F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(keys)], "left_semi")
-                part = part.unionByName(starting(last.withColumn(b, F.lit(i).cast("long"))))
-            now = folded(part, True, True)
-            found = now if found is None else found.unionByName(now)
-        if found is None:
-            return spark.createDataFrame([], final_kind)
+        parts, cuts = _rounds(table, keys, block)
+        if cuts is None:
+            found = folded(parts, True, ends)
+        else:
+            at, part = f"{shared_dir(spark)}/fold-{uuid.uuid4().hex}", parts.filter(F.col(b) == 0)
+            for i in range(cuts.agg(F.max(b)).first()[0] + 1):  # as many as the longest log has blocks
+                now = folded(part, True, True, f"{at}/{i:06}")
+                more = cuts.filter(F.col(b) == i + 1).select(*(F.col(k).alias(f"_k{j}") for j, k in enumerate(keys))).distinct()
+                last = now.filter("_state is not null").join(more, _same(keys), "left_semi")
+                part = parts.filter(F.col(b) == i + 1).unionByName(starting(last.withColumn(b, F.lit(i + 1).cast("long"))))
+            found = spark.read.schema(kind).parquet(f"{at}/*")
     out = found.filter("_state is null").select(*keys, *output.names)
     if ends:
         last = found.filter("_state is not null").groupBy(*keys).agg(F.max(b).alias(b), F.max_by("_state", b).alias("_state"))

@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ship(spark: SparkSession) -> None:
@@ -54,11 +55,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: this cuts its lineage. by: a column to partition by."""
+def written(df: DataFrame, name: str, by: str | None = None, path: str | None = None, split: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: this cuts its lineage. by: a column to partition by, split: a value of it
+    in as many tasks and files as its rows need; path: where, if not in a folder of its own."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    out = df.repartition(by).write.partitionBy(by) if by else df.write
+    path = path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    out = (df.hint("rebalance", F.col(by)) if split else df.repartition(by)).write.partitionBy(by) if by else df.write
     out.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
