@@ -7,16 +7,12 @@ insertions and unknowns then stay empty. mode "intent" takes insertions first.
 
 from __future__ import annotations
 
-import xml.etree.ElementTree as ET
-from collections.abc import Iterable
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoor.functions import fields as f
 from spoor.functions import hashes, html, urls
-from spoor.session import ship, written
+from spoor.session import written
 
 NODE = ["log_id", "isolate", "script_id"]
 EDGE = ["log_id", "genesis", "child_isolate", "child_id", "child_sha2", "child_frame", "parent_isolate", "parent_id", "parent_sha2", "parent_frame", "by_url", "n_includers", "n_sources"]
@@ -160,65 +156,94 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ins.join(outs, ["log_id", "isolate", "script_id"], "full").select("log_id", "isolate", "script_id", F.coalesce("n_in", F.lit(0)).cast("long").alias("n_in"), F.coalesce("n_out", F.lit(0)).cast("long").alias("n_out"))
 
 
-def graphs(edges: DataFrame, scripts: DataFrame) -> DataFrame:
-    """log_id, value: a GraphML document for each log, made where its links and scripts (without code) come together."""
-    ship(edges.sparkSession)
-    nodes = scripts.filter("not is_injected").select("log_id", *(F.col(c).cast(t).alias(f"n_{c}") for c, t in NODES.items()))
-    keys = [F.col(c).alias(f"e_{c}") for c in EDGE[1:]]
-    both = edges.select("log_id", *keys).unionByName(nodes, allowMissingColumns=True)
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.astype(object).where(rows.notna(), None)
-        part = lambda mark, keep: [{c[2:]: v for c, v in r.items() if c.startswith(mark)} for r in rows[rows[keep].notna()].to_dict("records")]
-        return pd.DataFrame([(rows["log_id"].iloc[0], graphml(part("e_", "e_genesis"), part("n_", "n_script_id")))], columns=["log_id", "value"])
-
-    return both.groupBy("log_id").applyInPandas(one, "log_id string, value string")
-
-
-#: What a node of a graph says of its script.
-NODES = {"isolate": "string", "script_id": "int", "size": "long", "sha2": "string", "url": "string", "first_origin": "string"}
-
-
-def graphml(edges: Iterable, scripts: Iterable) -> str:
-    """GraphML of one log's graph, from rows: nodes for scripts and frames, one edge for each pair, orphans under a root."""
-    keys = [
-        ("node", "isRoot", "boolean"), ("node", "isolateKey", "string"), ("node", "scriptID", "int"), ("node", "bytes", "int"), ("node", "sha2", "string"), ("node", "url", "string"),
-        ("node", "isIframe", "boolean"), ("node", "firstOrigin", "string"), ("edge", "action", "string"), ("edge", "url", "string"),
-    ]
-    top = ET.Element("graphml", xmlns="http://graphml.graphdrawing.org/xmlns")
-    ids = {}
-    for i, (target, name, kind) in enumerate(keys):
-        ids[target, name] = f"d{i}"
-        ET.SubElement(top, "key", {"id": f"d{i}", "for": target, "attr.name": name, "attr.type": kind})
-    graph = ET.SubElement(top, "graph", edgedefault="directed")
-    nodes: dict[tuple, str] = {}
-
-    def put(element: ET.Element, target: str, **data) -> None:
-        for name, v in data.items():
-            if v is not None:
-                ET.SubElement(element, "data", key=ids[target, name]).text = str(v).lower() if isinstance(v, bool) else str(v)
-
-    def node(key: tuple, **data) -> str:
-        if key not in nodes:
-            nodes[key] = f"n{len(nodes)}"
-            put(ET.SubElement(graph, "node", id=nodes[key]), "node", **data)
-        return nodes[key]
-
-    root = node(("root",), isRoot=True)
-    for s in sorted(scripts, key=lambda s: (s["isolate"] or "", s["script_id"])):
-        node((s["isolate"], s["script_id"]), isRoot=False, isolateKey=s["isolate"], scriptID=int(s["script_id"]), bytes=None if s["size"] is None else int(s["size"]), sha2=s["sha2"], url=s["url"], isIframe=False, firstOrigin=s["first_origin"])
-    seen, children = set(), set()
-    by = lambda e: tuple(str(e[c]) for c in ("genesis", "child_isolate", "child_id", "parent_isolate", "parent_id", "by_url"))
-    for e in sorted(edges, key=by):
-        child = node(("frame", e["by_url"]), isIframe=True, url=e["by_url"]) if e["child_frame"] else nodes.get((e["child_isolate"], e["child_id"]))
-        parent = node(("frame", e["by_url"]), isIframe=True, url=e["by_url"]) if e["parent_frame"] else nodes.get((e["parent_isolate"], e["parent_id"]), root)
-        if child is None or child == parent or (parent, child) in seen:
-            continue
-        seen.add((parent, child))
-        children.add(child)
-        put(ET.SubElement(graph, "edge", source=parent, target=child), "edge", action=e["genesis"], url=e["by_url"])
-    for n in nodes.values():
-        if n not in children and n != root:
-            put(ET.SubElement(graph, "edge", source=root, target=n), "edge", action="unknown")
-    ET.indent(top)
-    return ET.tostring(top, encoding="unicode")
+#: Nodes or edges in a part of a document, some.
+PART = 1000
+
+#: What is said of nodes and edges: name, type. A number in this list is that of the key.
+DATA = {
+    ("node", "isRoot"): "boolean", ("node", "isolateKey"): "string", ("node", "scriptID"): "int", ("node", "bytes"): "int", ("node", "sha2"): "string", ("node", "url"): "string",
+    ("node", "isIframe"): "boolean", ("node", "firstOrigin"): "string", ("edge", "action"): "string", ("edge", "url"): "string",
+}
+HEAD = "\n".join([
+    '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">',
+    *(f'  <key id="d{i}" for="{target}" attr.name="{name}" attr.type="{kind}" />' for i, ((target, name), kind) in enumerate(DATA.items())),
+    '  <graph edgedefault="directed">',
+])
+FOOT = "  </graph>\n</graphml>"
+
+
+def _element(target: str, head: Column, **data: Column) -> Column:
+    """The lines of a node or edge; what is null isn't said."""
+    lines = [F.concat(F.lit(f"    <{target} "), head, F.lit(">"))]
+    for name, c in data.items():
+        key, c = f'      <data key="d{list(DATA).index((target, name))}"', c.cast("string")
+        for plain, coded in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            c = F.replace(c, F.lit(plain), F.lit(coded))
+        lines.append(F.when(c == "", f"{key} />").when(c.isNotNull(), F.concat(F.lit(f"{key}>"), c, F.lit("</data>"))))
+    return F.concat_ws("\n", *lines, F.lit(f"    </{target}>"))
+
+
+def _script_key(isolate: str, number: str) -> Column:
+    return F.concat(F.lit("s"), F.col(number).cast("long").cast("string"), F.lit(","), F.coalesce(F.concat(F.lit("1"), isolate), F.lit("0")))
+
+
+def _frame_key() -> Column:
+    return F.concat(F.lit("f"), F.coalesce(F.concat(F.lit("1"), "by_url"), F.lit("0")))
+
+
+def _numbered(nodes: DataFrame, part: int) -> DataFrame:
+    """log_id, key, id, part, text of nodes. Numbers go from 1 in each log, without gaps: nodes are dealt by a hash into parts, ordered within these, and parts count on from those before."""
+    large = nodes.groupBy("log_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > part)  # a row for PART nodes at most; by broadcast, as one log may have all nodes
+    dealt = nodes.join(F.broadcast(large), "log_id", "left").withColumn("part", F.expr(f"pmod(xxhash64(key), cast(ceil(coalesce(_n, 1) / {part}) as bigint))")).drop("_n")
+    counts = dealt.groupBy("log_id", "part").agg(F.count("*").alias("_n"))  # a row for PART nodes
+    before = Window.partitionBy("log_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("log_id", "part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    nth = F.row_number().over(Window.partitionBy("log_id", "part").orderBy("_kind", "_a", "_b"))
+    return dealt.withColumn("_nth", nth).join(starts, ["log_id", "part"]).select("log_id", "key", (F.col("_start") + F.col("_nth")).alias("id"), "part", "_kind", "_says")
+
+
+def graphs(edges: DataFrame, scripts: DataFrame, part: int = PART) -> DataFrame:
+    """log_id, part, value: the GraphML document of each log, in parts of some PART nodes or edges that a newline between them puts together, by part.
+
+    Nodes are a root, scripts and frames, and come before edges, one for each pair of nodes; what no edge leads to is under the root. A small
+    graph is one part and so its whole document. No log's graph comes together in one place.
+    """
+    scripts = scripts.filter("not is_injected and script_id is not null")
+    child = F.when(F.col("child_frame"), _frame_key()).otherwise(_script_key("child_isolate", "child_id"))
+    parent = F.when(F.col("parent_frame"), _frame_key()).otherwise(_script_key("parent_isolate", "parent_id"))
+    order = F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in ("genesis", "child_isolate", "child_id", "parent_isolate", "parent_id", "by_url")))
+    framed = F.when(F.col("child_frame") | F.col("parent_frame"), _frame_key()).alias("frame")
+    links = written(edges.filter("genesis is not null").select("log_id", child.alias("child"), parent.alias("parent"), framed, order.alias("order"), "genesis", "by_url"), "edges")
+
+    of = {"isolateKey": "isolate", "scriptID": "script_id", "bytes": "size", "sha2": "sha2", "url": "url", "firstOrigin": "first_origin"}
+    says = F.struct(*(F.col(c).cast("string").alias(k) for k, c in of.items()))
+    nodes = scripts.select("log_id", _script_key("isolate", "script_id").alias("key"), F.lit(1).alias("_kind"), F.coalesce("isolate", F.lit("")).alias("_a"), F.col("script_id").cast("long").alias("_b"), says.alias("_says"))
+    frame_says = F.struct(*((F.col("by_url") if k == "url" else F.lit(None).cast("string")).alias(k) for k in of))
+    frames = links.filter("frame is not null").select("log_id", F.col("frame").alias("key"), F.lit(2).alias("_kind"), F.col("by_url").alias("_a"), F.lit(None).cast("long").alias("_b"), frame_says.alias("_says"))
+    nodes = written(_numbered(nodes.unionByName(frames).dropDuplicates(["log_id", "key"]), part), "nodes")
+
+    ids = lambda end: nodes.select("log_id", F.col("key").alias(end), F.col("id").alias(f"{end}_no"))
+    both = links.join(ids("child"), ["log_id", "child"]).join(ids("parent"), ["log_id", "parent"], "left")
+    both = both.withColumn("parent_no", F.coalesce("parent_no", F.lit(0))).filter("child_no <> parent_no")
+    pairs = written(both.groupBy("log_id", "parent_no", "child_no").agg(F.min_by(F.struct("genesis", "by_url"), "order").alias("_first")).select("log_id", "parent_no", "child_no", "_first.*"), "pairs")
+    under = nodes.select("log_id", F.col("id").alias("child_no")).join(pairs.select("log_id", "child_no"), ["log_id", "child_no"], "left_anti")
+    arrows = pairs.unionByName(under.select("log_id", F.lit(0).cast("long").alias("parent_no"), "child_no", F.lit("unknown").alias("genesis"), F.lit(None).cast("string").alias("by_url")))
+
+    # one edge at most for each pair, and one for each node; logs have their links' frames at least as nodes, so those without a node have only a root
+    counted = nodes.groupBy("log_id").agg(F.count("*").alias("_n")).unionByName(links.groupBy("log_id").agg(F.lit(0).cast("long").alias("_n"))).groupBy("log_id").agg(F.sum("_n").alias("_n"))
+    sizes = counted.join(pairs.groupBy("log_id").agg(F.count("*").alias("_e")), "log_id", "left").selectExpr("log_id", "_n", "_n + coalesce(_e, 0) as _e")
+    small = F.col("_n") + F.col("_e") < part
+    places = sizes.select("log_id", F.when(small, 0).otherwise(F.greatest(F.ceil(F.col("_n") / part), F.lit(1))).alias("_start"), F.when(small, 1).otherwise(F.greatest(F.ceil(F.col("_e") / part), F.lit(1))).alias("_parts"))
+    row = lambda rows, at, kind, a, b, text: rows.select("log_id", at.cast("long").alias("part"), F.struct(F.lit(kind).alias("kind"), a.cast("long").alias("a"), b.cast("long").alias("b"), text.alias("text")).alias("row"))
+    zero, said = F.lit(0), F.col("_says")
+    script, frame = F.col("_kind") == 1, F.col("_kind") == 2
+    node = lambda number, **data: _element("node", F.concat(F.lit('id="n'), number, F.lit('"')), **data)
+    told = node(F.col("id"), isRoot=F.when(script, "false"), **{k: said[k] for k in ("isolateKey", "scriptID", "bytes", "sha2", "url")}, isIframe=F.when(script, "false").when(frame, "true"), firstOrigin=said["firstOrigin"])
+    arrow = _element("edge", F.concat(F.lit('source="n'), "parent_no", F.lit('" target="n'), "child_no", F.lit('"')), action=F.col("genesis"), url=F.col("by_url"))
+    out = row(places, zero, 0, zero, zero, F.concat(F.lit(f"{HEAD}\n"), node(zero, isRoot=F.lit("true"))))
+    out = out.unionByName(row(nodes, F.col("part"), 1, F.col("id"), zero, told))
+    large = F.broadcast(places.filter("_start > 0 or _parts > 1"))  # as few as those of nodes
+    out = out.unionByName(row(arrows.join(large, "log_id", "left"), F.expr("coalesce(_start, 0) + pmod(xxhash64(parent_no, child_no), coalesce(_parts, 1))"), 2, F.col("parent_no"), F.col("child_no"), arrow))
+    out = out.unionByName(row(places, F.col("_start") + F.col("_parts") - 1, 3, zero, zero, F.lit(FOOT)))
+    lines = F.transform(F.array_sort(F.collect_list("row")), lambda x: x["text"])
+    return out.repartition("log_id", "part").groupBy("log_id", "part").agg(F.array_join(lines, "\n").alias("value"))

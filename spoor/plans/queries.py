@@ -580,7 +580,7 @@ def causality_graphml(spark: SparkSession, d: str) -> DataFrame:
     scripts = lens.flagged_scripts(spark, d)
     made = causality.graphs(causality.causality(lens.causes(spark, d), scripts), scripts)
     frames = F.size(F.regexp_extract_all("value", F.lit('<data key="d6">true</data>'), F.lit(0)))
-    return made.select("log_id", frames.cast("long").alias("n_frames"))
+    return made.groupBy("log_id").agg(F.sum(frames).cast("long").alias("n_frames"))
 
 
 @query("graph_degrees", f"""with {FLAGGED}, e as (select script_id as child, eval_parent_id as parent from fl where not is_injected and eval_parent_id is not null),
